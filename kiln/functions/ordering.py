@@ -64,3 +64,17 @@ def lag_pairs(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
     fixed = [F.when(F.col("_rn") == 1, F.col(f"_last.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
              for c in cols]
     return joined.select(order_col, *cols, *fixed)
+
+
+def running_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusive: bool = True) -> DataFrame:
+    """Cumulative sum of ``value_col`` in ``order_col`` order (unique order values assumed)."""
+    b = _bucketed(df, order_col)
+    totals = b.groupBy("_bk").agg(F.sum(value_col).alias("_t"))
+    wcum = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per bucket (<= MAX_BUCKETS): a bounded broadcast
+    offsets = totals.select("_bk", F.coalesce(F.sum("_t").over(wcum), F.lit(0)).alias("_off"))
+    end = 0 if inclusive else -1
+    w = Window.partitionBy("_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    res = b.join(F.broadcast(offsets), "_bk").withColumn(
+        out, F.col("_off") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+    return res.drop("_bk", "_off")

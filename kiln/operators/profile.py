@@ -107,7 +107,8 @@ def table_info(df: DataFrame) -> DataFrame:
 def describe_all(df: DataFrame) -> DataFrame:
     """Count, unique, top, freq (all columns); mean, std, min, quartiles, max (numeric)."""
     nums = numeric_columns(df)
-    ft = frequency_table(df).where(F.col("value").isNotNull())
+    others = [c for c in df.columns if c not in nums]
+    ft = frequency_table(df, others).where(F.col("value").isNotNull())
     top = ft.groupBy("column_name").agg(
         F.count("value").alias("unique"),
         F.max("n").alias("freq"))
