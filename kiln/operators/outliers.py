@@ -123,7 +123,11 @@ def fit_cap(df: DataFrame, cols: list[str], method: str = "iqr", factor: float =
             z: float = 3.0) -> OutlierParams:
     """F1/F2 + F4 fit: bounds for all columns, then one counting aggregate."""
     b = fit_bounds(df, cols, method, factor, z)
-    p = OutlierParams(bounds=b, counts=count_outliers(df, b), action="cap")
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count_if(outlier_mask(c, lo, hi)).alias(c)
+                                              for c, (lo, hi) in b.items()]
+    r = df.agg(*aggs).first()
+    p = OutlierParams(bounds=b, counts={c: int(r[c]) for c in b}, action="cap",
+                      rows_before=int(r["_n"]), rows_after=int(r["_n"]))
     return p
 
 
