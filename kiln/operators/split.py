@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit, q, seeded_hash
 from kiln.functions.selection import order_statistics
+from kiln.session import cut_lineage
 
 RESAMPLE_RATIO = 0.60
 
@@ -86,14 +87,15 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
 
 
 def split_random(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int = 42):
-    """(train, test)."""
-    f = split_flags(df, key_cols, test, seed)
+    """(train, test). The flagged frame is checkpointed once: both splits and every later
+    fit read it instead of re-running the selection."""
+    f = cut_lineage(split_flags(df, key_cols, test, seed))
     return f.where(~F.col("is_test")).drop("is_test"), f.where("is_test").drop("is_test")
 
 
 def split_stratified(df: DataFrame, target: str, key_cols: list[str], test: float = 0.2, seed: int = 42):
     """Keeps class shares when every class has >= 2 rows, else falls back to I1."""
-    f = split_flags(df, key_cols, test, seed, stratify=target)
+    f = cut_lineage(split_flags(df, key_cols, test, seed, stratify=target))
     return f.where(~F.col("is_test")).drop("is_test"), f.where("is_test").drop("is_test")
 
 
@@ -129,7 +131,7 @@ def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | Non
         idx = row_index(h.withColumn("_o", F.col("_h")), ["_o", "_md5"], "_i")
         rank = F.col("_i")
     out = idx.withColumn(fold_col, (rank % k).cast("int"))
-    return out.drop("_h", "_md5", "_o", "_i", "_s")
+    return cut_lineage(out.drop("_h", "_md5", "_o", "_i", "_s"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

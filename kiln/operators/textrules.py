@@ -12,6 +12,7 @@ import difflib
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,30 +58,51 @@ def classify_problem_text(df: DataFrame, text_col: str, id_col: str) -> DataFram
     return df.select(id_col, learning_type_expr(t).alias("learning_type"), task_type_expr(t).alias("task_type"))
 
 
-def _close(word: str, options: list[str], cutoff: float) -> bool:
-    """True when some option has a difflib ratio >= cutoff (same test as get_close_matches)."""
-    lw = len(word)
-    cw = None
-    for x in options:
-        lx = len(x)
-        if 2.0 * min(lx, lw) / (lx + lw) < cutoff:
-            continue  # real_quick_ratio bound
-        if cw is None:
-            cw = Counter(word)
-        inter = sum((Counter(x) & cw).values())
-        if 2.0 * inter / (lx + lw) < cutoff:
-            continue  # quick_ratio bound
-        s = difflib.SequenceMatcher(None, x, word)
-        if s.ratio() >= cutoff:
-            return True
-    return False
+ALPHABET = "abcdefghijklmnopqrstuvwxyz_"
+_CODE = {ch: i for i, ch in enumerate(ALPHABET)}
+
+
+def _counts(word: str) -> np.ndarray:
+    v = np.zeros(len(ALPHABET), dtype=np.int32)
+    for ch in word:
+        v[_CODE[ch]] += 1
+    return v
+
+
+class _Words:
+    """Distinct words of one text with character counts, for vectorised difflib pre-filters."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.lens = np.array([len(w) for w in words], dtype=np.float64)
+        self.counts = np.stack([_counts(w) for w in words]) if words else np.zeros((0, len(ALPHABET)), np.int32)
+
+    def close(self, target: str, cutoff: float) -> bool:
+        """True when some word has a difflib ratio >= cutoff against ``target`` (get_close_matches' test).
+
+        The real-quick (length) and quick (character multiset) upper bounds of the ratio are
+        evaluated for all words at once; SequenceMatcher runs only on the survivors.
+        """
+        if not self.words:
+            return False
+        lt = float(len(target))
+        tot = self.lens + lt
+        ok = 2.0 * np.minimum(self.lens, lt) / tot >= cutoff
+        if not ok.any():
+            return False
+        inter = np.minimum(self.counts[ok], _counts(target)[None, :]).sum(axis=1)
+        idx = np.flatnonzero(ok)[2.0 * inter / tot[ok] >= cutoff]
+        for i in idx:
+            if difflib.SequenceMatcher(None, self.words[i], target).ratio() >= cutoff:
+                return True
+        return False
 
 
 def score_columns_in_text(text: str, columns: list[str]) -> tuple[str | None, float]:
     """B12 for one text: best column and its score (ties keep column order)."""
     raw = (text or "").lower()
-    words = sorted(set(re.findall(WORD_PATTERN, raw)))
-    word_set = set(words)
+    word_set = set(re.findall(WORD_PATTERN, raw))
+    words = _Words(sorted(word_set))
     best, best_s = None, 0.0
     for col in columns:
         cl = col.lower()
@@ -89,10 +111,13 @@ def score_columns_in_text(text: str, columns: list[str]) -> tuple[str | None, fl
         if cl in raw:
             s += 6.0
         s += 2.0 * sum(1 for t in toks if t in word_set and len(t) >= 3)
-        if _close(cl, words, 0.75):
+        if all(ch in _CODE for ch in cl) and words.close(cl, 0.75):
+            s += 3.0
+        elif not all(ch in _CODE for ch in cl) and any(
+                difflib.SequenceMatcher(None, w, cl).ratio() >= 0.75 for w in words.words):
             s += 3.0
         for t in toks:
-            if len(t) >= 4 and _close(t, words, 0.8):
+            if len(t) >= 4 and words.close(t, 0.8):
                 s += 1.5
         if s > best_s:
             best, best_s = col, s
