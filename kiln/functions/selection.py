@@ -25,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.session import cut_lineage
+
 GRID = 100
 ACCURACY = 10000
 MARGIN = 2  # grid steps around the nominal position (>= 2*GRID/ACCURACY + 1)
+BRACKET_SHARE = (2 * MARGIN + 2) / GRID  # rows a first bracket can hold, as a share of n
 BROADCAST_TARGETS = 100_000
 
 
@@ -84,13 +87,27 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
     # state per target: lo/hi bracket (NULL = unbounded), k relative to bracket, m rows in bracket
     tg = tg.select(*keys, "tid", F.col("k").cast("long").alias("k"), F.col("n").alias("m"),
                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-                   "_q")
+                   "_q", F.col("n").alias("_n"))
+    tg = tg.cache()
     n_targets = tg.count()
-    small = n_targets <= BROADCAST_TARGETS
+    small = (not keys) or n_targets <= BROADCAST_TARGETS
+    max_n = sk.agg(F.max("n")).first()[0] or 0
 
+    if max_n * BRACKET_SHARE + 2.0 * max_n / ACCURACY + 2 <= cap:
+        # fast path: one pass counts the rows below each bracket (as a sentinel group) and
+        # ranks the few distinct values inside it; targets it cannot prove fall back below
+        j_lo, j_hi = _bounds_from_grid(F.col("k"), F.col("m"))
+        one = tg.select(*keys, "tid", "k", "_n", _pick(F.col("_q"), j_lo).alias("lo"),
+                        _pick(F.col("_q"), j_hi).alias("hi"))
+        res = _final(d, one, keys, small, with_below=True).cache()
+        if res.count() == n_targets:
+            return res
+        res.unpersist()
+
+    prev_max = None
     for _ in range(max_rounds):
         j_lo, j_hi = _bounds_from_grid(F.col("k"), F.col("m"))
-        cand = tg.select(*keys, "tid", "k", "m", "lo", "hi",
+        cand = tg.select(*keys, "tid", "k", "m", "lo", "hi", "_n",
                          _pick(F.col("_q"), j_lo).alias("nlo"),
                          _pick(F.col("_q"), j_hi).alias("nhi"))
         cand = cand.cache()
@@ -105,33 +122,52 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
         nxt = cand.join(cnt, on=keys + ["tid"], how="left").fillna(0, subset=["below", "inb"])
         valid = (F.col("below") <= F.col("k")) & (F.col("below") + F.col("inb") > F.col("k"))
         nxt = nxt.select(
-            *keys, "tid",
+            *keys, "tid", "_n",
             F.when(valid, F.col("k") - F.col("below")).otherwise(F.col("k")).alias("k"),
             F.when(valid, F.col("inb")).otherwise(F.col("m")).alias("m"),
             F.when(valid, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
             F.when(valid, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
             valid.alias("_progress"))
-        nxt = nxt.cache()
+        # the per-target state is tiny; cutting its lineage keeps the plan from doubling per round
+        nxt = cut_lineage(nxt)
         summary = nxt.agg(F.max("m").alias("mx"), F.max(F.col("_progress").cast("int")).alias("pg")).first()
         cand.unpersist()
         tg = nxt.drop("_progress")
-        if summary["mx"] is None or summary["mx"] <= cap or not summary["pg"]:
+        if summary["mx"] is None or summary["mx"] <= cap or not summary["pg"] or summary["mx"] == prev_max:
             break
+        prev_max = summary["mx"]
         # refine: re-sketch only the rows inside each (large) bracket
         joined = _join_targets(d, tg, keys, small)
         rsk = (joined.where(_in_bracket(F.col("_v"), F.col("lo"), F.col("hi")))
                .groupBy(*keys, "tid")
                .agg(F.percentile_approx("_v", probs, ACCURACY).alias("_q")))
-        tg = tg.join(rsk, on=keys + ["tid"], how="left").cache()
+        tg = cut_lineage(tg.join(rsk, on=keys + ["tid"], how="left"))
+
+    return _final(d, tg.select(*keys, "tid", "k", "_n", "lo", "hi"), keys, small, with_below=False)
+
 
-    final_t = tg.select(*keys, "tid", "k", "lo", "hi")
-    joined = _join_targets(d, final_t, keys, small)
-    vals = (joined.where(_in_bracket(F.col("_v"), F.col("lo"), F.col("hi")))
-            .groupBy(*keys, "tid", "k", "_v").agg(F.count(F.lit(1)).alias("c")))
+def _final(d: DataFrame, t: DataFrame, keys: list[str], small: bool, with_below: bool) -> DataFrame:
+    """Exact pick inside the brackets: distinct values with counts, running sum per target.
+
+    With ``with_below`` the rows under the bracket form one sentinel group (-inf), so the
+    running sum gives absolute ranks; otherwise ``k`` is already relative to the bracket.
+    """
+    joined = _join_targets(d, t, keys, small)
+    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    if with_below:
+        below = F.when(lo.isNull(), F.lit(False)).otherwise(v < lo)
+        keep = below | _in_bracket(v, lo, hi)
+        val = F.when(below, F.lit(float("-inf"))).otherwise(v)
+    else:
+        keep = _in_bracket(v, lo, hi)
+        val = v
+    vals = (joined.where(keep).select(*keys, "tid", "k", "_n", val.alias("_v"))
+            .groupBy(*keys, "tid", "k", "_n", "_v").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy(*keys, "tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_cum", F.sum("c").over(w))
-    hit = vals.where((F.col("_cum") - F.col("c") <= F.col("k")) & (F.col("k") < F.col("_cum")))
-    return hit.select(*keys, "tid", F.col("_v").alias("value"))
+    hit = vals.where((F.col("_cum") - F.col("c") <= F.col("k")) & (F.col("k") < F.col("_cum"))
+                     & (F.col("_v") != F.lit(float("-inf"))))
+    return hit.select(*keys, "tid", F.col("_v").alias("value"), F.col("_n").alias("n"))
 
 
 def _attach_global(tg: DataFrame, sk: DataFrame) -> DataFrame:
@@ -141,7 +177,7 @@ def _attach_global(tg: DataFrame, sk: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    by: list[str] | None = None, long_input: bool = False) -> DataFrame:
+                    by: list[str] | None = None, long_input: bool = False, cap: int = 2_000_000) -> DataFrame:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont`` semantics).
 
     Returns long form ``by + [column_name, p, value]``; NULL-free groups only.
@@ -168,15 +204,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         hi = t.select(*keys, (F.col("pi") * 2 + 1).alias("tid"), F.col("k1").alias("k"))
         return lo.unionByName(hi)
 
-    stats = order_statistics(long, keys, "_x", targets)
+    stats = order_statistics(long, keys, "_x", targets, cap=cap)
     lo = stats.where(F.col("tid") % 2 == 0).select(*keys, (F.col("tid") / 2).cast("int").alias("pi"),
-                                                     F.col("value").alias("v0"))
+                                                     F.col("value").alias("v0"), "n")
     hi = stats.where(F.col("tid") % 2 == 1).select(*keys, ((F.col("tid") - 1) / 2).cast("int").alias("pi"),
                                                      F.col("value").alias("v1"))
-    counts = long.where(F.col("_x").isNotNull()).groupBy(*keys).agg(F.count("_x").alias("n"))
     parr = F.array(*[F.lit(float(p)) for p in plist])
-    meta = counts.select(*keys, "n", F.posexplode(parr).alias("pi", "p"))
-    out = meta.join(lo, on=keys + ["pi"]).join(hi, on=keys + ["pi"])
+    out = lo.join(hi, on=keys + ["pi"]).withColumn("p", F.element_at(parr, F.col("pi") + 1))
     pos = F.col("p") * (F.col("n") - 1)
     frac = pos - F.floor(pos)
     value = F.col("v0") + frac * (F.col("v1") - F.col("v0"))
