@@ -184,7 +184,9 @@ def detect_id_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
     card = {r["column_name"]: r for r in cardinality(df, cols).collect()}
     rows = []
     for c in cols:
-        r = card[c]
+        r = card.get(c)
+        if r is None:  # empty table
+            continue
         nn = int(r["n_non_null"])
         if nn == 0:
             continue

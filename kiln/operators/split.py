@@ -23,11 +23,11 @@ RESAMPLE_RATIO = 0.60
 
 
 def _cut(df: DataFrame, by: list[str], k_df: DataFrame) -> DataFrame:
-    """Per group: the hash of the k-th row (k from ``k_df``: by + [k] with k >= 1) and the tie cut."""
+    """Per group: the hash of the k-th row (k from ``k_df``: by + [_k] with _k >= 1) and the tie cut."""
     def targets(counts: DataFrame) -> DataFrame:
         t = counts.join(F.broadcast(k_df), by, "inner") if by else \
             counts.withColumn("_g", F.lit(0)).join(F.broadcast(k_df.withColumn("_g", F.lit(0))), "_g").drop("_g")
-        return t.where(F.col("k") >= 1).select(*by, F.lit(0).alias("tid"), (F.col("k") - 1).alias("k"))
+        return t.where(F.col("_k") >= 1).select(*by, F.lit(0).alias("tid"), (F.col("_k") - 1).alias("k"))
 
     thr = order_statistics(df, by, "_h", targets).select(*by, F.col("value").alias("_thr"))
     joined = _attach(df, thr, by)
@@ -35,11 +35,11 @@ def _cut(df: DataFrame, by: list[str], k_df: DataFrame) -> DataFrame:
     # rows sharing the threshold prefix: a handful per group, ranked by the full digest
     ties = joined.where(F.col("_h") == F.col("_thr"))
     ties = _attach(ties, below, by)
-    ties = _attach(ties, k_df.select(*by, "k"), by)
+    ties = _attach(ties, k_df.select(*by, "_k"), by)
     from pyspark.sql import Window
     w = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
     ties = ties.withColumn("_rn", F.row_number().over(w.orderBy("_md5")))
-    cut = ties.where(F.col("_rn") == F.col("k") - F.col("_lt")).select(*by, F.col("_md5").alias("_cut"))
+    cut = ties.where(F.col("_rn") == F.col("_k") - F.col("_lt")).select(*by, F.col("_md5").alias("_cut"))
     return thr.join(cut, by, "left") if by else _attach(thr, cut, [], how="left")
 
 
@@ -76,10 +76,10 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
         n = sum(counts.values())
         alloc = _allocate(counts, math.ceil(n * test))
         k_df = spark.createDataFrame([(c, int(k)) for c, k in alloc.items()],
-                                     f"{q(stratify)} {df.schema[stratify].dataType.simpleString()}, k long")
+                                     f"{q(stratify)} {df.schema[stratify].dataType.simpleString()}, _k long")
     else:
         n = df.count()
-        k_df = spark.createDataFrame([(int(math.ceil(n * test)),)], "k long")
+        k_df = spark.createDataFrame([(int(math.ceil(n * test)),)], "_k long")
     cut = _cut(h, by, k_df)
     j = _attach(h, cut, by, how="left")
     is_test = (F.col("_h") < F.col("_thr")) | ((F.col("_h") == F.col("_thr")) & (F.col("_md5") <= F.col("_cut")))
