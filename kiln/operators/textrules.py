@@ -208,3 +208,41 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(
         rows, "missing_strategy string, outlier_method string, outlier_action string, encoding_method string, "
               "test_size double, median_abs_skew double, max_outlier_share double")
+
+
+def resolve_target_texts(text_df: DataFrame, text_col: str, id_col: str, table: DataFrame,
+                         hint: str | None = None) -> DataFrame:
+    """B13 for every text of ``text_df`` against the columns of ``table`` (one Spark job over whole
+    texts): learning type, task type and target, with the same precedence as ``resolve_target``."""
+    from kiln.operators.profile import candidate_targets, unique_counts
+    cols = table.columns
+    scored = score_target_columns(text_df, text_col, id_col, cols)
+    base = text_df.select(id_col, F.lower(F.coalesce(F.col(q(text_col)), F.lit(""))).alias("_t")).join(
+        scored, id_col)
+    t = F.col("_t")
+    strong = F.col("target").isNotNull() | _any_contains(t, STRONG_SUPERVISED_WORDS)
+    sup = _any_contains(t, SUPERVISED_WORDS)
+    learning = F.when(strong | sup, "supervised").otherwise("unsupervised")
+    whole = F.lit(None).cast("string")
+    for c in reversed(cols):
+        whole = F.when(t.rlike(r"\b" + re.escape(c.lower()) + r"\b"), F.lit(c)).otherwise(whole)
+    cands = candidate_targets(table, variant="auto")
+    fallback = F.lit(cands[0] if cands else None).cast("string")
+    chosen = F.coalesce(F.lit(hint if hint in cols else None).cast("string"), F.col("target"), whole, fallback)
+    # problem type of every column the target can be (one aggregate over the table)
+    n = table.count()
+    u = unique_counts(table, cols)
+    ptype = {}
+    for c in cols:
+        dt = table.schema[c].dataType
+        numeric = is_numeric(dt)
+        ptype[c] = "regression" if numeric and u.get(c, 0) > max(15, int(0.05 * n)) else "classification"
+    keys = F.array(*[F.lit(c) for c in cols])
+    vals = F.array(*[F.lit(ptype[c]) for c in cols])
+    tmap = F.map_from_arrays(keys, vals)
+    out = base.select(id_col, learning.alias("learning_type"), chosen.alias("_target"), t)
+    task = (F.when(F.col("learning_type") == "unsupervised", F.lit("unsupervised"))
+            .when(F.col("_target").isNotNull(), F.try_element_at(tmap, F.col("_target")))
+            .otherwise(task_type_expr(t)))
+    return out.select(id_col, "learning_type", task.alias("task_type"),
+                      F.when(F.col("learning_type") == "supervised", F.col("_target")).alias("target"))

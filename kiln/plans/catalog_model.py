@@ -327,14 +327,9 @@ Q["recommend_config"] = q_recommend_config
 
 
 def q_resolve_target(spark, sf):
-    """B13 for a few problem statements against the orders table (rows-only)."""
-    o = table(spark, sf, "orders")
-    rows = []
-    for text in ("predict the total price of an order", "segment customers into groups",
-                 "classify order status", "find anomaly patterns"):
-        r = textrules.resolve_target(o, text)
-        rows.append((text, r["learning_type"], r["task_type"], r["target"]))
-    return spark.createDataFrame(rows, "text string, learning_type string, task_type string, target string")
+    """B13 for every document text against the orders columns (rows-only: uses the B12 scorer)."""
+    return textrules.resolve_target_texts(table(spark, sf, "documents"), "text", "doc_id",
+                                          table(spark, sf, "orders"))
 
 
 Q["resolve_target"] = q_resolve_target
