@@ -327,3 +327,15 @@ def q_save_load_model(spark, sf):
 
 
 Q["save_load_model"] = q_save_load_model
+
+
+def q_prepare_lineitem(spark, sf):
+    """Steps 2-11 end to end on lineitem with injected NULLs: IDs, auto fill, duplicates, IQR cap,
+    encoding (target protected), zero-variance and correlation filters (rows-only)."""
+    from kiln.plans.prepare import PrepConfig, prepare
+    df = lineitem_nulls(spark, sf)
+    prep = prepare(df, PrepConfig(), target="l_returnflag", order_by="l_orderkey")
+    return _round_doubles(prep.data)
+
+
+Q["prepare_lineitem"] = q_prepare_lineitem
