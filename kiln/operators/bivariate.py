@@ -13,11 +13,17 @@ from kiln.functions.exprs import pair_corr, q, seeded_hash
 from kiln.operators.univariate import box_stats, kde
 
 
+WIDE_CORR = 60
+
+
 def corr_long(df: DataFrame, cols: list[str], include_diagonal: bool = True, mirror: bool = True) -> DataFrame:
     """Pearson r per column pair, pairwise-complete; NULL when a side is constant.
 
-    Long form ``(col_a, col_b, pos_a, pos_b, r)``.
+    Long form ``(col_a, col_b, pos_a, pos_b, r)``. Up to WIDE_CORR columns: guarded expressions
+    in one aggregate; wider: per-partition Gram sums (``corr_long_gram``).
     """
+    if len(cols) > WIDE_CORR:
+        return corr_long_gram(df, cols, include_diagonal, mirror)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     parts = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
                       F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
@@ -143,3 +149,58 @@ def group_mean_top(df: DataFrame, cat: str, num: str, k: int = 10) -> DataFrame:
     """Mean by category, the k largest (top-k report)."""
     g = df.groupBy(F.col(q(cat)).alias(cat)).agg(F.avg(F.col(q(num)).cast("double")).alias("mean_value"))
     return g.orderBy(F.desc("mean_value"), F.asc(cat)).limit(k)
+
+
+def corr_long_gram(df: DataFrame, cols: list[str], include_diagonal: bool = True, mirror: bool = True) -> DataFrame:
+    """E1 for wide inputs: each partition emits pairwise-complete sums (n, Sx, Sxx, Sxy per ordered
+    pair, columns shifted by their means for stability); one groupBy sums them; the k x k result
+    (bounded by the column count, not the rows) is assembled on the driver."""
+    import numpy as np
+    import pandas as pd
+    k = len(cols)
+    x = [F.col(q(c)).cast("double") for c in cols]
+    means = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(x)]).first()
+    shift = np.array([means[f"m{i}"] or 0.0 for i in range(k)])
+
+    def sums(it):
+        n = np.zeros((k, k))
+        sx = np.zeros((k, k))
+        sxx = np.zeros((k, k))
+        sxy = np.zeros((k, k))
+        for pdf in it:
+            a = pdf.to_numpy(dtype=np.float64) - shift[None, :]
+            m = (~np.isnan(a)).astype(np.float64)
+            a0 = np.nan_to_num(a)
+            n += m.T @ m
+            sx += a0.T @ m
+            sxx += (a0 * a0).T @ m
+            sxy += a0.T @ a0
+        ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "n": n.ravel(), "sx": sx.ravel(),
+                            "sxx": sxx.ravel(), "sxy": sxy.ravel()})
+
+    wide = df.select(*[e.alias(f"c{i}") for i, e in enumerate(x)])
+    part = wide.mapInPandas(sums, "i int, j int, n double, sx double, sxx double, sxy double")
+    tot = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")]).collect()
+    n = np.zeros((k, k)); sx = np.zeros((k, k)); sxx = np.zeros((k, k)); sxy = np.zeros((k, k))
+    for r in tot:
+        n[r["i"], r["j"]], sx[r["i"], r["j"]] = r["n"], r["sx"]
+        sxx[r["i"], r["j"]], sxy[r["i"], r["j"]] = r["sxx"], r["sxy"]
+    rows = []
+    for i in range(k):
+        for j in range(k):
+            if (i == j and not include_diagonal) or (not mirror and j < i):
+                continue
+            nn = n[i, j]
+            if nn < 2:
+                r = None
+            else:
+                vx = nn * sxx[i, j] - sx[i, j] ** 2
+                vy = nn * sxx[j, i] - sx[j, i] ** 2
+                cov = nn * sxy[i, j] - sx[i, j] * sx[j, i]
+                r = float(cov / np.sqrt(vx * vy)) if vx > 1e-12 * max(1.0, nn * sxx[i, j]) and \
+                    vy > 1e-12 * max(1.0, nn * sxx[j, i]) else None
+                if r is not None and i == j:
+                    r = 1.0
+            rows.append((cols[i], cols[j], i, j, r))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, r double")

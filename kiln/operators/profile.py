@@ -168,7 +168,11 @@ def missing_report_lazy(df: DataFrame) -> DataFrame:
         F.round(F.col("missing") * 100.0 / F.col("_n"), 2).alias("missing_pct"), "dtype")
 
 
-def detect_id_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
+APPROX_RSD = 0.02
+APPROX_REJECT = 0.90  # approx ratio below this cannot reach 0.995 (HLL error 2 %, > 4 sigma margin)
+
+
+def detect_id_columns(df: DataFrame, order_by: str | None = None, approx_prefilter: bool = False) -> DataFrame:
     """``(column_name, unique_ratio, by_name, by_sequence, is_id)`` for every candidate column.
 
     The last column is never an ID. The sequence test (share of |diff| = 1
@@ -181,6 +185,15 @@ def detect_id_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
               "is_id boolean")
     if not cols:
         return spark.createDataFrame([], schema)
+    if approx_prefilter:
+        # one HLL pass (no shuffle of values) rejects clearly non-unique columns; the exact
+        # distinct count then runs only for the near-unique candidates
+        r = df.agg(*[F.approx_count_distinct(F.col(q(c)), APPROX_RSD).alias(f"u_{i}") for i, c in enumerate(cols)],
+                   *[F.count(F.col(q(c))).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+        cols = [c for i, c in enumerate(cols)
+                if r[f"n_{i}"] and r[f"u_{i}"] / r[f"n_{i}"] >= APPROX_REJECT]
+        if not cols:
+            return spark.createDataFrame([], schema)
     card = {r["column_name"]: r for r in cardinality(df, cols).collect()}
     rows = []
     for c in cols:
@@ -218,7 +231,8 @@ def detect_id_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
 
 
 def id_columns(df: DataFrame, order_by: str | None = None) -> list[str]:
-    return [r["column_name"] for r in detect_id_columns(df, order_by).where("is_id").collect()]
+    """B6 as a list (approximate pre-filter, exact decision)."""
+    return [r["column_name"] for r in detect_id_columns(df, order_by, approx_prefilter=True).where("is_id").collect()]
 
 
 def detect_target(df: DataFrame, selected: str | None = None) -> str | None:

@@ -81,3 +81,25 @@ def test_moments_small_and_constant(spark):
 def test_pair_corr_constant_is_null_not_error(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0)], "a double, b double")
     assert df.agg(pair_corr(F.col("a"), F.col("b")).alias("r")).first()["r"] is None
+
+
+def test_wide_correlation_gram_path_matches_expressions(spark, monkeypatch):
+    from kiln.operators import bivariate
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 4))
+    rows = []
+    for r in range(300):
+        v = [float(base[r, 0]), float(base[r, 0] * 2 + base[r, 1]), float(base[r, 2]) if r % 5 else None,
+             float(1e6 + base[r, 3]), 7.0]
+        rows.append(tuple(v))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    cols = list("abcde")
+    want = {(r["col_a"], r["col_b"]): r["r"] for r in bivariate.corr_long(df, cols).collect()}
+    monkeypatch.setattr(bivariate, "WIDE_CORR", 2)
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in bivariate.corr_long(df, cols).collect()}
+    assert set(want) == set(got)
+    for key, v in want.items():
+        if v is None:
+            assert got[key] is None, key
+        else:
+            assert got[key] == pytest.approx(v, abs=1e-9), key
