@@ -23,6 +23,17 @@ from kiln.operators.evaluate import classification_metrics, regression_metrics
 from kiln.operators.scale import build_pipeline
 
 MAX_DEPTH_NONE = 30  # Spark trees allow depth <= 30; "no limit" maps here
+PARALLELISM = 4      # concurrent fits (like CrossValidator's parallelism); each fit is distributed
+
+
+def _parallel(fn, items, parallelism: int = PARALLELISM):
+    """Run independent fits concurrently from driver threads (Spark schedules their jobs together)."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as ex:
+        return list(ex.map(fn, items))
 
 
 # ---- k-nearest neighbours as a pipeline stage ------------------------------------
@@ -212,14 +223,15 @@ def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str],
     ncls = train.select(label).distinct().count() if problem_type == "classification" else 0
     specs = specs or model_registry(problem_type, n, ncls)
     train = train.cache()
-    rows = []
-    for s in specs:
+
+    def one(s):
         try:
             _, pred = fit_predict(s, {}, train, test, features, scaler, label)
-            m = _score(pred, problem_type, label)
-            rows.append({"Model": s.name, **m})
+            return {"Model": s.name, **_score(pred, problem_type, label)}
         except Exception as e:  # noqa: BLE001 - a failing model is reported, not fatal
-            rows.append({"Model": s.name, "error": str(e)[:200]})
+            return {"Model": s.name, "error": str(e)[:200]}
+
+    rows = _parallel(one, specs)
     return leaderboard_frame(spark, rows, problem_type)
 
 
@@ -243,15 +255,19 @@ def cross_validate(df: DataFrame, features: list[str], problem_type: str, scaler
     spark = df.sparkSession
     df = df.cache()
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    rows = []
     key = "F1" if problem_type == "classification" else "R2"
+
+    def one(task):
+        s, f = task
+        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+        _, pred = fit_predict(s, {}, tr, te, features, scaler, label)
+        return _score(pred, problem_type, label)[key]
+
+    tasks = [(s, f) for s in specs for f in folds]
+    scores = dict(zip([(s.name, f) for s, f in tasks], _parallel(one, tasks)))
+    rows = []
     for s in specs:
-        scores = []
-        for f in folds:
-            tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-            _, pred = fit_predict(s, {}, tr, te, features, scaler, label)
-            scores.append(_score(pred, problem_type, label)[key])
-        vals = [v for v in scores if v is not None]
+        vals = [scores[(s.name, f)] for f in folds if scores[(s.name, f)] is not None]
         rows.append((s.name, float(statistics.fmean(vals)) if vals else None,
                      float(statistics.pstdev(vals)) if vals else None, [float(v) for v in vals]))
     return spark.createDataFrame(rows, "Model string, cv_mean double, cv_std double, fold_scores array<double>")
@@ -274,14 +290,19 @@ def random_search(df: DataFrame, features: list[str], problem_type: str, scaler:
     key = "F1" if problem_type == "classification" else "R2"
     df = df.cache()
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    combos = sample_params(spec.grid, n_iter, seed)
+
+    def one(task):
+        i, f = task
+        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+        _, pred = fit_predict(spec, combos[i], tr, te, features, scaler, label)
+        return _score(pred, problem_type, label)[key]
+
+    tasks = [(i, f) for i in range(len(combos)) for f in folds]
+    scores = dict(zip(tasks, _parallel(one, tasks)))
     rows = []
-    for params in sample_params(spec.grid, n_iter, seed):
-        scores = []
-        for f in folds:
-            tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-            _, pred = fit_predict(spec, params, tr, te, features, scaler, label)
-            scores.append(_score(pred, problem_type, label)[key])
-        vals = [v for v in scores if v is not None]
+    for i, params in enumerate(combos):
+        vals = [scores[(i, f)] for f in folds if scores[(i, f)] is not None]
         rows.append((spec.name, str(sorted(params.items())), float(sum(vals) / len(vals)) if vals else None))
     out = spark.createDataFrame(rows, "Model string, params string, cv_score double")
     return out.orderBy(F.desc_nulls_last("cv_score"), "params")
