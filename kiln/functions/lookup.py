@@ -1,9 +1,13 @@
 """Dictionary lookups fitted from data (category -> code / share).
 
-Small dictionaries (size checked at fit time) become one map literal: the
-transform is then a projection with no join at all. Large ones stay a
-DataFrame and are applied with an equi-join on the key; AQE broadcasts it
-at run time if it turns out small and splits skewed keys otherwise.
+Three tiers, decided by a size check at fit time:
+
+* <= MAP_LITERAL_MAX entries: one map literal; the transform is a projection,
+  no join at all (large literals are slow to plan, so the tier is small);
+* <= BROADCAST_MAX rows (counted): the fitted table is written once (reliable
+  checkpoint) and broadcast-joined;
+* larger: the checkpointed table is equi-joined with a shuffle on the key
+  (AQE splits skewed keys).
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAP_LITERAL_MAX = 5_000
+MAP_LITERAL_MAX = 64
+BROADCAST_MAX = 1_000_000
 
 
 @dataclass
@@ -21,7 +26,8 @@ class Lookup:
     key_type: str
     value_type: str
     pairs: list | None = None        # small: [(key, value)]
-    table: DataFrame | None = None   # large: DataFrame(_k, _val)
+    table: DataFrame | None = None   # larger: DataFrame(_k, _val), checkpointed
+    broadcast: bool = False          # table row count <= BROADCAST_MAX (checked)
 
     @staticmethod
     def fit(table: DataFrame, key: str, value: str, key_type: str = "string",
@@ -30,7 +36,14 @@ class Lookup:
         head = t.limit(MAP_LITERAL_MAX + 1).collect()
         if len(head) <= MAP_LITERAL_MAX:
             return Lookup(key_type, value_type, pairs=[(r["_k"], r["_val"]) for r in head])
-        return Lookup(key_type, value_type, table=t)
+        return Lookup.from_table(t, key_type, value_type)
+
+    @staticmethod
+    def from_table(t: DataFrame, key_type: str = "string", value_type: str = "double") -> "Lookup":
+        """A fitted (_k, _val) table: materialised once, broadcast only when its count is small."""
+        from kiln.session import cut_lineage
+        t = cut_lineage(t)
+        return Lookup(key_type, value_type, table=t, broadcast=t.count() <= BROADCAST_MAX)
 
     @property
     def size(self) -> int:
@@ -48,5 +61,6 @@ class Lookup:
         if self.pairs is not None:
             return df.withColumn(out, self.expr(key))
         tmp = df.withColumn("_lk", key.cast(self.key_type))
-        j = tmp.join(self.table.withColumnRenamed("_k", "_lk"), "_lk", "left")
+        right = self.table.withColumnRenamed("_k", "_lk")
+        j = tmp.join(F.broadcast(right) if self.broadcast else right, "_lk", "left")
         return j.withColumnRenamed("_val", out).drop("_lk")

@@ -53,7 +53,7 @@ def _codes_from_order(table: DataFrame, order: str, value_type: str = "string")
     if len(head) <= MAP_LITERAL_MAX:
         return Lookup("string", "double", pairs=[(r["_v"], float(i)) for i, r in enumerate(head)])
     idx = row_index(table, [order, "_v"], "_code")
-    return Lookup("string", "double", table=idx.select(F.col("_v").alias("_k"), F.col("_code").cast("double").alias("_val")))
+    return Lookup.from_table(idx.select(F.col("_v").alias("_k"), F.col("_code").cast("double").alias("_val")))
 
 
 def fit_label_first(df: DataFrame, col: str, order_by: str) -> Lookup:
@@ -246,7 +246,7 @@ class YeoJohnsonParams:
 
 
 def fit_yeo_johnson(df: DataFrame, cols: list[str], lo: float = -4.0, hi: float = 4.0,
-                    points: int = 33, rounds: int = 4) -> YeoJohnsonParams:
+                    points: int = 17, rounds: int = 5) -> YeoJohnsonParams:
     """G16 fit: lambda by maximum likelihood (grid + refinement, one wide aggregate per round),
     then the mean / population std of the transformed column for standardising."""
     centre = {c: (lo + hi) / 2 for c in cols}
