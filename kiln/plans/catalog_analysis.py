@@ -427,3 +427,11 @@ def q_corr_filter(spark, sf):
 def q_corr_filter_apply(spark, sf):
     df = lineitem_twin(spark, sf).select("l_orderkey", "l_linenumber", *TWIN)
     return select.corr_filter(df, TWIN, 0.95)
+
+
+@register("corr_matrix", "SELECT col_a, " + ", ".join(
+    f"round(max(CASE WHEN col_b = '{c}' THEN r END), 6) AS {c}" for c in LI_NUM) +
+    f" FROM {_corr_long_sql('lineitem', LI_NUM)} GROUP BY col_a")
+def q_corr_matrix(spark, sf):
+    """E1 as a square matrix: one row per column, one column per column."""
+    return _round_doubles(bivariate.corr_matrix(table(spark, sf, "lineitem"), LI_NUM))

@@ -508,3 +508,12 @@ def _skew_expr(e):
                                                    for t, c in (("events", "value"),)))
 def q_skew_before_after(spark, sf):
     return _round_doubles(univariate.skew_before_after(table(spark, sf, "events"), ["value"]))
+
+
+@register("detect_target", """SELECT * FROM (VALUES ('labels', 'toxic'), ('embeddings', 'label'),
+  ('orders', 'o_orderpriority'), ('events', 'props'), ('documents', 'n_chars')) t(table_name, target)""")
+def q_detect_target(spark, sf):
+    """B7 on the schemas of five tables: a conventional target name wins, else the last column."""
+    rows = [(t, profile.detect_target(table(spark, sf, t))) for t in ("labels", "embeddings", "orders", "events",
+                                                                     "documents")]
+    return spark.createDataFrame(rows, "table_name string, target string")
