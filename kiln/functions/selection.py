@@ -73,7 +73,8 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
 
     ``targets_fn(counts)`` receives a DataFrame ``keys + [n]`` and returns
     ``keys + [tid, k]`` (k 0-based, 0 <= k < n). The result has
-    ``keys + [tid, value]``; NULL when the group has no value.
+    ``keys + [tid, value, n, below, eq]``: the value, the group's non-null count, and how many
+    values are strictly below / equal to it.
     """
     d = data.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probs = _grid_probs()
@@ -87,7 +88,7 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
     # state per target: lo/hi bracket (NULL = unbounded), k relative to bracket, m rows in bracket
     tg = tg.select(*keys, "tid", F.col("k").cast("long").alias("k"), F.col("n").alias("m"),
                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-                   "_q", F.col("n").alias("_n"))
+                   "_q", F.col("n").alias("_n"), F.col("k").cast("long").alias("_k0"))
     tg = tg.cache()
     n_targets = tg.count()
     small = (not keys) or n_targets <= BROADCAST_TARGETS
@@ -97,7 +98,7 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
         # fast path: one pass counts the rows below each bracket (as a sentinel group) and
         # ranks the few distinct values inside it; targets it cannot prove fall back below
         j_lo, j_hi = _bounds_from_grid(F.col("k"), F.col("m"))
-        one = tg.select(*keys, "tid", "k", "_n", _pick(F.col("_q"), j_lo).alias("lo"),
+        one = tg.select(*keys, "tid", "k", "_n", "_k0", _pick(F.col("_q"), j_lo).alias("lo"),
                         _pick(F.col("_q"), j_hi).alias("hi"))
         res = _final(d, one, keys, small, with_below=True).cache()
         if res.count() == n_targets:
@@ -107,7 +108,7 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
     prev_max = None
     for _ in range(max_rounds):
         j_lo, j_hi = _bounds_from_grid(F.col("k"), F.col("m"))
-        cand = tg.select(*keys, "tid", "k", "m", "lo", "hi", "_n",
+        cand = tg.select(*keys, "tid", "k", "m", "lo", "hi", "_n", "_k0",
                          _pick(F.col("_q"), j_lo).alias("nlo"),
                          _pick(F.col("_q"), j_hi).alias("nhi"))
         cand = cand.cache()
@@ -122,7 +123,7 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
         nxt = cand.join(cnt, on=keys + ["tid"], how="left").fillna(0, subset=["below", "inb"])
         valid = (F.col("below") <= F.col("k")) & (F.col("below") + F.col("inb") > F.col("k"))
         nxt = nxt.select(
-            *keys, "tid", "_n",
+            *keys, "tid", "_n", "_k0",
             F.when(valid, F.col("k") - F.col("below")).otherwise(F.col("k")).alias("k"),
             F.when(valid, F.col("inb")).otherwise(F.col("m")).alias("m"),
             F.when(valid, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
@@ -143,7 +144,7 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
                .agg(F.percentile_approx("_v", probs, ACCURACY).alias("_q")))
         tg = cut_lineage(tg.join(rsk, on=keys + ["tid"], how="left"))
 
-    return _final(d, tg.select(*keys, "tid", "k", "_n", "lo", "hi"), keys, small, with_below=False)
+    return _final(d, tg.select(*keys, "tid", "k", "_n", "_k0", "lo", "hi"), keys, small, with_below=False)
 
 
 def _final(d: DataFrame, t: DataFrame, keys: list[str], small: bool, with_below: bool) -> DataFrame:
@@ -161,13 +162,16 @@ def _final(d: DataFrame, t: DataFrame, keys: list[str], small: bool, with_below:
     else:
         keep = _in_bracket(v, lo, hi)
         val = v
-    vals = (joined.where(keep).select(*keys, "tid", "k", "_n", val.alias("_v"))
-            .groupBy(*keys, "tid", "k", "_n", "_v").agg(F.count(F.lit(1)).alias("c")))
+    vals = (joined.where(keep).select(*keys, "tid", "k", "_n", "_k0", val.alias("_v"))
+            .groupBy(*keys, "tid", "k", "_n", "_k0", "_v").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy(*keys, "tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_cum", F.sum("c").over(w))
     hit = vals.where((F.col("_cum") - F.col("c") <= F.col("k")) & (F.col("k") < F.col("_cum"))
                      & (F.col("_v") != F.lit(float("-inf"))))
-    return hit.select(*keys, "tid", F.col("_v").alias("value"), F.col("_n").alias("n"))
+    # rows strictly below the value (absolute) and rows equal to it
+    below = F.col("_k0") - F.col("k") + F.col("_cum") - F.col("c")
+    return hit.select(*keys, "tid", F.col("_v").alias("value"), F.col("_n").alias("n"), below.alias("below"),
+                      F.col("c").alias("eq"))
 
 
 def _attach_global(tg: DataFrame, sk: DataFrame) -> DataFrame:

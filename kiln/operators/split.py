@@ -29,18 +29,22 @@ def _cut(df: DataFrame, by: list[str], k_df: DataFrame) -> DataFrame:
             counts.withColumn("_g", F.lit(0)).join(F.broadcast(k_df.withColumn("_g", F.lit(0))), "_g").drop("_g")
         return t.where(F.col("_k") >= 1).select(*by, F.lit(0).alias("tid"), (F.col("_k") - 1).alias("k"))
 
-    thr = order_statistics(df, by, "_h", targets).select(*by, F.col("value").alias("_thr"))
-    joined = _attach(df, thr, by)
-    below = joined.groupBy(*by).agg(F.count_if(F.col("_h") < F.col("_thr")).alias("_lt"))
+    stats = order_statistics(df, by, "_h", targets)
+    thr = stats.select(*by, F.col("value").alias("_thr"), F.col("below").alias("_lt"), F.col("eq").alias("_eq"))
+    thr = _attach(thr, k_df.select(*by, "_k"), by)
+    rows = thr.collect()  # one row per class
+    spark = df.sparkSession
+    schema = thr.select(*by, "_thr").schema.add("_cut", "string")
+    if all(r["_k"] - r["_lt"] == r["_eq"] for r in rows):
+        # the k-th hash prefix is not shared across the cut: take every row up to it
+        return spark.createDataFrame([(*[r[c] for c in by], r["_thr"], None) for r in rows], schema)
     # rows sharing the threshold prefix: a handful per group, ranked by the full digest
-    ties = joined.where(F.col("_h") == F.col("_thr"))
-    ties = _attach(ties, below, by)
-    ties = _attach(ties, k_df.select(*by, "_k"), by)
+    ties = _attach(df, thr, by).where(F.col("_h") == F.col("_thr"))
     from pyspark.sql import Window
     w = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
     ties = ties.withColumn("_rn", F.row_number().over(w.orderBy("_md5")))
     cut = ties.where(F.col("_rn") == F.col("_k") - F.col("_lt")).select(*by, F.col("_md5").alias("_cut"))
-    return thr.join(cut, by, "left") if by else _attach(thr, cut, [], how="left")
+    return thr.select(*by, "_thr").join(cut, by, "left") if by else _attach(thr.select("_thr"), cut, [], how="left")
 
 
 def _attach(df: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -82,7 +86,8 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
         k_df = spark.createDataFrame([(int(math.ceil(n * test)),)], "_k long")
     cut = _cut(h, by, k_df)
     j = _attach(h, cut, by, how="left")
-    is_test = (F.col("_h") < F.col("_thr")) | ((F.col("_h") == F.col("_thr")) & (F.col("_md5") <= F.col("_cut")))
+    is_test = (F.col("_h") < F.col("_thr")) | ((F.col("_h") == F.col("_thr")) &
+                                              (F.col("_cut").isNull() | (F.col("_md5") <= F.col("_cut"))))
     return j.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_h", "_md5", "_thr", "_cut")
 
 

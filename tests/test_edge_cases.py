@@ -147,3 +147,22 @@ def test_split_sizes_disjoint_covering(spark):
     a = {r[0] for r in tr.collect()}
     b = {r[0] for r in te.collect()}
     assert len(b) == math.ceil(1001 * 0.2) and not (a & b) and len(a | b) == 1001
+
+
+def test_split_tie_path_matches_md5_order(spark, monkeypatch):
+    """Coarse hash prefixes force many ties at the cut; the full digest must settle them."""
+    import hashlib
+
+    from kiln.functions import exprs
+    coarse = lambda keys, seed=42: F.floor(exprs.hash_unit(keys, seed) * 8) / 8
+    monkeypatch.setattr(split, "hash_unit", coarse)
+    rows = [(i, "a" if i % 3 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    out = {r["id"]: r["is_test"] for r in split.split_flags(df, ["id"], 0.2, 42, stratify="t").collect()}
+    counts = {"a": 200, "b": 100}
+    alloc = split._allocate(counts, math.ceil(300 * 0.2))
+    for cls in ("a", "b"):
+        ids = [i for i, t in rows if t == cls]
+        ids.sort(key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+        want = set(ids[:alloc[cls]])
+        assert {i for i in ids if out[i]} == want
