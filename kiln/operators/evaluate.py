@@ -126,3 +126,21 @@ def binary_report(pred: DataFrame, label: str = "label", prediction: str = "pred
 def _one_row_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Put the columns of two one-row aggregates side by side (equi-join on a constant key)."""
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def roc_auc_ovr_long(scores: DataFrame, cls: str = "class", score: str = "score", is_pos: str = "is_pos",
+                     weighted: bool = True) -> DataFrame:
+    """L2 (multi-class, one-vs-rest) from long scores ``(row, class, score, is_pos)``: exact
+    tie-averaged AUC per class, then the support-weighted (or macro) mean. Work is one grouped
+    pass per (class, score); the running sum runs per class over its distinct scores."""
+    per = scores.groupBy(F.col(q(cls)).alias("_c"), F.col(q(score)).cast("double").alias("_s")).agg(
+        F.sum(F.col(q(is_pos)).cast("long")).alias("pos"), F.sum(1 - F.col(q(is_pos)).cast("long")).alias("neg"))
+    w = Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("nb", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    auc = per.groupBy("_c").agg(
+        F.try_divide(F.sum(F.col("pos") * F.col("nb") + 0.5 * F.col("pos") * F.col("neg")),
+                     F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("support"))
+    if weighted:
+        return auc.agg((F.sum(F.col("auc") * F.col("support")) / F.sum(F.when(F.col("auc").isNotNull(),
+                                                                                F.col("support")))).alias("auc"))
+    return auc.agg(F.avg("auc").alias("auc"))

@@ -410,3 +410,29 @@ def q_anomaly_flags(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "value", "user_id")
     return _round_doubles(extras.anomaly_flags(ev, ["value", "user_id"]).select("event_id", "anomaly_score",
                                                                                  "is_anomaly"))
+
+
+@register("roc_auc_ovr", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id)
+        AS rn FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+v AS (SELECT vec_id, label AS cls, count(*) / 5.0 AS share FROM d WHERE rn <= 5 GROUP BY ALL),
+c AS (SELECT DISTINCT label AS cls FROM embeddings),
+s AS (SELECT e.vec_id, c.cls, coalesce(v.share, 0.0) AS score, e.label = c.cls AS is_pos
+      FROM e JOIN c ON true LEFT JOIN v ON v.vec_id = e.vec_id AND v.cls = c.cls),
+g AS (SELECT cls, score, count_if(is_pos) AS pos, count_if(NOT is_pos) AS neg FROM s GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+      AND 1 PRECEDING), 0) AS nb FROM g),
+a AS (SELECT cls, sum(pos * nb + 0.5 * pos * neg) / (sum(pos) * sum(neg)) AS auc, sum(pos) AS support FROM r GROUP BY cls)
+SELECT round(sum(auc * support) / sum(support), 6) AS auc FROM a""")
+def q_roc_auc_ovr(spark, sf):
+    """L2 multi-class: leave-one-out 5-NN vote shares as class scores, one-vs-rest AUC weighted by support."""
+    emb = table(spark, sf, "embeddings")
+    cand = neighbours.knn_candidates(emb, emb, 5, "vec_id", "vec_id", "embedding", "label", exclude_self=True)
+    votes = cand.groupBy(F.col("_qid").alias("vec_id"), F.col("_tlabel").alias("class")).agg(
+        (F.count(F.lit(1)) / 5.0).alias("score"))
+    classes = sorted(r[0] for r in emb.select("label").distinct().collect())  # bounded: the class list
+    rows = emb.select("vec_id", "label", F.explode(F.array(*[F.lit(float(c)) for c in classes])).alias("class"))
+    long = rows.join(votes, ["vec_id", "class"], "left").select(
+        "vec_id", "class", F.coalesce("score", F.lit(0.0)).alias("score"),
+        (F.col("label").cast("double") == F.col("class")).alias("is_pos"))
+    return _round_doubles(evaluate.roc_auc_ovr_long(long))
