@@ -221,11 +221,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out.select(*keys, "p", F.when(frac == 0, F.col("v0")).otherwise(value).alias("value"))
 
 
-def quantile_dict(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, dict[float, float]]:
-    """Global exact quantiles collected as ``{column: {p: value}}`` (small result)."""
+def quantile_dict(df: DataFrame, cols: list[str], probs: list[float],
+                  exact: bool = True) -> dict[str, dict[float, float]]:
+    """Global quantiles collected as ``{column: {p: value}}`` (small result).
+
+    ``exact=False`` returns ``percentile_approx`` values (rank error <= n / ACCURACY) from one
+    aggregate, for fits where an approximate bound is acceptable.
+    """
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
     if not cols:
         return out
+    if not exact:
+        r = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), ACCURACY).alias(f"q{i}")
+                     for i, c in enumerate(cols)]).first()
+        for i, c in enumerate(cols):
+            for p, v in zip(probs, r[f"q{i}"] or []):
+                out[c][round(p, 12)] = v
+        return out
     for r in exact_quantiles(df, cols, probs).collect():
         out[r["column_name"]][round(r["p"], 12)] = r["value"]
     return out

@@ -20,9 +20,10 @@ from kiln.session import cut_lineage
 CHECKPOINT_EVERY = 4
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
-    """[Q1 - f*IQR, Q3 + f*IQR] with interpolated quartiles."""
-    qd = quantile_dict(df, cols, [0.25, 0.75])
+def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5,
+               exact: bool = True) -> dict[str, tuple[float, float]]:
+    """[Q1 - f*IQR, Q3 + f*IQR] with interpolated quartiles (``exact=False``: sketch quartiles)."""
+    qd = quantile_dict(df, cols, [0.25, 0.75], exact=exact)
     out = {}
     for c in cols:
         q1, q3 = qd.get(c, {}).get(0.25), qd.get(c, {}).get(0.75)

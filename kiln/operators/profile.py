@@ -53,8 +53,19 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cardinality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(column_name, n_rows, n_non_null, n_missing, n_unique)`` from the frequency table."""
+def cardinality(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """``(column_name, n_rows, n_non_null, n_missing, n_unique)`` from the frequency table.
+
+    ``exact=False``: one aggregate with HyperLogLog distinct counts (2 % error) and no shuffle of
+    values, for very wide or very high-cardinality tables where an estimate suffices.
+    """
+    if not exact:
+        cols = list(cols or df.columns)
+        parts = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"),
+                          F.count(F.col(q(c))).alias("n_non_null"),
+                          F.count_if(F.col(q(c)).isNull()).alias("n_missing"),
+                          F.approx_count_distinct(F.col(q(c)), 0.02).alias("n_unique")) for c in cols]
+        return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     ft = frequency_table(df, cols)
     return ft.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"),
@@ -81,12 +92,12 @@ def shape_census(df: DataFrame) -> DataFrame:
         "n_rows bigint, n_cols int, n_numeric int, n_categorical int, missing_cells bigint, missing_columns int")
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """B2: dtype, missing %, n_unique (non-null), unique_ratio = n_unique / max(rows, 1)."""
     spark = df.sparkSession
     types = spark.createDataFrame([(c, dtype_of(df, c), i) for i, c in enumerate(df.columns)],
                                   "column_name string, dtype string, position int")
-    card = cardinality(df)
+    card = cardinality(df, exact=exact)
     out = card.join(F.broadcast(types), "column_name")
     rows = F.col("n_rows").cast("double")
     return out.select(
