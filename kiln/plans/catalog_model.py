@@ -317,13 +317,37 @@ def q_score_target_columns(spark, sf):
 Q["score_target_columns"] = q_score_target_columns
 
 
+def _sk_abs(c, t):
+    return f"SELECT abs(CASE WHEN count({c}) >= 3 THEN coalesce(skewness({c}), 0) END) AS s FROM {t}"
+
+
+def _iqr_out(c, t):
+    return (f"SELECT count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS o FROM {t}, "
+            f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t})")
+
+
+RECO_SQL = """WITH t AS (SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang FROM labels l JOIN documents d USING (doc_id)),
+sk AS (""" + " UNION ALL ".join(_sk_abs(c, "t") for c in ("doc_id", "toxic", "n_chars")) + """),
+oc AS (""" + " UNION ALL ".join(_iqr_out(c, "t") for c in ("doc_id", "toxic", "n_chars")) + """),
+cls AS (SELECT count(*) AS n FROM t GROUP BY quality),
+f AS (SELECT (SELECT median(s) FROM sk) AS ms, (SELECT max(o) FROM oc) / (SELECT count(*) FROM t) AS os,
+             (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT lang) FROM t) AS ul,
+             (SELECT min(n) FROM cls) / (SELECT max(n) FROM cls) AS ratio)
+SELECT CASE WHEN ms < 0.5 THEN 'Fill — mean' ELSE 'Fill — median' END AS missing_strategy,
+       CASE WHEN n < 1000 THEN 'IQR' ELSE 'Z-score' END AS outlier_method,
+       CASE WHEN os < 0.05 THEN 'Cap (clip)' ELSE 'Remove rows' END AS outlier_action,
+       CASE WHEN ul < 10 THEN 'One-Hot Encoding' ELSE 'Label Encoding' END AS encoding_method,
+       CASE WHEN ratio >= 0.6 THEN 0.2 ELSE 0.3 END::DOUBLE AS test_size,
+       round(ms, 6) AS median_abs_skew, round(os, 6) AS max_outlier_share FROM f"""
+
+
+@register("recommend_config", RECO_SQL)
 def q_recommend_config(spark, sf):
-    """B14 on labels joined to documents (rows-only: a decision row)."""
+    """B14 on labels joined to documents: the decision rules from one set of aggregates."""
     df = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
-    return textrules.recommend_config(df, "quality")
+    return _round_doubles(textrules.recommend_config(df, "quality"))
 
 
-Q["recommend_config"] = q_recommend_config
 
 
 def q_resolve_target(spark, sf):
