@@ -90,9 +90,9 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
                    "_q", F.col("n").alias("_n"), F.col("k").cast("long").alias("_k0"))
     tg = tg.cache()
-    n_targets = tg.count()
+    size = tg.agg(F.count(F.lit(1)).alias("t"), F.max("_n").alias("mx")).first()
+    n_targets, max_n = int(size["t"]), int(size["mx"] or 0)
     small = (not keys) or n_targets <= BROADCAST_TARGETS
-    max_n = sk.agg(F.max("n")).first()[0] or 0
 
     if max_n * BRACKET_SHARE + 2.0 * max_n / ACCURACY + 2 <= cap:
         # fast path: one pass counts the rows below each bracket (as a sentinel group) and
@@ -100,10 +100,17 @@ def order_statistics(data: DataFrame, keys: list[str], value: str, targets_fn,
         j_lo, j_hi = _bounds_from_grid(F.col("k"), F.col("m"))
         one = tg.select(*keys, "tid", "k", "_n", "_k0", _pick(F.col("_q"), j_lo).alias("lo"),
                         _pick(F.col("_q"), j_hi).alias("hi"))
-        res = _final(d, one, keys, small, with_below=True).cache()
-        if res.count() == n_targets:
-            return res
-        res.unpersist()
+        res = _final(d, one, keys, small, with_below=True)
+        if small:
+            # the answer has one row per target and the target count is checked: collect it
+            rows = res.collect()
+            if len(rows) == n_targets:
+                return data.sparkSession.createDataFrame(rows, res.schema)
+        else:
+            res = res.cache()
+            if res.count() == n_targets:
+                return res
+            res.unpersist()
 
     prev_max = None
     for _ in range(max_rounds):
