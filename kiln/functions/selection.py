@@ -195,6 +195,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     With ``long_input`` the frame already has ``by + [column_name, _x]``.
     """
     by = list(by or [])
+    if not by and not long_input:
+        fast = global_quantiles(df, cols, probs, cap=cap)
+        if fast is not None:
+            rows = [(c, p, v) for c in cols for p, v in fast[c].items()]
+            return df.sparkSession.createDataFrame(rows, "column_name string, p double, value double")
     if long_input:
         long = df
     elif len(cols) == 1:
@@ -228,6 +233,105 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out.select(*keys, "p", F.when(frac == 0, F.col("v0")).otherwise(value).alias("value"))
 
 
+# probe offsets (in units of 1/ACCURACY) around each wanted probability; after the count is
+# known the tightest offset whose bracket the sketch's error bound guarantees is used
+PROBE_STEPS = (2, 4, 16, 64, 256, 1024, 4096)
+COLLECT_CAP = 1_000_000  # bracket rows (bound from n) a global pick may bring to the driver
+
+
+def _pos(p: float, n: int) -> tuple[int, int, float]:
+    pos = p * (n - 1)
+    k0 = int(pos // 1)
+    return k0, min(k0 + 1, n - 1) if pos > k0 else k0, pos - k0
+
+
+def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                     cap: int = COLLECT_CAP) -> dict[str, dict[float, float]] | None:
+    """Exact global quantiles in two jobs, or None when the bracket cannot be proven small.
+
+    Job 1 is one aggregate: the non-null count and a ladder of ``percentile_approx`` probes
+    around every p. Job 2 is one grouped count over the values inside each bracket (rows below a
+    bracket collapse to one flagged group per target), collected only when its size bound
+    ``2 * (d + 1/ACCURACY) * n + 3`` rows per target is below ``COLLECT_CAP``. The pick itself
+    uses the counts, so a bracket that misses its ranks is detected and the caller falls back
+    to the distributed selector.
+    """
+    probs = [float(p) for p in probs]
+    if not cols or not probs:
+        return {c: {} for c in cols}
+    ladder = sorted({min(1.0, max(0.0, p + s * d / ACCURACY)) for p in probs for d in PROBE_STEPS
+                     for s in (-1, 1)} | set(probs))
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    r = df.agg(*[a for i, c in enumerate(cols) for a in (
+        F.count(x[c]).alias(f"n{i}"), F.percentile_approx(x[c], ladder, ACCURACY).alias(f"q{i}"))]).first()
+    at = {q: j for j, q in enumerate(ladder)}
+
+    targets = []  # (column index, p, lo or None, hi or None, n)
+    for i, c in enumerate(cols):
+        n = int(r[f"n{i}"])
+        if n == 0:
+            continue
+        grid = r[f"q{i}"]
+        for p in probs:
+            # smallest offset with (d - 1/ACCURACY) * n >= 2 brackets ranks floor/ceil(p(n-1))
+            d = next((d for d in PROBE_STEPS if (d - 1) * n >= 2 * ACCURACY), None)
+            if d is None:
+                lo = hi = None
+                bound = n
+            else:
+                lo_q, hi_q = max(0.0, p - d / ACCURACY), min(1.0, p + d / ACCURACY)
+                lo = grid[at[lo_q]] if lo_q > 0.0 else None
+                hi = grid[at[hi_q]] if hi_q < 1.0 else None
+                bound = 2 * (d + 1) * n / ACCURACY + 3
+            if bound > min(cap, COLLECT_CAP):
+                return None
+            targets.append((i, p, lo, hi, n))
+    out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    if not targets:
+        return out
+
+    elems = []
+    for t, (i, p, lo, hi, n) in enumerate(targets):
+        v = x[cols[i]]
+        inside = v.isNotNull()
+        if lo is not None:
+            inside = inside & (v >= F.lit(lo))
+        if hi is not None:
+            inside = inside & (v <= F.lit(hi))
+        e = F.when(inside, F.struct(F.lit(t).alias("t"), F.lit(False).alias("b"), v.alias("v")))
+        if lo is not None:
+            e = F.when(v < F.lit(lo), F.struct(F.lit(t).alias("t"), F.lit(True).alias("b"),
+                                               F.lit(None).cast("double").alias("v"))).otherwise(e)
+        elems.append(e)
+    arr = F.filter(F.array(*elems), lambda e: e.isNotNull())
+    counts = (df.select(F.explode(arr).alias("e")).select("e.t", "e.b", "e.v")
+              .groupBy("t", "b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
+
+    below = [0] * len(targets)
+    vals: list[list[tuple[float, int]]] = [[] for _ in targets]
+    for row in counts:
+        if row["b"]:
+            below[row["t"]] += row["c"]
+        else:
+            vals[row["t"]].append((row["v"], row["c"]))
+    for t, (i, p, lo, hi, n) in enumerate(targets):
+        k0, k1, frac = _pos(p, n)
+        ordered = sorted(vals[t], key=lambda vc: (vc[0] != vc[0], vc[0]))  # NaN sorts last, as in Spark
+        inside_n = sum(c for _, c in ordered)
+        if not (below[t] <= k0 and k1 < below[t] + inside_n):
+            return None
+
+        def kth(k, ordered=ordered, base=below[t]):
+            cum = base
+            for v, c in ordered:
+                cum += c
+                if k < cum:
+                    return v
+        v0, v1 = kth(k0), kth(k1)
+        out[cols[i]][round(p, 12)] = v0 if frac == 0 else v0 + frac * (v1 - v0)
+    return out
+
+
 def quantile_dict(df: DataFrame, cols: list[str], probs: list[float],
                   exact: bool = True) -> dict[str, dict[float, float]]:
     """Global quantiles collected as ``{column: {p: value}}`` (small result).
@@ -245,6 +349,9 @@ def quantile_dict(df: DataFrame, cols: list[str], probs: list[float],
             for p, v in zip(probs, r[f"q{i}"] or []):
                 out[c][round(p, 12)] = v
         return out
+    fast = global_quantiles(df, cols, probs)
+    if fast is not None:
+        return fast
     for r in exact_quantiles(df, cols, probs).collect():
         out[r["column_name"]][round(r["p"], 12)] = r["value"]
     return out

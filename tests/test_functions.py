@@ -103,3 +103,44 @@ def test_wide_correlation_gram_path_matches_expressions(spark, monkeypatch):
             assert got[key] is None, key
         else:
             assert got[key] == pytest.approx(v, abs=1e-9), key
+
+
+def _np_quantiles(vals, probs):
+    # brute force: sort, then linear interpolation between the floor and ceil ranks
+    arr = sorted(v for v in vals if v is not None and v == v)
+    out = {}
+    for p in probs:
+        pos = p * (len(arr) - 1)
+        k0 = int(pos // 1)
+        k1 = min(k0 + 1, len(arr) - 1)
+        frac = pos - k0
+        out[p] = arr[k0] if frac == 0 else arr[k0] + frac * (arr[k1] - arr[k0])
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 37, 30_000])
+def test_global_quantiles_two_job_path(spark, n):
+    rng = np.random.default_rng(n)
+    # a third of the rows share one hot value; the rest are spread, with ties and infinities
+    vals = [7.5 if i % 3 == 0 else float(np.round(rng.normal(scale=10), 2)) for i in range(n)]
+    if n > 5:
+        vals[1], vals[2] = float("inf"), float("-inf")
+    df = spark.createDataFrame([(v, v * 2) for v in vals], "x double, y double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = selection.global_quantiles(df, ["x", "y"], probs)
+    assert got is not None
+    for c, mult in (("x", 1), ("y", 2)):
+        want = _np_quantiles([v * mult for v in vals], probs)
+        for p in probs:
+            w = want[p]
+            assert got[c][p] == w or (w != w and got[c][p] != got[c][p]) or got[c][p] == pytest.approx(w, rel=1e-12)
+
+
+def test_global_quantiles_null_column_and_cap_fallback(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(50)], "x double, y double")
+    got = selection.quantile_dict(df, ["x", "y"], [0.5])
+    assert got["x"] == {} and got["y"][0.5] == pytest.approx(24.5)
+    # a cap below the bracket bound declines, and the distributed selector answers instead
+    assert selection.global_quantiles(df, ["y"], [0.5], cap=3) is None
+    res = selection.exact_quantiles(df, ["y"], [0.5], cap=3).collect()
+    assert res[0]["value"] == pytest.approx(24.5)
