@@ -303,8 +303,9 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             e = F.when(v < F.lit(lo), F.struct(F.lit(t).alias("t"), F.lit(True).alias("b"),
                                                F.lit(None).cast("double").alias("v"))).otherwise(e)
         elems.append(e)
-    arr = F.filter(F.array(*elems), lambda e: e.isNotNull())
-    counts = (df.select(F.explode(arr).alias("e")).select("e.t", "e.b", "e.v")
+    # explode then a plain filter: both stay in whole-stage codegen (a lambda filter would not)
+    counts = (df.select(F.explode(F.array(*elems)).alias("e")).where(F.col("e").isNotNull())
+              .select("e.t", "e.b", "e.v")
               .groupBy("t", "b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
 
     below = [0] * len(targets)

@@ -124,6 +124,8 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, whisker: fl
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
     wide = wide.withColumn("lo_fence", F.col("q1") - whisker * F.col("iqr")) \
                .withColumn("hi_fence", F.col("q3") + whisker * F.col("iqr"))
+    if not keys:
+        return _box_global(df, wide)
     long = df.select(*keys, *[F.col(q(c)).cast("double").alias(c) for c in cols]) \
         .unpivot(keys, cols, "column_name", "_x").where(F.col("_x").isNotNull())
     # one row per (group, column): bounded by #groups x #columns
@@ -138,6 +140,23 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, whisker: fl
         *keys, "column_name", "q1", "median", "q3", "iqr", "lower_whisker", "upper_whisker", "n_outliers")
 
 
+def _box_global(df: DataFrame, wide: DataFrame) -> DataFrame:
+    """Whiskers of ungrouped columns: the fences are literals, so one aggregate, no join."""
+    fences = wide.collect()  # one row per column
+    aggs = []
+    for i, r in enumerate(fences):
+        x = F.col(q(r["column_name"])).cast("double")
+        inside = (x >= F.lit(r["lo_fence"])) & (x <= F.lit(r["hi_fence"]))
+        aggs += [F.min(F.when(inside, x)).alias(f"lw{i}"), F.max(F.when(inside, x)).alias(f"uw{i}"),
+                 F.count_if(x.isNotNull() & ~inside).alias(f"no{i}")]
+    wh = df.agg(*aggs).first() if aggs else None
+    rows = [(r["column_name"], r["q1"], r["median"], r["q3"], r["iqr"], wh[f"lw{i}"], wh[f"uw{i}"], wh[f"no{i}"])
+            for i, r in enumerate(fences)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, q1 double, median double, q3 double, iqr double, lower_whisker double, "
+              "upper_whisker double, n_outliers long")
+
+
 def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     """Text value, count, share of non-missing; ordered by count desc, value asc."""
     v = F.col(q(col)).cast("string")
