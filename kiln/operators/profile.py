@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kiln.functions.exprs import (is_bool, is_integral, is_numeric, is_string, is_temporal,
                                   q, skew_sample)
 from kiln.functions.ordering import lag_pairs
-from kiln.functions.selection import exact_quantiles
+from kiln.functions.selection import quantile_dict
 
 # Fixed values that decide behaviour (must equal the reference's rules).
 ID_NAME_TOKENS = ("id", "uuid", "identifier", "case_no", "caseid", "record_no")
@@ -116,42 +116,43 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Count, unique, top, freq (all columns); mean, std, min, quartiles, max (numeric)."""
+    """Count, unique, top, freq (all columns); mean, std, min, quartiles, max (numeric).
+
+    Three jobs whose answers are bounded by the number of columns: the frequency table reduced
+    to (unique, top, freq) per text column, one aggregate for counts and moments, and the exact
+    quartiles. Ties for ``top`` go to the smallest value.
+    """
+    spark = df.sparkSession
     nums = numeric_columns(df)
     others = [c for c in df.columns if c not in nums]
-    ft = frequency_table(df, others).where(F.col("value").isNotNull())
-    top = ft.groupBy("column_name").agg(
-        F.count("value").alias("unique"),
-        F.max("n").alias("freq"))
-    # smallest value among the most frequent ones (deterministic tie-break)
-    ties = ft.join(top.select("column_name", "freq"), "column_name").where(F.col("n") == F.col("freq"))
-    top_v = ties.groupBy("column_name").agg(F.min("value").alias("top"))
-    cats = top.join(top_v, "column_name").select("column_name", "unique", "top", "freq")
-    counts = df.agg(*[F.count(F.col(q(c))).alias(c) for c in df.columns])
-    cnt_long = counts.unpivot([], df.columns, "column_name", "count") if df.columns else None
-    if nums:
-        aggs = []
-        for c in nums:
+    cats = {}
+    if others:
+        ft = frequency_table(df, others).where(F.col("value").isNotNull())
+        for r in ft.groupBy("column_name").agg(
+                F.count("value").alias("unique"),
+                F.min(F.struct(F.negative(F.col("n")).alias("nn"), F.col("value").alias("v"))).alias("_m")).collect():
+            cats[r["column_name"]] = (r["unique"], r["_m"]["v"], -r["_m"]["nn"])
+    aggs = [F.count(F.col(q(c))).alias(f"{i}__count") for i, c in enumerate(df.columns)]
+    for i, c in enumerate(df.columns):
+        if c in nums:
             x = F.col(q(c)).cast("double")
-            aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                     F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        mom = df.agg(*aggs)
-        stacked = mom.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}__mean`").alias("mean"),
-                     F.col(f"`{c}__std`").alias("std"), F.col(f"`{c}__min`").alias("min"),
-                     F.col(f"`{c}__max`").alias("max")) for c in nums])).alias("s")).select("s.*")
-        ql = exact_quantiles(df, nums, [0.25, 0.5, 0.75])
-        qs = ql.groupBy("column_name").agg(
-            *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
-              for p, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-        numeric = stacked.join(qs, "column_name", "left")
-    else:
-        numeric = df.sparkSession.createDataFrame(
-            [], "column_name string, mean double, std double, min double, max double, "
-                "p25 double, p50 double, p75 double")
-    out = cnt_long.join(cats, "column_name", "left").join(numeric, "column_name", "left")
-    return out.select("column_name", "count", "unique", "top", "freq", "mean", "std", "min",
-                      "p25", "p50", "p75", "max")
+            aggs += [F.avg(x).alias(f"{i}__mean"), F.stddev_samp(x).alias(f"{i}__std"),
+                     F.min(x).alias(f"{i}__min"), F.max(x).alias(f"{i}__max")]
+    row = df.agg(*aggs).first() if aggs else None
+    qd = quantile_dict(df, nums, [0.25, 0.5, 0.75]) if nums else {}
+    rows = []
+    for i, c in enumerate(df.columns):
+        unique, top, freq = cats.get(c, (None, None, None))
+        if c in nums:
+            qc = qd.get(c, {})
+            num = (row[f"{i}__mean"], row[f"{i}__std"], row[f"{i}__min"], qc.get(0.25), qc.get(0.5), qc.get(0.75),
+                   row[f"{i}__max"])
+        else:
+            num = (None,) * 7
+        rows.append((c, row[f"{i}__count"], unique, top, freq, *num))
+    return spark.createDataFrame(rows, "column_name string, count bigint, unique bigint, top string, freq bigint, "
+                                       "mean double, std double, min double, p25 double, p50 double, p75 double, "
+                                       "max double")
 
 
 def missing_report(df: DataFrame) -> DataFrame:
