@@ -100,13 +100,21 @@ def ordinal_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+MAX_ONE_HOT_LEVELS = 10_000  # one output column per level: beyond this a projection is not a sane plan
+
+
 def fit_one_hot_levels(df: DataFrame, col: str, limit: int | None = None) -> list[str]:
-    """Sorted distinct text values (bounded: callers pass low-cardinality columns)."""
-    vals = df.select(_text(col).alias("_v")).where(F.col("_v").isNotNull()).distinct().orderBy("_v")
-    rows = vals.limit((limit or 10_000) + 1).collect()
-    if limit is not None and len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} levels")
-    return [r["_v"] for r in rows]
+    """Sorted distinct text values; more than ``limit`` (default ``MAX_ONE_HOT_LEVELS``) is an error.
+
+    The distinct count is checked before any level reaches the driver, and no level is ever
+    dropped: a column over the bound raises instead of being truncated.
+    """
+    bound = limit if limit is not None else MAX_ONE_HOT_LEVELS
+    vals = df.select(_text(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    n = vals.count()
+    if n > bound:
+        raise ValueError(f"{col} has {n} levels, more than {bound}")
+    return sorted(r["_v"] for r in vals.collect())
 
 
 def one_hot_exprs(col: str, levels: list[str], drop_first: bool = True, prefix: str | None = None) -> list[Column]:

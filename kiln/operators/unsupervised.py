@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import finite, is_numeric, is_string, is_temporal, q
-from kiln.operators.clean import all_null_columns, column_medians, column_mode
-from kiln.operators.encode import epoch_seconds, fit_one_hot_levels, one_hot_exprs
+from kiln.operators.clean import all_null_columns, column_medians
+from kiln.operators.encode import MAX_ONE_HOT_LEVELS, epoch_seconds, one_hot_exprs
 from kiln.operators.neighbours import dbscan, silhouette_exact
 from kiln.operators.scale import STANDARD, fit_scaler
 from kiln.operators.select import zero_variance_columns
@@ -25,9 +25,34 @@ MIN_FEATURES = 2
 PCA_VARIANCE = 0.95
 
 
-def unsupervised_matrix(df: DataFrame, id_col: str | None = None, max_levels: int = 50) -> DataFrame:
+def _text_modes_and_levels(df: DataFrame, texts: list[str]) -> dict[str, tuple]:
+    """``{column: (mode, sorted levels)}`` for all text columns from one frequency table.
+
+    The first job returns one row per column (level count and mode, the smallest value among
+    the most frequent); levels are collected only after every count is checked against
+    ``MAX_ONE_HOT_LEVELS``.
+    """
+    if not texts:
+        return {}
+    wide = df.select(*[F.col(q(c)).cast("string").alias(c) for c in texts])
+    ft = (wide.unpivot([], texts, "column_name", "value").where(F.col("value").isNotNull())
+          .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    stats = {r["column_name"]: r for r in ft.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("nu"),
+        F.min(F.struct(F.negative(F.col("n")).alias("nn"), F.col("value").alias("v"))).alias("m")).collect()}
+    for c, r in stats.items():
+        if r["nu"] > MAX_ONE_HOT_LEVELS:
+            raise ValueError(f"{c} has {r['nu']} levels, more than {MAX_ONE_HOT_LEVELS}")
+    levels: dict[str, list[str]] = {c: [] for c in texts}
+    for r in ft.select("column_name", "value").collect():
+        levels[r["column_name"]].append(r["value"])
+    return {c: (stats[c]["m"]["v"] if c in stats else None, sorted(levels[c])) for c in texts}
+
+
+def unsupervised_matrix(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """M1: all-null columns dropped; datetimes -> seconds; numeric median fill; text mode fill +
-    one-hot (first level dropped); NaN / inf / missing -> 0; zero-variance columns dropped."""
+    one-hot of every level (first level dropped); NaN / inf / missing -> 0; zero-variance columns
+    dropped."""
     keep = [c for c in df.columns if c != id_col]
     dead = set(all_null_columns(df.select(*keep))) if keep else set()
     cols = [c for c in keep if c not in dead]
@@ -40,12 +65,11 @@ def unsupervised_matrix(df: DataFrame, id_col: str | None = None, max_levels: in
     sel = [F.col(q(id_col))] if id_col else []
     sel += [F.coalesce(finite(F.coalesce(F.col(q(c)).cast("double"), F.lit(med[c]))), F.lit(0.0)).alias(c)
             for c in nums]
+    fitted = _text_modes_and_levels(base, texts)
     for c in texts:
-        m = column_mode(base, c)
-        filled = F.coalesce(F.col(q(c)), F.lit(m))
-        levels = fit_one_hot_levels(base.select(filled.alias(c)), c)[:max_levels]
+        m, levels = fitted[c]
+        base = base.withColumn(c, F.coalesce(F.col(q(c)), F.lit(m)))
         sel += [e.cast("double") for e in one_hot_exprs(c, levels, drop_first=True)] if levels else []
-        base = base.withColumn(c, filled)
     mat = base.select(*sel)
     feats = [c for c in mat.columns if c != id_col]
     return mat.drop(*zero_variance_columns(mat, feats, fill_zero=True))

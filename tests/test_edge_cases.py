@@ -166,3 +166,19 @@ def test_split_tie_path_matches_md5_order(spark, monkeypatch):
         ids.sort(key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
         want = set(ids[:alloc[cls]])
         assert {i for i in ids if out[i]} == want
+
+
+def test_unsupervised_matrix_keeps_every_level(spark):
+    from kiln.operators import unsupervised
+    rows = [(i, f"v{i % 60:02d}", float(i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, c string, x double")
+    mat = unsupervised.unsupervised_matrix(df, id_col="id")
+    # 60 levels, first dropped: all 59 indicator columns survive (no level cap)
+    assert len([c for c in mat.columns if c.startswith("c_")]) == 59
+
+
+def test_one_hot_levels_over_bound_raise_not_truncate(spark):
+    df = spark.createDataFrame([(f"v{i}",) for i in range(5)], "c string")
+    assert encode.fit_one_hot_levels(df, "c", 5) == [f"v{i}" for i in range(5)]
+    with pytest.raises(ValueError):
+        encode.fit_one_hot_levels(df, "c", 3)
