@@ -196,8 +196,9 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
     u = unique_counts(df, texts) if texts else {}
     ratio = None
     if target:
-        cnt = [row[1] for row in df.groupBy(target).count().collect()]
-        ratio = min(cnt) / max(cnt) if cnt else None
+        # smallest / largest class count in one row (a continuous target has one group per value)
+        mm = df.groupBy(q(target)).count().agg(F.min("count").alias("lo"), F.max("count").alias("hi")).first()
+        ratio = mm["lo"] / mm["hi"] if mm["hi"] else None
     rows = [(
         "Fill — mean" if med_skew < 0.5 else "Fill — median",
         "IQR" if n < 1000 else "Z-score",
