@@ -333,6 +333,53 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+def global_kth(df: DataFrame, value: str, k: int, p_hint: float,
+               cap: int = COLLECT_CAP) -> tuple[float, int, int] | None:
+    """Exact k-th smallest (0-based) non-null ``value`` of a whole frame in two jobs.
+
+    ``p_hint`` is roughly k / n (known to the caller before the count). Returns ``(value, rows
+    strictly below it, rows equal to it)``, or None when the bracket cannot be proven small; the
+    caller then uses ``order_statistics``. Same probe ladder and bracket rule as
+    ``global_quantiles``.
+    """
+    x = F.col(f"`{value}`").cast("double")
+    ladder = sorted({min(1.0, max(0.0, p_hint + s * d / ACCURACY)) for d in PROBE_STEPS for s in (-1, 1)})
+    at = {q: j for j, q in enumerate(ladder)}
+    r = df.agg(F.count(x).alias("n"), F.percentile_approx(x, ladder, ACCURACY).alias("q")).first()
+    n = int(r["n"])
+    if not 0 <= k < n:
+        return None
+    # smallest offset whose probes are guaranteed to fall below / above 1-based rank k + 1
+    d = next((d for d in PROBE_STEPS if (p_hint - (d - 1) / ACCURACY) * n <= k
+              and (p_hint + (d - 1) / ACCURACY) * n >= k + 2), None)
+    if d is None:
+        lo = hi = None
+        bound = n
+    else:
+        lo_q, hi_q = max(0.0, p_hint - d / ACCURACY), min(1.0, p_hint + d / ACCURACY)
+        lo = r["q"][at[lo_q]] if lo_q > 0.0 else None
+        hi = r["q"][at[hi_q]] if hi_q < 1.0 else None
+        bound = 2 * (d + 1) * n / ACCURACY + 3
+    if bound > min(cap, COLLECT_CAP):
+        return None
+    below_c = (x < F.lit(lo)) if lo is not None else F.lit(False)
+    inside = x.isNotNull()
+    if lo is not None:
+        inside = inside & (x >= F.lit(lo))
+    if hi is not None:
+        inside = inside & (x <= F.lit(hi))
+    rows = (df.select(below_c.alias("b"), F.when(inside, x).alias("v")).where(F.col("b") | F.col("v").isNotNull())
+            .groupBy("b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
+    below = sum(rw["c"] for rw in rows if rw["b"])
+    ordered = sorted(((rw["v"], rw["c"]) for rw in rows if not rw["b"]), key=lambda vc: (vc[0] != vc[0], vc[0]))
+    cum = below
+    for v, c in ordered:
+        if k < cum + c:
+            return (v, cum, c) if below <= k else None
+        cum += c
+    return None
+
+
 def quantile_dict(df: DataFrame, cols: list[str], probs: list[float],
                   exact: bool = True) -> dict[str, dict[float, float]]:
     """Global quantiles collected as ``{column: {p: value}}`` (small result).

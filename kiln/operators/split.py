@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit, q, seeded_hash
-from kiln.functions.selection import order_statistics
+from kiln.functions.selection import global_kth, order_statistics
 from kiln.session import cut_lineage
 
 RESAMPLE_RATIO = 0.60
@@ -83,7 +83,12 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
                                      f"{q(stratify)} {df.schema[stratify].dataType.simpleString()}, _k long")
     else:
         n = df.count()
-        k_df = spark.createDataFrame([(int(math.ceil(n * test)),)], "_k long")
+        k = int(math.ceil(n * test))
+        k_df = spark.createDataFrame([(k,)], "_k long")
+        fast = global_kth(h, "_h", k - 1, k / n) if 0 < k <= n else None
+        if fast is not None and k - fast[1] == fast[2]:
+            # the k-th hash prefix is not shared across the cut: every row up to it is test
+            return h.withColumn("is_test", F.col("_h") <= F.lit(fast[0])).drop("_h", "_md5")
     cut = _cut(h, by, k_df)
     j = _attach(h, cut, by, how="left")
     is_test = (F.col("_h") < F.col("_thr")) | ((F.col("_h") == F.col("_thr")) &

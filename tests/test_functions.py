@@ -144,3 +144,15 @@ def test_global_quantiles_null_column_and_cap_fallback(spark):
     assert selection.global_quantiles(df, ["y"], [0.5], cap=3) is None
     res = selection.exact_quantiles(df, ["y"], [0.5], cap=3).collect()
     assert res[0]["value"] == pytest.approx(24.5)
+
+
+@pytest.mark.parametrize("n,k", [(1, 0), (10, 3), (3000, 0), (3000, 599), (30_000, 5999), (30_000, 29_999)])
+def test_global_kth_matches_sorted(spark, n, k):
+    rng = np.random.default_rng(n + k)
+    vals = [float(v) for v in np.round(rng.uniform(size=n), 3)]  # many ties
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = selection.global_kth(df, "x", k, (k + 1) / n)
+    assert got is not None
+    srt = sorted(vals)
+    v = srt[k]
+    assert got == (v, sum(1 for a in vals if a < v), sum(1 for a in vals if a == v))
