@@ -333,51 +333,78 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
-def global_kth(df: DataFrame, value: str, k: int, p_hint: float,
-               cap: int = COLLECT_CAP) -> tuple[float, int, int] | None:
-    """Exact k-th smallest (0-based) non-null ``value`` of a whole frame in two jobs.
-
-    ``p_hint`` is roughly k / n (known to the caller before the count). Returns ``(value, rows
-    strictly below it, rows equal to it)``, or None when the bracket cannot be proven small; the
-    caller then uses ``order_statistics``. Same probe ladder and bracket rule as
-    ``global_quantiles``.
+def kth_many(df: DataFrame, value: str, targets: list[tuple], cap: int = COLLECT_CAP) -> list | None:
+    """Exact k-th smallest non-null ``value`` for a few row subsets, in two jobs in total.
+
+    ``targets`` is a bounded list of ``(condition, k, p_hint)``: the rows where ``condition`` holds,
+    the 0-based rank and roughly k / n of that subset (known to the caller before the count). Job 1
+    is one aggregate with a count and a probe ladder per target; job 2 is one grouped count of the
+    values inside each bracket, collected under the same checked bound as ``global_quantiles``.
+    Returns ``(value, rows strictly below it, rows equal to it)`` per target, or None when some
+    bracket cannot be proven small (the caller then uses ``order_statistics``).
     """
     x = F.col(f"`{value}`").cast("double")
-    ladder = sorted({min(1.0, max(0.0, p_hint + s * d / ACCURACY)) for d in PROBE_STEPS for s in (-1, 1)})
-    at = {q: j for j, q in enumerate(ladder)}
-    r = df.agg(F.count(x).alias("n"), F.percentile_approx(x, ladder, ACCURACY).alias("q")).first()
-    n = int(r["n"])
-    if not 0 <= k < n:
-        return None
-    # smallest offset whose probes are guaranteed to fall below / above 1-based rank k + 1
-    d = next((d for d in PROBE_STEPS if (p_hint - (d - 1) / ACCURACY) * n <= k
-              and (p_hint + (d - 1) / ACCURACY) * n >= k + 2), None)
-    if d is None:
-        lo = hi = None
-        bound = n
-    else:
-        lo_q, hi_q = max(0.0, p_hint - d / ACCURACY), min(1.0, p_hint + d / ACCURACY)
-        lo = r["q"][at[lo_q]] if lo_q > 0.0 else None
-        hi = r["q"][at[hi_q]] if hi_q < 1.0 else None
-        bound = 2 * (d + 1) * n / ACCURACY + 3
-    if bound > min(cap, COLLECT_CAP):
-        return None
-    below_c = (x < F.lit(lo)) if lo is not None else F.lit(False)
-    inside = x.isNotNull()
-    if lo is not None:
-        inside = inside & (x >= F.lit(lo))
-    if hi is not None:
-        inside = inside & (x <= F.lit(hi))
-    rows = (df.select(below_c.alias("b"), F.when(inside, x).alias("v")).where(F.col("b") | F.col("v").isNotNull())
-            .groupBy("b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
-    below = sum(rw["c"] for rw in rows if rw["b"])
-    ordered = sorted(((rw["v"], rw["c"]) for rw in rows if not rw["b"]), key=lambda vc: (vc[0] != vc[0], vc[0]))
-    cum = below
-    for v, c in ordered:
-        if k < cum + c:
-            return (v, cum, c) if below <= k else None
-        cum += c
-    return None
+    ladders = [sorted({min(1.0, max(0.0, p + s * d / ACCURACY)) for d in PROBE_STEPS for s in (-1, 1)})
+               for _, _, p in targets]
+    r = df.agg(*[a for t, ((cond, _, _), lad) in enumerate(zip(targets, ladders)) for a in (
+        F.count(F.when(cond, x)).alias(f"n{t}"),
+        F.percentile_approx(F.when(cond, x), lad, ACCURACY).alias(f"q{t}"))]).first()
+    brackets = []
+    for t, ((cond, k, p), lad) in enumerate(zip(targets, ladders)):
+        n = int(r[f"n{t}"])
+        if not 0 <= k < n:
+            return None
+        # smallest offset whose probes are guaranteed to fall below / above 1-based rank k + 1
+        d = next((d for d in PROBE_STEPS if (p - (d - 1) / ACCURACY) * n <= k
+                  and (p + (d - 1) / ACCURACY) * n >= k + 2), None)
+        if d is None:
+            lo = hi = None
+            bound = n
+        else:
+            at = {q: j for j, q in enumerate(lad)}
+            lo_q, hi_q = max(0.0, p - d / ACCURACY), min(1.0, p + d / ACCURACY)
+            lo = r[f"q{t}"][at[lo_q]] if lo_q > 0.0 else None
+            hi = r[f"q{t}"][at[hi_q]] if hi_q < 1.0 else None
+            bound = 2 * (d + 1) * n / ACCURACY + 3
+        if bound > min(cap, COLLECT_CAP):
+            return None
+        brackets.append((lo, hi))
+    elems = []
+    for t, ((cond, _, _), (lo, hi)) in enumerate(zip(targets, brackets)):
+        inside = cond & x.isNotNull()
+        if lo is not None:
+            inside = inside & (x >= F.lit(lo))
+        if hi is not None:
+            inside = inside & (x <= F.lit(hi))
+        e = F.when(inside, F.struct(F.lit(t).alias("t"), F.lit(False).alias("b"), x.alias("v")))
+        if lo is not None:
+            e = F.when(cond & (x < F.lit(lo)), F.struct(F.lit(t).alias("t"), F.lit(True).alias("b"),
+                                                        F.lit(None).cast("double").alias("v"))).otherwise(e)
+        elems.append(e)
+    rows = (df.select(F.explode(F.array(*elems)).alias("e")).where(F.col("e").isNotNull())
+            .select("e.t", "e.b", "e.v").groupBy("t", "b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
+    out = []
+    for t, (_, k, _) in enumerate(targets):
+        below = sum(rw["c"] for rw in rows if rw["t"] == t and rw["b"])
+        ordered = sorted(((rw["v"], rw["c"]) for rw in rows if rw["t"] == t and not rw["b"]),
+                         key=lambda vc: (vc[0] != vc[0], vc[0]))
+        cum, hit = below, None
+        for v, c in ordered:
+            if k < cum + c:
+                hit = (v, cum, c)
+                break
+            cum += c
+        if hit is None or below > k:
+            return None
+        out.append(hit)
+    return out
+
+
+def global_kth(df: DataFrame, value: str, k: int, p_hint: float,
+               cap: int = COLLECT_CAP) -> tuple[float, int, int] | None:
+    """Exact k-th smallest (0-based) non-null ``value`` of a whole frame in two jobs (see ``kth_many``)."""
+    res = kth_many(df, value, [(F.lit(True), k, p_hint)], cap)
+    return None if res is None else res[0]
 
 
 def quantile_dict(df: DataFrame, cols: list[str], probs: list[float],

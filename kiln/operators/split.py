@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit, q, seeded_hash
-from kiln.functions.selection import global_kth, order_statistics
+from kiln.functions.selection import global_kth, kth_many, order_statistics
 from kiln.session import cut_lineage
 
 RESAMPLE_RATIO = 0.60
@@ -81,6 +81,16 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
         alloc = _allocate(counts, math.ceil(n * test))
         k_df = spark.createDataFrame([(c, int(k)) for c, k in alloc.items()],
                                      f"{q(stratify)} {df.schema[stratify].dataType.simpleString()}, _k long")
+        # one sketch and one bracket per class (the class table is collected above, so bounded)
+        picks = [(c, k) for c, k in sorted(alloc.items(), key=lambda kv: str(kv[0])) if k >= 1]
+        cls = F.col(q(stratify))
+        fast = kth_many(h, "_h", [(cls.eqNullSafe(F.lit(c)), k - 1, k / counts[c]) for c, k in picks]) \
+            if picks else []
+        if fast is not None and all(k - lt == eq for (_, k), (_, lt, eq) in zip(picks, fast)):
+            is_test = F.lit(False)
+            for (c, _), (thr, _, _) in zip(picks, fast):
+                is_test = F.when(cls.eqNullSafe(F.lit(c)), F.col("_h") <= F.lit(thr)).otherwise(is_test)
+            return h.withColumn("is_test", is_test).drop("_h", "_md5")
     else:
         n = df.count()
         k = int(math.ceil(n * test))
