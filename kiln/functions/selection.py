@@ -237,6 +237,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 # known the tightest offset whose bracket the sketch's error bound guarantees is used
 PROBE_STEPS = (2, 4, 16, 64, 256, 1024, 4096)
 COLLECT_CAP = 1_000_000  # bracket rows (bound from n) a global pick may bring to the driver
+# per-task state of the two-job paths: one sketch per column / subset and one struct per target and
+# row; wider requests go to the grouped selector, which shuffles by group instead
+MAX_SKETCHES = 64
+MAX_TARGETS = 256
 
 
 def _pos(p: float, n: int) -> tuple[int, int, float]:
@@ -259,6 +263,8 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     probs = [float(p) for p in probs]
     if not cols or not probs:
         return {c: {} for c in cols}
+    if len(cols) > MAX_SKETCHES or len(cols) * len(probs) > MAX_TARGETS:
+        return None
     ladder = sorted({min(1.0, max(0.0, p + s * d / ACCURACY)) for p in probs for d in PROBE_STEPS
                      for s in (-1, 1)} | set(probs))
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
@@ -343,6 +349,8 @@ def kth_many(df: DataFrame, value: str, targets: list[tuple], cap: int = COLLECT
     Returns ``(value, rows strictly below it, rows equal to it)`` per target, or None when some
     bracket cannot be proven small (the caller then uses ``order_statistics``).
     """
+    if not targets or len(targets) > MAX_SKETCHES:
+        return None if targets else []
     x = F.col(f"`{value}`").cast("double")
     ladders = [sorted({min(1.0, max(0.0, p + s * d / ACCURACY)) for d in PROBE_STEPS for s in (-1, 1)})
                for _, _, p in targets]

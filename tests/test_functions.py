@@ -156,3 +156,14 @@ def test_global_kth_matches_sorted(spark, n, k):
     srt = sorted(vals)
     v = srt[k]
     assert got == (v, sum(1 for a in vals if a < v), sum(1 for a in vals if a == v))
+
+
+def test_two_job_paths_decline_wide_requests(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MAX_SKETCHES", 1)
+    df = spark.createDataFrame([(float(i), float(-i)) for i in range(100)], "x double, y double")
+    assert selection.global_quantiles(df, ["x", "y"], [0.5]) is None
+    # the grouped selector answers instead, with the same values
+    got = selection.quantile_dict(df, ["x", "y"], [0.5])
+    assert got == {"x": {0.5: 49.5}, "y": {0.5: -49.5}}
+    two = [(F.col("x") < 50, 10, 0.2), (F.col("x") >= 50, 10, 0.2)]
+    assert selection.kth_many(df, "x", two) is None
