@@ -20,6 +20,15 @@ from kiln.functions.selection import global_kth, kth_many, order_statistics
 from kiln.session import cut_lineage
 
 RESAMPLE_RATIO = 0.60
+MAX_CLASSES = 10_000  # stratification collects one row per class; more is not a class column
+
+
+def _class_counts(df: DataFrame, stratify: str) -> dict:
+    """``{class: rows}`` after one aggregate proves the class count is at most ``MAX_CLASSES``."""
+    g = df.groupBy(q(stratify)).agg(F.count(F.lit(1)).alias("n"))
+    if g.agg(F.count(F.lit(1)).alias("k")).first()["k"] > MAX_CLASSES:
+        raise ValueError(f"{stratify} has more than {MAX_CLASSES} classes; not a class column")
+    return {r[0]: int(r["n"]) for r in g.collect()}
 
 
 def _cut(df: DataFrame, by: list[str], k_df: DataFrame) -> DataFrame:
@@ -73,8 +82,7 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
     h = df.withColumn("_md5", seeded_hash(key_cols, seed)).withColumn("_h", hash_unit(key_cols, seed))
     by = [stratify] if stratify else []
     if stratify:
-        rows = df.groupBy(stratify).agg(F.count(F.lit(1)).alias("n")).collect()
-        counts = {r[stratify]: int(r["n"]) for r in rows}
+        counts = _class_counts(df, stratify)
         if not counts or min(counts.values()) < 2:
             return split_flags(df, key_cols, test, seed, None)
         n = sum(counts.values())
@@ -138,7 +146,7 @@ def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | Non
     h = df.withColumn("_h", hash_unit(key_cols, seed)).withColumn("_md5", seeded_hash(key_cols, seed))
     if by:
         # order by (class code, hash): class codes from the small class table
-        classes = [r[0] for r in df.select(stratify).distinct().orderBy(stratify).collect()]
+        classes = sorted(_class_counts(df, stratify), key=lambda c: (c is not None, c))
         code = F.lit(None).cast("double")
         for i, c in enumerate(classes):
             code = F.when(F.col(q(stratify)).eqNullSafe(F.lit(c)), F.lit(float(i))).otherwise(code)
@@ -157,15 +165,12 @@ def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | Non
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """I4: class counts, min/max ratio and whether to resample (ratio < 0.60 and min >= 2)."""
     counts = df.groupBy(F.col(q(target)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    summary = counts.agg(F.min("n").alias("min_n"), F.max("n").alias("max_n"))
-    rows = counts.collect()
-    s = summary.first()
+    # only the min / max summary comes to the driver; the per-class rows stay distributed
+    s = counts.agg(F.min("n").alias("min_n"), F.max("n").alias("max_n")).first()
     ratio = (s["min_n"] / s["max_n"]) if s["max_n"] else None
     resample = ratio is not None and ratio < RESAMPLE_RATIO and s["min_n"] >= 2
-    spark = df.sparkSession
-    data = [(str(r["class"]) if r["class"] is not None else None, int(r["n"]), float(ratio) if ratio is not None
-             else None, bool(resample)) for r in rows]
-    return spark.createDataFrame(data, "class string, n bigint, ratio double, resample boolean")
+    return counts.select(F.col("class").cast("string").alias("class"), "n",
+                         F.lit(ratio).cast("double").alias("ratio"), F.lit(bool(resample)).alias("resample"))
 
 
 def class_balance_lazy(df: DataFrame, target: str) -> DataFrame:
