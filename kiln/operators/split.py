@@ -171,12 +171,3 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     resample = ratio is not None and ratio < RESAMPLE_RATIO and s["min_n"] >= 2
     return counts.select(F.col("class").cast("string").alias("class"), "n",
                          F.lit(ratio).cast("double").alias("ratio"), F.lit(bool(resample)).alias("resample"))
-
-
-def class_balance_lazy(df: DataFrame, target: str) -> DataFrame:
-    """I4 as one lazy plan: counts with min/max attached by a small window over the classes."""
-    from pyspark.sql import Window
-    counts = df.groupBy(F.col(q(target)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()  # over the class table: one row per class
-    out = counts.withColumn("ratio", F.min("n").over(w) / F.max("n").over(w))
-    return out.withColumn("resample", (F.col("ratio") < RESAMPLE_RATIO) & (F.min("n").over(w) >= 2))
