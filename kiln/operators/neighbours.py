@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit
+from kiln.operators.split import class_counts
 from kiln.session import cut_lineage
 
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -160,7 +161,7 @@ def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int =
     Synthetic rows are spread over the class rows round-robin in seeded-hash order; neighbour
     choice and gap come from seeded hashes, so the result is repeatable.
     """
-    counts = {r[0]: int(r[1]) for r in df.groupBy(target).count().collect()}
+    counts = class_counts(df, target)  # class count proven bounded first
     if not counts:
         return df
     major = max(counts.values())
@@ -196,7 +197,7 @@ def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int =
 
 def edited_nearest(df: DataFrame, target: str, features: list[str], id_col: str, k: int = 3) -> DataFrame:
     """I6 cleaning step (ENN): drop rows of non-minority classes whose k neighbours do not all share the class."""
-    counts = {r[0]: int(r[1]) for r in df.groupBy(target).count().collect()}
+    counts = class_counts(df, target)  # class count proven bounded first
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     cand = knn_candidates(df, df, k, id_col, id_col, features, target, exclude_self=True)
     lab = df.select(F.col(id_col).alias("_qid"), F.col(target).cast("double").alias("_own"))

@@ -23,7 +23,7 @@ RESAMPLE_RATIO = 0.60
 MAX_CLASSES = 10_000  # stratification collects one row per class; more is not a class column
 
 
-def _class_counts(df: DataFrame, stratify: str) -> dict:
+def class_counts(df: DataFrame, stratify: str) -> dict:
     """``{class: rows}`` after one aggregate proves the class count is at most ``MAX_CLASSES``."""
     g = df.groupBy(q(stratify)).agg(F.count(F.lit(1)).alias("n"))
     if g.agg(F.count(F.lit(1)).alias("k")).first()["k"] > MAX_CLASSES:
@@ -82,7 +82,7 @@ def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int
     h = df.withColumn("_md5", seeded_hash(key_cols, seed)).withColumn("_h", hash_unit(key_cols, seed))
     by = [stratify] if stratify else []
     if stratify:
-        counts = _class_counts(df, stratify)
+        counts = class_counts(df, stratify)
         if not counts or min(counts.values()) < 2:
             return split_flags(df, key_cols, test, seed, None)
         n = sum(counts.values())
@@ -146,7 +146,7 @@ def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | Non
     h = df.withColumn("_h", hash_unit(key_cols, seed)).withColumn("_md5", seeded_hash(key_cols, seed))
     if by:
         # order by (class code, hash): class codes from the small class table
-        classes = sorted(_class_counts(df, stratify), key=lambda c: (c is not None, c))
+        classes = sorted(class_counts(df, stratify), key=lambda c: (c is not None, c))
         code = F.lit(None).cast("double")
         for i, c in enumerate(classes):
             code = F.when(F.col(q(stratify)).eqNullSafe(F.lit(c)), F.lit(float(i))).otherwise(code)
