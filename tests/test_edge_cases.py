@@ -182,3 +182,14 @@ def test_one_hot_levels_over_bound_raise_not_truncate(spark):
     assert encode.fit_one_hot_levels(df, "c", 5) == [f"v{i}" for i in range(5)]
     with pytest.raises(ValueError):
         encode.fit_one_hot_levels(df, "c", 3)
+
+
+def test_class_counts_bound_raises(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 5) for i in range(50)], "id long, y long")
+    assert split.class_counts(df, "y") == {k: 10 for k in range(5)}
+    monkeypatch.setattr(split, "MAX_CLASSES", 4)
+    with pytest.raises(ValueError):
+        split.class_counts(df, "y")
+    # the class-balance report needs no class table on the driver
+    rows = {r["class"]: r["n"] for r in split.class_balance(df, "y").collect()}
+    assert rows == {str(k): 10 for k in range(5)}
