@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kiln.llm.common import documents
+from kiln.llm.decontaminate import contaminated_windows
 from kiln.llm.minhash_dedup import near_duplicates
+from kiln.llm.pii_fpe import pseudonymise
+from kiln.llm.quality_mcd import quality_rules
+from kiln.llm.url_rules import url_filter
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_replaced")
+
+
+def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_windows(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(documents(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules)}
 ORACLE: dict[str, str] = {}
