@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm.common import documents
+from kiln.llm.common import documents, ready, scratch_path
 from kiln.llm.decontaminate import contaminated_windows
 from kiln.llm.minhash_dedup import near_duplicates
+from kiln.llm.packing import packed
 from kiln.llm.pii_fpe import pseudonymise
 from kiln.llm.quality_mcd import quality_rules
+from kiln.llm.token_files import read_token_files, write_token_files
 from kiln.llm.url_rules import url_filter
 
 
@@ -16,6 +18,19 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark.range(0))
+    path = scratch_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"), end=0)
+    return read_token_files(spark, path, digest=True)
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_replaced")
 
@@ -32,5 +47,9 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing)}
 ORACLE: dict[str, str] = {}

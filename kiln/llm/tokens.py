@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Forget the stretches of earlier texts beyond so many.
-KEEP = 700_000
+KEEP = 1_000_000
 #: Longer stretches are not kept.
 LONGEST = 64
 
