@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kiln.llm.common import documents, save
 from kiln.llm.decontaminate import remove_contaminated
 from kiln.llm.minhash_dedup import keep_first
+from kiln.llm.packing import packed
 from kiln.llm.pii_fpe import pseudonymise_documents
 from kiln.llm.quality_mcd import keep_good
 
@@ -31,7 +32,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pseudonymise_documents(docs)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("personal_data", personal_data)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in full sequences."""
+    import public_tokenizers
+
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end=0)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("personal_data", personal_data),
+          ("packing", packing)]
 
 #: Hashing, packing and keyed permutation have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kiln.llm.common import documents, ready, scratch_path
+from kiln.llm.count_transducer import token_counts
 from kiln.llm.decontaminate import contaminated_windows
 from kiln.llm.minhash_dedup import near_duplicates
 from kiln.llm.packing import packed
@@ -51,5 +52,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing)}
+def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
 ORACLE: dict[str, str] = {}
