@@ -8,6 +8,7 @@ from kiln.llm.common import documents, ready, scratch_path
 from kiln.llm.count_transducer import token_counts
 from kiln.llm.decontaminate import contaminated_windows
 from kiln.llm.minhash_dedup import near_duplicates
+from kiln.llm.nb_svm import classify
 from kiln.llm.packing import packed
 from kiln.llm.pii_fpe import pseudonymise
 from kiln.llm.quality_mcd import quality_rules
@@ -32,6 +33,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digest=True)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir)).select("doc_id", "text", "n_replaced")
 
@@ -56,5 +61,5 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op4_quality_classifier, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
 ORACLE: dict[str, str] = {}
