@@ -11,6 +11,7 @@ from kiln.llm.minhash_dedup import near_duplicates
 from kiln.llm.nb_svm import classify
 from kiln.llm.packing import packed
 from kiln.llm.pii_fpe import pseudonymise
+from kiln.llm.ppm import score_documents
 from kiln.llm.quality_mcd import quality_rules
 from kiln.llm.token_files import read_token_files, write_token_files
 from kiln.llm.url_rules import url_filter
@@ -33,6 +34,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digest=True)
 
 
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -61,5 +66,5 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op4_quality_classifier, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_ppm_score, op4_quality_classifier, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
 ORACLE: dict[str, str] = {}
