@@ -24,7 +24,7 @@ HALF = 0.5
 #: Smallest standard deviation of a transformed statistic: a statistic that is 0 in most texts has none.
 FLOOR = (0.35, 0.05, 0.12, 0.12, 0.12)
 #: Largest squared distance, in multiples of the group's median one.
-CUT = 30.0
+CUT = 60.0
 MIN_GROUP = 50
 TOLERANCE = 1e-3
 
