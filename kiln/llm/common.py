@@ -11,6 +11,8 @@ from kiln.session import checkpoint_dir, ship_package
 
 #: A side with at most so many narrow rows (ids and a few numbers) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Row groups of intermediate tables; a writing task holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -33,7 +35,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     later readers prune columns and survive lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,9 @@ from kiln.llm.common import ready, remainder, save
 from kiln.llm.tokens import text_slices
 
 ORDER = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+#: Rows of about so many bytes are worked on at once.
+SLICE_BYTES = 1 << 20
 #: Bytes that UTF-8 never has: the end of a text, and what stands before its start.
 END, BEFORE = 0xFF, 0xFE
 #: Words are kept in so many parts by hash; their keys follow those of the grams.
@@ -48,7 +50,7 @@ _PARTS = "key int, chunk bigint, items binary, counts binary"
 def _press(x: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpress(x: bytes, kind) -> np.ndarray:
@@ -88,6 +90,15 @@ def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x)))
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) runs of rows of about ``SLICE_BYTES``."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
+        yield first, min(end, n)
+        first = min(end, n)
+
+
 def _counted(items: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct items, ascending, and their counts where ``held`` is false."""
     every, _ = _grouped(np.sort(items))
@@ -103,17 +114,20 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _parts(chunk: int, data: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> Iterator[tuple]:
-    g = grams(data, offsets)
-    every, counts = _counted(g, np.repeat(held, np.diff(offsets) + 1))
-    words, n_words = _words(data, offsets)
-    every_word, word_counts = _counted(words, np.repeat(held, n_words))
+    found = []
+    for first, end in _slices(offsets):
+        some, own = data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
+        words, n_words = _words(some, own)
+        found.append((_counted(grams(some, own), np.repeat(held[first:end], np.diff(own) + 1)),
+                      _counted(words, np.repeat(held[first:end], n_words))))
+    (every, counts), (every_word, word_counts) = (_merge([f[k] for f in found]) for k in (0, 1))
     keys = (every >> np.uint64(32)).astype(np.int64)
     rest = (every & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     shift = np.uint64(64 - (WORD_PARTS - 1).bit_length())
     for key, items, n in ((keys, rest, counts), (WORDS + (every_word >> shift).astype(np.int64), every_word, word_counts)):
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(key[a]), chunk, _press(_steps(items[a:b])), _press(n[a:b])
+            yield int(key[a]), chunk, _press(_steps(items[a:b])), _press(n[a:b].astype(np.uint32))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,28 +333,28 @@ def _answers(one: np.ndarray):
 def _chunk_scores(head: np.ndarray, data: np.ndarray, code: np.ndarray, count: np.ndarray, tokens: int, types: int, train_docs: int) -> pa.RecordBatch:
     lengths = head[:, 3]
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    n_rows = len(head)
-    g = grams(data, offsets)
-    row = np.repeat(np.arange(n_rows), lengths + 1)
-    every, _ = _grouped(np.sort(g))
-    score = np.zeros(n_rows)
-    for a in range(0, len(g), 1 << 16):  # place and gram in one number: sorted look-ups
-        x = np.sort((g[a:a + (1 << 16)] << np.uint64(16)) | np.arange(len(g[a:a + (1 << 16)]), dtype=np.uint64))
-        some, n = _grouped(x >> np.uint64(16))
-        value = np.repeat(code[np.searchsorted(every, some)], n)
-        r = row[a + (x & np.uint64(0xFFFF)).astype(np.int64)]
-        low = int(row[a])
-        part = np.bincount(r - low, weights=value)
-        score[low:low + len(part)] += part
-    words, n_words = _words(data, offsets)
-    every_word, which = np.unique(words, return_inverse=True)
-    c = count[which] if len(words) else np.zeros(0, np.int64)
-    word_row = T.row_of(n_words)
+    runs = [(first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]) for first, end in _slices(offsets)]
+    every, _ = _grouped(np.sort(np.concatenate([_grouped(np.sort(grams(some, own)))[0] for _, _, some, own in runs])))
+    every_word = np.unique(np.concatenate([np.unique(_words(some, own)[0]) for _, _, some, own in runs]))
     scale = np.log10(tokens + types + 1)
-    base = np.bincount(word_row, weights=np.log10(c + 1) - scale, minlength=n_rows) + np.log10(train_docs + 1) - scale
-    known = np.bincount(word_row, weights=c > 0, minlength=n_rows).astype(np.int64) + (train_docs > 0)
+    score, base, known, n_words = (np.zeros(len(head), dtype=t) for t in (float, float, np.int64, np.int64))
+    for first, end, some, own in runs:
+        g = grams(some, own)
+        row = np.repeat(np.arange(first, end), np.diff(own) + 1)
+        for a in range(0, len(g), 1 << 16):  # place and gram in one number: sorted look-ups
+            x = np.sort((g[a:a + (1 << 16)] << np.uint64(16)) | np.arange(len(g[a:a + (1 << 16)]), dtype=np.uint64))
+            kinds, n = _grouped(x >> np.uint64(16))
+            value = np.repeat(code[np.searchsorted(every, kinds)], n)
+            low = int(row[a])
+            part = np.bincount(row[a + (x & np.uint64(0xFFFF)).astype(np.int64)] - low, weights=value)
+            score[low:low + len(part)] += part
+        words, n = _words(some, own)
+        c = count[np.searchsorted(every_word, words)] if len(words) else np.zeros(0, np.int64)
+        n_words[first:end] = n
+        base[first:end] = np.bincount(T.row_of(n), weights=np.log10(c + 1) - scale, minlength=end - first) + np.log10(train_docs + 1) - scale
+        known[first:end] = np.bincount(T.row_of(n), weights=c > 0, minlength=end - first).astype(np.int64) + (train_docs > 0)
     return pa.RecordBatch.from_arrays([pa.array(head[:, 0], pa.int64(), mask=head[:, 1] == 0), pa.array(head[:, 2] == 1), pa.array(n_words + 1), pa.array(known),
-                                       pa.array(np.full(n_rows, tokens)), pa.array(base), pa.array(score)],
+                                       pa.array(np.full(len(head), tokens)), pa.array(base), pa.array(score)],
                                       names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 

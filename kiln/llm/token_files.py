@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm.common import ready, save, small
+from kiln.llm.common import ROW_GROUP_BYTES, ready, save, small
 from kiln.llm.tokens import encoder, text_slices
 
 #: The dictionary is trained on so many documents (those of the smallest id hashes), on this many bytes of each.
@@ -34,7 +34,7 @@ SAMPLE = 512
 SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 1
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Rows for each shard; a shard is one file.
 SHARD_DOCS = 25_000
 
@@ -153,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 0)
     frames = save(_frames(docs, tokenizer, end, dictionary), "frames")
     shards = max(1, -(-frames.count() // SHARD_DOCS))
     dealt = frames.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("frame"))
-    dealt.mapInArrow(_to_blocks(code), _BLOCK).write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(_to_blocks(code), _BLOCK).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/blocks")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     (blocks.groupBy("shard").agg(F.sum("n_docs").cast("bigint").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
      .coalesce(1).write.parquet(f"{path}/shards"))

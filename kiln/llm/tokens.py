@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Forget the stretches of earlier texts beyond so many.
-KEEP = 1_000_000
+KEEP = 700_000
 #: Longer stretches are not kept.
 LONGEST = 64
 
 _STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space of Unicode beyond ASCII, and separators on which definitions differ.
+_CONTROLS = b"\x1c\x1d\x1e\x1f"
 _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 
 
@@ -63,7 +64,7 @@ class Encoder:
     def _parts(self, text: bytes) -> list[bytes]:
         if self.cut == "drop":
             return text.split()
-        if self.cut == "before" and not _RARE.search(text):
+        if self.cut == "before" and not (len(text.translate(None, _CONTROLS)) < len(text) if text.isascii() else _RARE.search(text)):
             return _STRETCH.findall(text)
         return [text] if text else []
 
