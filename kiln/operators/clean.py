@@ -203,8 +203,9 @@ class TrainImputer:
     drop_columns: list = field(default_factory=list)
     drop_train_rows: bool = False
     fills: dict = field(default_factory=dict)
-    drop_test_if_low: bool = True
     low: float = 0.01
+    #: Fills that apply before the test rows are judged: none where train was complete or lost its own rows.
+    fill_first: bool = False
     feature_cols: list = field(default_factory=list)
 
     def transform_train(self, train: DataFrame) -> DataFrame:
@@ -214,14 +215,15 @@ class TrainImputer:
         return _fill(out, self.fills)
 
     def transform_test(self, test: DataFrame) -> DataFrame:
-        out = _fill(test.drop(*[c for c in self.drop_columns if c in test.columns]), self.fills)
-        if self.drop_test_if_low:
-            cols = [c for c in self.feature_cols if c in out.columns]
-            r = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_missing(cols)).alias("m")).first()
-            share = (r["m"] / r["n"]) if r["n"] else 0.0
-            if 0 < share <= self.low:
-                out = out.where(~any_missing(cols))
-        return out
+        out = test.drop(*[c for c in self.drop_columns if c in test.columns])
+        if self.fill_first:
+            out = _fill(out, self.fills)
+        cols = [c for c in self.feature_cols if c in out.columns]
+        r = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_missing(cols)).alias("m")).first() if cols else None
+        share = (r["m"] / r["n"]) if r and r["n"] else 0.0
+        if 0 < share <= self.low:
+            out = out.where(~any_missing(cols))
+        return _fill(out, self.fills)
 
 
 def _fill(df: DataFrame, fills: dict) -> DataFrame:
@@ -238,6 +240,7 @@ def fit_train_imputer(train: DataFrame, test: DataFrame, features: list[str], lo
     r = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_missing(feats)).alias("m"),
                   *[F.count_if(F.col(q(c)).isNull()).alias(f"tr_{c}") for c in feats]).first()
     share = (r["m"] / r["n"]) if r["n"] else 0.0
+    imp.fill_first = share > low
     te = test.agg(*[F.count_if(F.col(q(c)).isNull()).alias(f"te_{c}") for c in feats]).first() if feats else None
     if 0 < share <= low:
         imp.drop_train_rows = True

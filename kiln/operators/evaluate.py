@@ -93,11 +93,11 @@ def roc_auc_ovr(pred: DataFrame, label: str, prob_col: str, classes: list) -> Da
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """L3: RMSE, MAE, R^2 (one aggregate; R^2 via sums so it needs no second pass)."""
+    """L3: RMSE, MAE, R^2 over the rows with a label (one aggregate; the total sum of squares is a
+    variance, which does not cancel)."""
     y = F.col(q(label)).cast("double")
     e = y - F.col(q(prediction)).cast("double")
-    n = F.count(F.lit(1)).cast("double")
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
+    sst = F.var_pop(y) * F.count(y)
     return pred.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
                     (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"))
 

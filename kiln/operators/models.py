@@ -149,49 +149,62 @@ class ModelSpec:
     grid: dict = field(default_factory=dict)
 
 
+#: The search lists, under Spark's parameter names (no depth limit: Spark's largest depth).
+#: Solvers, minimum split sizes and distance exponents have no counterpart in Spark's estimators.
+GRIDS = {
+    "logistic": {"C": [0.01, 0.1, 1.0, 10.0]},
+    "tree": {"maxDepth": [MAX_DEPTH_NONE, 5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
+    "forest": {"numTrees": [100, 200, 300], "maxDepth": [MAX_DEPTH_NONE, 8, 16, 24], "minInstancesPerNode": [1, 2, 4]},
+    "boosting": {"maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1, 0.2], "maxDepth": [2, 3, 4]},
+    "neighbours": {"k": [3, 5, 7, 9, 11, 15, 21], "weights": ["uniform", "distance"]},
+    "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
+    "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0]},
+}
+
+
 def model_registry(problem_type: str, n_train: int, n_classes: int = 2) -> list[ModelSpec]:
     """K8: name -> estimator factory, whether to scale, parameter lists."""
     if problem_type == "classification":
         def logreg(C=1.0, maxIter=2000):
-            return LogisticRegression(maxIter=min(maxIter, 200), regParam=1.0 / (C * max(n_train, 1)),
+            return LogisticRegression(maxIter=maxIter, regParam=1.0 / (C * max(n_train, 1)),
                                       elasticNetParam=0.0, standardization=False)
 
         def gbt(maxIter=100, stepSize=0.1, maxDepth=3):
-            est = GBTClassifier(maxIter=min(maxIter, 50), stepSize=stepSize, maxDepth=maxDepth, seed=42)
+            est = GBTClassifier(maxIter=maxIter, stepSize=stepSize, maxDepth=maxDepth, seed=42)
             return est if n_classes <= 2 else OneVsRest(classifier=est)
         return [
-            ModelSpec("Logistic Regression", logreg, True, {"C": [0.01, 0.1, 1.0, 10.0]}),
+            ModelSpec("Logistic Regression", logreg, True, GRIDS["logistic"]),
             ModelSpec("Decision Tree", lambda maxDepth=MAX_DEPTH_NONE, minInstancesPerNode=1:
                       DecisionTreeClassifier(maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=42),
-                      False, {"maxDepth": [3, 5, 10, MAX_DEPTH_NONE], "minInstancesPerNode": [1, 2, 4]}),
+                      False, GRIDS["tree"]),
             ModelSpec("Random Forest", lambda numTrees=100, maxDepth=10, minInstancesPerNode=1:
-                      RandomForestClassifier(numTrees=min(numTrees, 100), maxDepth=maxDepth,
+                      RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth,
                                              minInstancesPerNode=minInstancesPerNode, seed=42),
-                      False, {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2]}),
+                      False, GRIDS["forest"]),
             ModelSpec("Gradient Boosting", gbt, False,
-                      {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [2, 3, 4]}),
+                      GRIDS["boosting"]),
             ModelSpec("KNN", lambda k=5, weights="uniform": KNNEstimator(k, weights, "classification"), True,
-                      {"k": [3, 5, 7, 11, 15, 21], "weights": ["uniform", "distance"]}),
+                      GRIDS["neighbours"]),
             ModelSpec("Naive Bayes", lambda: NaiveBayes(modelType="gaussian"), False, {}),
         ]
     return [
         ModelSpec("Linear Regression", lambda: LinearRegression(regParam=0.0, standardization=False), True, {}),
         ModelSpec("Ridge", lambda alpha=1.0: LinearRegression(regParam=alpha / max(n_train, 1), elasticNetParam=0.0,
                                                               standardization=False),
-                  True, {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}),
+                  True, GRIDS["ridge"]),
         ModelSpec("Lasso", lambda alpha=1.0: LinearRegression(regParam=alpha, elasticNetParam=1.0,
-                                                              standardization=False, maxIter=1000),
-                  True, {"alpha": [0.001, 0.01, 0.1, 1.0]}),
+                                                              standardization=False, maxIter=5000),
+                  True, GRIDS["lasso"]),
         ModelSpec("Elastic Net", lambda alpha=1.0, l1_ratio=0.5: LinearRegression(
             regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=1000),
                   True, {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]}),
         ModelSpec("Random Forest", lambda numTrees=100, maxDepth=10, minInstancesPerNode=1:
-                  RandomForestRegressor(numTrees=min(numTrees, 100), maxDepth=maxDepth,
+                  RandomForestRegressor(numTrees=numTrees, maxDepth=maxDepth,
                                         minInstancesPerNode=minInstancesPerNode, seed=42),
-                  False, {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2]}),
+                  False, GRIDS["forest"]),
         ModelSpec("Gradient Boosting", lambda maxIter=100, stepSize=0.1, maxDepth=3:
-                  GBTRegressor(maxIter=min(maxIter, 50), stepSize=stepSize, maxDepth=maxDepth, seed=42),
-                  False, {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [2, 3, 4]}),
+                  GBTRegressor(maxIter=maxIter, stepSize=stepSize, maxDepth=maxDepth, seed=42),
+                  False, GRIDS["boosting"]),
         ModelSpec("KNN", lambda k=5: KNNEstimator(k, "uniform", "regression"), True, {"k": [3, 5, 7, 11]}),
     ]
 
@@ -209,7 +222,7 @@ def fit_predict(spec: ModelSpec, params: dict, train: DataFrame, test: DataFrame
     est = spec.make(**params)
     if hasattr(est, "setLabelCol"):
         est = est.setLabelCol(label)
-    pipe = build_pipeline(est, features, scaler, spec.use_scaler, label)
+    pipe = build_pipeline(est, features, scaler, spec.use_scaler, label, train)
     model = pipe.fit(train)
     return model, model.transform(test)
 

@@ -1,13 +1,10 @@
 """Exact nearest-neighbour operators.
 
-No pair rows are ever emitted. The reference side is cut into blocks whose
-size is checked (rows x dimensions x 8 bytes <= BLOCK_BYTES); each block is
-shipped to the executors as a broadcast variable and every query partition
-keeps only its k best candidates per block (``mapInPandas``, numpy BLAS).
-The per-block candidates (k per query per block) are merged with a window
-per query id, so memory per query is k x blocks. One block is the common
-case; more blocks mean more scans of the query side, never a larger
-broadcast.
+No pair rows are ever emitted and nothing passes through the driver. Both sides are cut into blocks
+by id hash, sized so that a block of vectors takes at most BLOCK_BYTES; every (query block, reference
+block) pair is one co-grouped task, which keeps only the k best candidates (or counts, or sums)
+per query (numpy BLAS). The per-block answers are merged per query id. A stated query side thus
+meets the whole reference side in bounded blocks; more data means more blocks, never larger ones.
 """
 
 from __future__ import annotations
@@ -21,9 +18,9 @@ from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit
 from kiln.operators.split import class_counts
-from kiln.session import cut_lineage
+from kiln.session import cut_lineage, ship_package
 
-BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
 QUERY_BATCH = 1024
 
 
@@ -94,33 +91,39 @@ def _radius_rows(part, q, qid, mat, ids_t, extra, d2, radius):
 def _scan(query: DataFrame, ref: DataFrame, k: int, exclude_self: bool, radius: float | None,
           ref_extra_cols: list[str] | None, schema: str) -> DataFrame:
     """Run the per-block scan of ``query(_qid, _qv)`` against ``ref(_tid, _tv, _tlabel, extra...)``."""
-    spark = query.sparkSession
-    stats = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_tv")).alias("d")).first()
-    n, dim = int(stats["n"]), int(stats["d"] or 0)
-    nb = _block_count(n, dim)
-    ref_b = ref.withColumn("_blk", F.pmod(F.xxhash64("_tid"), F.lit(nb))) if nb > 1 else ref.withColumn("_blk", F.lit(0))
-    outs = []
-    for b in range(nb):
-        # a bounded block (<= BLOCK_BYTES): the only data that reaches the driver
-        pdf = ref_b.where(F.col("_blk") == b).drop("_blk").toPandas()
-        if pdf.empty:
-            continue
-        ids_t = pdf["_tid"].to_numpy()
-        mat = np.stack(pdf["_tv"].to_numpy()).astype(np.float64)
-        lab = pdf["_tlabel"].to_numpy() if "_tlabel" in pdf else np.zeros(len(pdf))
-        extra = {c: pdf[c].to_numpy() for c in (ref_extra_cols or [])} or None
-        bc = spark.sparkContext.broadcast((ids_t, mat, lab, extra))
-        outs.append(query.select("_qid", "_qv").mapInPandas(_topk_factory(bc, k, exclude_self, radius), schema))
-    if not outs:
-        return spark.createDataFrame([], schema)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    if radius is not None and len(outs) > 1:
+    res = _blockwise(query.select("_qid", "_qv"), ref, lambda held: _topk_factory(held, k, exclude_self, radius), schema, ref_extra_cols)
+    if radius is not None:
         res = res.groupBy("_qid").agg(F.sum("_cnt").alias("_cnt"), F.min("_minlab").alias("_minlab"))
     return res
 
 
+class _Held:
+    """A reference block, as the kernels take it."""
+
+    def __init__(self, block: pd.DataFrame, extra: list[str] | None):
+        self.value = (block["_tid"].to_numpy(), np.stack(block["_tv"].to_numpy()).astype(np.float64), block["_tlabel"].to_numpy(),
+                      {c: block[c].to_numpy() for c in (extra or [])} or None)
+
+
+def _blockwise(query: DataFrame, ref: DataFrame, kernel, schema: str, extra: list[str] | None = None) -> DataFrame:
+    """The kernel's rows of every query block with every reference block."""
+    ship_package(query.sparkSession)
+    sizes = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("d")).first() for d, v in ((query, "_qv"), (ref, "_tv"))]
+    nq, nr = (_block_count(int(x["n"]), int(x["d"] or 0)) for x in sizes)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(nq)).cast("int")).withColumn("_rb", each(nr))
+    r = ref.withColumn("_rb", F.pmod(F.xxhash64("_tid"), F.lit(nr)).cast("int")).withColumn("_qb", each(nq))
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names})
+        parts = [p for p in kernel(_Held(right, extra))(iter([left])) if len(p)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
+
+    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(pair, schema)
+
+
 def knn_candidates(query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, vec, label: str | None = None,
                    exclude_self: bool = False) -> DataFrame:
     """The k nearest reference rows of every query row: ``(_qid, _tid, _dist, _tlabel, _rank)``."""
@@ -215,8 +218,7 @@ def smote_enn(df: DataFrame, target: str, features: list[str], id_col: str, k: i
     return edited_nearest(res, target, features, id_col).drop(id_col)
 
 
-def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float = 0.8, min_samples: int = 5,
-           max_iter: int = 200) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float = 0.8, min_samples: int = 5) -> DataFrame:
     """M4: density clusters (noise = -1).
 
     Core points: at least ``min_samples`` points (self included) within eps (blocked scan).
@@ -234,7 +236,7 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float = 0.8, mi
     cur = cur.withColumn("_lab", F.col("_qid").cast("long"))
     cur = cut_lineage(cur)
     big = np.iinfo(np.int64).max
-    for _ in range(max_iter):
+    while True:  # until nothing changes
         ref = cur.where("_core").select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"),
                                         F.lit(0.0).alias("_tlabel"), F.col("_core").alias("core"),
                                         F.col("_lab").alias("label"))
@@ -288,26 +290,11 @@ def silhouette_exact(df: DataFrame, id_col: str, vec, cluster: str) -> DataFrame
     """M5: exact mean silhouette (Euclidean) without pair rows: for every point, the sum of
     distances to each cluster comes from a blocked scan (rows out = points x clusters).
     Noise (-1) counts as a cluster; a point alone in its cluster scores 0."""
-    spark = df.sparkSession
     pts = df.select(F.col(id_col).alias("_qid"), _vec_col(df, vec).alias("_qv"),
                     F.col(cluster).cast("double").alias("_c"))
     ref = pts.select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"), F.col("_c").alias("_tlabel"))
-    stats = ref.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_tv")).alias("d")).first()
-    nb = _block_count(int(stats["n"]), int(stats["d"] or 0))
-    ref_b = ref.withColumn("_blk", F.pmod(F.xxhash64("_tid"), F.lit(nb)))
     qt = df.schema[id_col].dataType.simpleString()
-    schema = f"_qid {qt}, _to double, _sum double"
-    parts = []
-    for b in range(nb):
-        pdf = ref_b.where(F.col("_blk") == b).drop("_blk").toPandas()
-        if pdf.empty:
-            continue
-        bc = spark.sparkContext.broadcast((pdf["_tid"].to_numpy(), np.stack(pdf["_tv"].to_numpy()).astype(np.float64),
-                                           pdf["_tlabel"].to_numpy(), None))
-        parts.append(pts.select("_qid", "_qv").mapInPandas(_cluster_sum_factory(bc), schema))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
+    sums = _blockwise(pts.select("_qid", "_qv"), ref, _cluster_sum_factory, f"_qid {qt}, _to double, _sum double")
     sums = sums.groupBy("_qid", "_to").agg(F.sum("_sum").alias("_sum"))
     sizes = pts.groupBy(F.col("_c").alias("_to")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per cluster: bounded

@@ -40,6 +40,11 @@ class ScalerParams:
             return F.when(x.isNotNull(), F.lit(0.0))
         return (x - F.lit(self.a[c])) / F.lit(d)
 
+    def sql(self, c: str) -> str:
+        """``expr`` as SQL text."""
+        x, d = f"CAST({q(c)} AS DOUBLE)", self.b.get(c)
+        return f"(({x}) - ({self.a[c]!r}D)) / ({d!r}D)" if d else f"CASE WHEN {x} IS NOT NULL THEN 0.0D END"
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(*[self.expr(c).alias(c) if c in self.a else F.col(q(c)) for c in df.columns])
 
@@ -75,14 +80,24 @@ def minmax_scale(train: DataFrame, cols: list[str], *others: DataFrame):
 
 
 def build_pipeline(estimator, feature_cols: list[str], scaler: str = STANDARD, use_scaler: bool = True,
-                   label_col: str = "label"):
-    """Assembler -> (scaler) -> estimator as a ``pyspark.ml`` Pipeline.
+                   label_col: str = "label", train: DataFrame | None = None):
+    """(scaler) -> assembler -> estimator as a ``pyspark.ml`` Pipeline.
+
+    With ``train``, the scaler is that of J2 / J3 (population deviation, constant columns to 0),
+    fitted on it and held as a SQL stage that saves with the pipeline. Without, Spark's own scaler
+    stages are put in, to be fitted with the pipeline.
 
     Resampling (I5) changes the rows, which a Spark transformer must not do
     to test data; it is applied to the training DataFrame before ``fit``.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
+    if use_scaler and train is not None:
+        fitted = fit_scaler(train, feature_cols, scaler)
+        scaled = [f"_scaled_{i}" for i in range(len(feature_cols))]
+        items = ", ".join(f"{fitted.sql(c)} AS {s}" for c, s in zip(feature_cols, scaled))
+        return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {items} FROM __THIS__"),
+                                VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep"), estimator])
     stages = [VectorAssembler(inputCols=feature_cols, outputCol="raw_features" if use_scaler else "features",
                               handleInvalid="keep")]
     if use_scaler:

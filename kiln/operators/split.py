@@ -152,14 +152,14 @@ def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | Non
             code = F.when(F.col(q(stratify)).eqNullSafe(F.lit(c)), F.lit(float(i))).otherwise(code)
         h = h.withColumn("_o", code * 2.0 + F.col("_h"))
         idx = row_index(h, ["_o", "_md5"], "_i")
-        start = idx.groupBy(stratify).agg(F.min("_i").alias("_s"))
-        idx = idx.join(F.broadcast(start), [stratify], "left")
+        start = idx.groupBy(F.col(q(stratify)).alias("_k")).agg(F.min("_i").alias("_s"))
+        idx = idx.join(F.broadcast(start), F.col(q(stratify)).eqNullSafe(F.col("_k")), "left")
         rank = F.col("_i") - F.col("_s")
     else:
         idx = row_index(h.withColumn("_o", F.col("_h")), ["_o", "_md5"], "_i")
         rank = F.col("_i")
     out = idx.withColumn(fold_col, (rank % k).cast("int"))
-    return cut_lineage(out.drop("_h", "_md5", "_o", "_i", "_s"))
+    return cut_lineage(out.drop("_h", "_md5", "_o", "_i", "_s", "_k"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

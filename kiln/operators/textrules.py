@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import is_bool, is_numeric, is_string, q
+from kiln.session import ship_package
 
 # Keyword lists that decide the learning and task type.
 UNSUPERVISED_WORDS = ["cluster", "segmentation", "segment", "anomaly", "grouping", "pattern"]
@@ -126,6 +127,7 @@ def score_columns_in_text(text: str, columns: list[str]) -> tuple[str | None, fl
 
 def score_target_columns(text_df: DataFrame, text_col: str, id_col: str, columns: list[str]) -> DataFrame:
     """Per text, the column name it points at (``target``) and the score (NULL / 0 when none)."""
+    ship_package(text_df.sparkSession)
     cols = list(columns)
     schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("score", T.DoubleType())])
 

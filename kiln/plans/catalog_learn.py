@@ -300,6 +300,17 @@ def q_write_read_csv(spark, sf):
                        F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
 
 
+@register("csv_round_trip", """SELECT CAST(doc_id AS BIGINT) AS id, text FROM documents
+UNION ALL SELECT CAST(event_id AS BIGINT), CAST(props AS VARCHAR) FROM events""")
+def q_csv_round_trip(spark, sf):
+    """A5 + A1 on texts with commas, quotes and line breaks."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    events = table(spark, sf, "events").select(F.col("event_id").cast("bigint").alias("id"), F.col("props").cast("string").alias("text"))
+    path = _scratch(spark, "texts-csv")
+    io.write_table(docs.unionByName(events), path, fmt="csv")
+    return io.read_table(spark, path, fmt="csv", na_values=[]).select(F.col("id").cast("bigint").alias("id"), "text")
+
+
 @register("write_report", """SELECT 'class_' || CAST(quality AS VARCHAR) AS Model, CAST(count(*) AS DOUBLE) AS F1
 FROM labels GROUP BY quality""")
 def q_write_report(spark, sf):

@@ -510,10 +510,20 @@ def q_skew_before_after(spark, sf):
     return _round_doubles(univariate.skew_before_after(table(spark, sf, "events"), ["value"]))
 
 
-@register("detect_target", """SELECT * FROM (VALUES ('labels', 'toxic'), ('embeddings', 'label'),
-  ('orders', 'o_orderpriority'), ('events', 'props'), ('documents', 'n_chars')) t(table_name, target)""")
+_TARGETS = {"labels": "toxic", "embeddings": "label", "orders": "o_orderpriority", "documents": "n_chars"}
+
+
+@register("detect_target", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS target, CAST({c} AS VARCHAR) AS class, count(*) AS n FROM {t} GROUP BY ALL"
+    for t, c in _TARGETS.items()))
 def q_detect_target(spark, sf):
-    """B7 on the schemas of five tables: a conventional target name wins, else the last column."""
-    rows = [(t, profile.detect_target(table(spark, sf, t))) for t in ("labels", "embeddings", "orders", "events",
-                                                                     "documents")]
-    return spark.createDataFrame(rows, "table_name string, target string")
+    """B7 on four tables (a conventional target name wins, else the last column), with the class counts
+    of each table's detected target."""
+    out = None
+    for t in _TARGETS:
+        df = table(spark, sf, t)
+        c = profile.detect_target(df)
+        part = (df.groupBy(F.col(c).cast("string").alias("class")).agg(F.count("*").alias("n"))
+                .select(F.lit(t).alias("table_name"), F.lit(c).alias("target"), "class", "n"))
+        out = part if out is None else out.unionByName(part)
+    return out

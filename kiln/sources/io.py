@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
+from kiln.session import cut_lineage
 
 # Text read as missing (the pandas default NA tokens).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -20,14 +21,19 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_values: list[str] | None = None,
-               parse_dates: bool = False) -> DataFrame:
-    """A1: read Parquet (typed) or CSV with header, NA tokens -> NULL, inferred types."""
+               parse_dates: bool = False, multi_line: bool = True) -> DataFrame:
+    """A1: read Parquet (typed) or CSV with header, NA tokens -> NULL, inferred types.
+
+    Quoted fields may hold commas, doubled quotes and, with ``multi_line``, line breaks; a file is
+    then read by one task, so turn it off for large files that are known to have none.
+    """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("multiLine", multi_line).csv(path))
     tokens = NA_TOKENS if na_values is None else na_values
     cleaned = raw.select(*[F.when(F.col(q(c)).isin(*tokens), F.lit(None).cast("string"))
                            .otherwise(F.col(q(c))).alias(c) for c in raw.columns])
@@ -65,10 +71,11 @@ def infer_types(df: DataFrame, parse_dates: bool = False) -> DataFrame:
 
 
 def with_row_order(df: DataFrame, by: str | None = None, name: str = "_row_id") -> DataFrame:
-    """A3: an explicit order. A caller key adds nothing; otherwise a row id fixed once."""
+    """A3: an explicit order. A caller key adds nothing; otherwise a row id, fixed by a checkpoint
+    so that later evaluations see the same ids."""
     if by is not None:
         return df
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def preview(df: DataFrame, n: int = 10, by: str = "_row_id") -> DataFrame:
@@ -88,7 +95,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 
