@@ -9,6 +9,7 @@ from kiln.llm.count_transducer import token_counts
 from kiln.llm.decontaminate import contaminated_windows
 from kiln.llm.minhash_dedup import near_duplicates
 from kiln.llm.nb_svm import classify
+from kiln.llm.oracles import ORACLE  # noqa: F401 - read by the driver's entry file
 from kiln.llm.packing import packed
 from kiln.llm.pii_fpe import pseudonymise
 from kiln.llm.ppm import score_documents
@@ -51,7 +52,8 @@ def op6_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated_windows(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = contaminated_windows(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "shared", "total")
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +69,3 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_ppm_score, op4_quality_classifier, op5_pii_pseudonyms, op6_quality_mcd, op7_decontaminate, op8_url_rules, op9_best_fit_packing, op10_count_transducer)}
-ORACLE: dict[str, str] = {}

@@ -31,6 +31,7 @@ PATTERNS = (
     (r"/(wp-login|xmlrpc)\.php$", ("php",)),
     (r"(^|[./-])(casino|poker|slots|betting)[./-]", ()),
     (r"(^|[./-])(porn|xxx|adult|escort)[./-]", ()),
+    (r"(^|[./-])spam(mer|my)?[./-]", ()),
     (r"/cgi-bin/", ("cgi", "bin")),
     (r"/(login|signin|signup|register)(/|$|\.)", ()),
     (r"\.(exe|apk|torrent|iso|dmg)$", ()),
