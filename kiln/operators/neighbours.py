@@ -157,9 +157,10 @@ def knn_regress(query: DataFrame, ref: DataFrame, k: int, id_col: str, vec, targ
     return cand.groupBy(F.col("_qid").alias(id_col)).agg(F.avg("_tlabel").alias("prediction"))
 
 
-def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Oversample every minority class to the majority count by interpolating towards one of
-    its k nearest same-class neighbours. Apply to training rows only.
+def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int = 5, seed: int = 42,
+          only_smallest: bool = False) -> DataFrame:
+    """Oversample every minority class (or the smallest one alone) to the majority count by
+    interpolating towards one of its k nearest same-class neighbours. Apply to training rows only.
 
     Synthetic rows are spread over the class rows round-robin in seeded-hash order; neighbour
     choice and gap come from seeded hashes, so the result is repeatable.
@@ -170,7 +171,10 @@ def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int =
     major = max(counts.values())
     out = df.select(*features, target)
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    for cls, n_c in sorted(counts.items(), key=lambda kv: str(kv[0])):
+    chosen = sorted(counts.items(), key=lambda kv: str(kv[0]))
+    if only_smallest:
+        chosen = [min(chosen, key=lambda kv: kv[1])]
+    for cls, n_c in chosen:
         need = major - n_c
         if need <= 0 or n_c < 2:
             continue
@@ -199,20 +203,17 @@ def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int =
 
 
 def edited_nearest(df: DataFrame, target: str, features: list[str], id_col: str, k: int = 3) -> DataFrame:
-    """I6 cleaning step (ENN): drop rows of non-minority classes whose k neighbours do not all share the class."""
-    counts = class_counts(df, target)  # class count proven bounded first
-    minority = min(counts, key=lambda c: (counts[c], str(c)))
+    """I6 cleaning step (ENN): drop the rows, of any class, whose k neighbours do not all share their class."""
     cand = knn_candidates(df, df, k, id_col, id_col, features, target, exclude_self=True)
     lab = df.select(F.col(id_col).alias("_qid"), F.col(target).cast("double").alias("_own"))
     agree = cand.join(lab, "_qid").groupBy("_qid").agg(F.min((F.col("_tlabel") == F.col("_own")).cast("int")).alias("_ok"))
     bad = agree.where(F.col("_ok") == 0).select(F.col("_qid").alias(id_col))
-    drop = df.where(F.col(target) != F.lit(minority)).join(bad, id_col, "left_semi").select(id_col)
-    return df.join(drop, id_col, "left_anti")
+    return df.join(bad, id_col, "left_anti")
 
 
 def smote_enn(df: DataFrame, target: str, features: list[str], id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """SMOTE then edited nearest neighbours (on training rows only)."""
-    res = smote(df, target, features, id_col, k, seed)
+    """SMOTE of the smallest class, then edited nearest neighbours of all (on training rows only)."""
+    res = smote(df, target, features, id_col, k, seed, only_smallest=True)
     res = res.withColumn(id_col, F.monotonically_increasing_id())
     res = cut_lineage(res)
     return edited_nearest(res, target, features, id_col).drop(id_col)
