@@ -1,47 +1,38 @@
 """Row order without a single-partition window.
 
 Spark has no row index, and ``Window.orderBy`` without ``partitionBy``
-sorts the whole table in one task. Here the order key is cut into range
-buckets from an approximate-quantile pass (boundaries are a small list),
-the window runs per bucket, and the few cross-bucket facts (first/last row,
-row counts) are fixed with a tiny table of one row per bucket.
+sorts the whole table in one task. Here the rows are range-partitioned by
+the order key (any type; further key columns split ties), the window runs
+per range, and the few cross-range facts (first/last row, row counts) are
+fixed with a small table of one row per range. Range bounds come from a
+sample, so the dealt rows are checkpointed once and read from there.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.session import cut_lineage
+
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 
 
-def _bucketed(df: DataFrame, order_col: str, n_rows: int | None = None) -> DataFrame:
-    if n_rows is None:
-        n_rows = df.count()
-    nb = int(min(MAX_BUCKETS, max(1, math.ceil(n_rows / ROWS_PER_BUCKET))))
-    if nb <= 1:
-        return df.withColumn("_bk", F.lit(0.0))
-    probs = [i / nb for i in range(1, nb)]
-    key = F.col(order_col).cast("double")
-    bounds = df.select(F.percentile_approx(key, probs, 10000).alias("b")).first()["b"] or []
-    splits = sorted(set(float(b) for b in bounds if b is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    tmp = df.withColumn("_okey", key)
-    out = Bucketizer(splits=splits, inputCol="_okey", outputCol="_bk", handleInvalid="keep").transform(tmp)
-    return out.drop("_okey")
+def _bucketed(df: DataFrame, *order_cols: str) -> DataFrame:
+    nb = max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
+    if nb == 1:
+        return df.withColumn("_bk", F.lit(0))
+    return cut_lineage(df.repartitionByRange(nb, *order_cols).withColumn("_bk", F.spark_partition_id()))
 
 
 def row_index(df: DataFrame, order_cols: list[str], name: str = "_idx") -> DataFrame:
     """0-based position in ``order_cols`` order (ties broken by the remaining columns given)."""
-    order = order_cols[0]
-    b = _bucketed(df, order)
+    b = _bucketed(df, *order_cols)
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     wcum = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket: the offset table is tiny, its broadcast is bounded by MAX_BUCKETS
+    # one row per range of ROWS_PER_BUCKET rows
     offsets = counts.select("_bk", F.coalesce(F.sum("_n").over(wcum), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_bk").orderBy(*order_cols)
     out = b.join(F.broadcast(offsets), "_bk").withColumn(name, F.col("_off") + F.row_number().over(w) - 1)
@@ -71,7 +62,7 @@ def running_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusi
     b = _bucketed(df, order_col)
     totals = b.groupBy("_bk").agg(F.sum(value_col).alias("_t"))
     wcum = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket (<= MAX_BUCKETS): a bounded broadcast
+    # one row per range of ROWS_PER_BUCKET rows
     offsets = totals.select("_bk", F.coalesce(F.sum("_t").over(wcum), F.lit(0)).alias("_off"))
     end = 0 if inclusive else -1
     w = Window.partitionBy("_bk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)

@@ -272,7 +272,7 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         F.count(x[c]).alias(f"n{i}"), F.percentile_approx(x[c], ladder, ACCURACY).alias(f"q{i}"))]).first()
     at = {q: j for j, q in enumerate(ladder)}
 
-    targets = []  # (column index, p, lo or None, hi or None, n)
+    targets, total = [], 0  # (column index, p, lo or None, hi or None, n)
     for i, c in enumerate(cols):
         n = int(r[f"n{i}"])
         if n == 0:
@@ -289,7 +289,8 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 lo = grid[at[lo_q]] if lo_q > 0.0 else None
                 hi = grid[at[hi_q]] if hi_q < 1.0 else None
                 bound = 2 * (d + 1) * n / ACCURACY + 3
-            if bound > min(cap, COLLECT_CAP):
+            total += bound  # what all targets bring to the driver together
+            if bound > cap or total > COLLECT_CAP:
                 return None
             targets.append((i, p, lo, hi, n))
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
@@ -357,7 +358,7 @@ def kth_many(df: DataFrame, value: str, targets: list[tuple], cap: int = COLLECT
     r = df.agg(*[a for t, ((cond, _, _), lad) in enumerate(zip(targets, ladders)) for a in (
         F.count(F.when(cond, x)).alias(f"n{t}"),
         F.percentile_approx(F.when(cond, x), lad, ACCURACY).alias(f"q{t}"))]).first()
-    brackets = []
+    brackets, total = [], 0
     for t, ((cond, k, p), lad) in enumerate(zip(targets, ladders)):
         n = int(r[f"n{t}"])
         if not 0 <= k < n:
@@ -374,7 +375,8 @@ def kth_many(df: DataFrame, value: str, targets: list[tuple], cap: int = COLLECT
             lo = r[f"q{t}"][at[lo_q]] if lo_q > 0.0 else None
             hi = r[f"q{t}"][at[hi_q]] if hi_q < 1.0 else None
             bound = 2 * (d + 1) * n / ACCURACY + 3
-        if bound > min(cap, COLLECT_CAP):
+        total += bound  # what all targets bring to the driver together
+        if bound > cap or total > COLLECT_CAP:
             return None
         brackets.append((lo, hi))
     elems = []

@@ -298,8 +298,7 @@ def silhouette_exact(df: DataFrame, id_col: str, vec, cluster: str) -> DataFrame
     sums = _blockwise(pts.select("_qid", "_qv"), ref, _cluster_sum_factory, f"_qid {qt}, _to double, _sum double")
     sums = sums.groupBy("_qid", "_to").agg(F.sum("_sum").alias("_sum"))
     sizes = pts.groupBy(F.col("_c").alias("_to")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per cluster: bounded
-    j = sums.join(F.broadcast(sizes), "_to").join(pts.select("_qid", "_c"), "_qid")
+    j = sums.join(sizes, "_to").join(pts.select("_qid", "_c"), "_qid")
     own = F.when(F.col("_to") == F.col("_c"), F.col("_sum") / (F.col("_n") - 1))
     other = F.when(F.col("_to") != F.col("_c"), F.col("_sum") / F.col("_n"))
     per = j.groupBy("_qid", "_c").agg(F.max(own).alias("a"), F.min(other).alias("b"),

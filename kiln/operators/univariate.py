@@ -91,8 +91,7 @@ def kde(df: DataFrame, col: str, grid: int = KDE_GRID, by: str | None = None) ->
     st = st.withColumn("w", (F.col("mx") - F.col("mn")) / KDE_BINS)
     data = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
     if keys:
-        # one row per group; callers pass a bounded category set (E7's top-k)
-        j = data.join(F.broadcast(st), keys, "inner")
+        j = data.join(st, keys, "inner")  # AQE broadcasts the group table if it turns out small
     else:
         r = st.first()
         if r is None:
@@ -128,9 +127,8 @@ def box_stats(df: DataFrame, cols: list[str], by: str | None = None, whisker: fl
         return _box_global(df, wide)
     long = df.select(*keys, *[F.col(q(c)).cast("double").alias(c) for c in cols]) \
         .unpivot(keys, cols, "column_name", "_x").where(F.col("_x").isNotNull())
-    # one row per (group, column): bounded by #groups x #columns
-    j = long.join(F.broadcast(wide.select(*keys, "column_name", "lo_fence", "hi_fence")),
-                  keys + ["column_name"])
+    # AQE broadcasts the fences if they turn out small
+    j = long.join(wide.select(*keys, "column_name", "lo_fence", "hi_fence"), keys + ["column_name"])
     inside = (F.col("_x") >= F.col("lo_fence")) & (F.col("_x") <= F.col("hi_fence"))
     wh = j.groupBy(*keys, "column_name").agg(
         F.min(F.when(inside, F.col("_x"))).alias("lower_whisker"),

@@ -100,8 +100,9 @@ def pca_report(df: DataFrame, features: list[str], max_components: int = 10):
 
 
 def pca_2d_view(df: DataFrame, features: list[str], id_col: str, labels: DataFrame | None = None,
-                n: int = 1000, seed: int = 42) -> DataFrame:
-    """M7: first two components (sign fixed: largest loading positive) of a seeded sample."""
+                n: int | None = None, seed: int = 42) -> DataFrame:
+    """M7: first two components (sign fixed: largest loading positive) of all rows, or of a seeded
+    sample of ``n``."""
     from kiln.operators.bivariate import sample_rows
     vec = standardised_vectors(df, features, id_col)
     m = PCA(k=2, inputCol="features", outputCol="pcs").fit(vec)
@@ -111,7 +112,7 @@ def pca_2d_view(df: DataFrame, features: list[str], id_col: str, labels: DataFra
     out = out.select(id_col, (F.col("_p")[0] * signs[0]).alias("pc1"), (F.col("_p")[1] * signs[1]).alias("pc2"))
     if labels is not None:
         out = out.join(labels, id_col, "left")
-    return sample_rows(out, [id_col], n, seed)
+    return out if n is None else sample_rows(out, [id_col], n, seed)
 
 
 def kmeans_sweep(df: DataFrame, features: list[str], id_col: str, k_min: int = 2, k_max: int = 8,
@@ -126,7 +127,7 @@ def kmeans_sweep(df: DataFrame, features: list[str], id_col: str, k_min: int = 2
     for k in range(k_min, k_max + 1):
         best = None
         for s in range(n_init):
-            m = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=50).fit(vec)
+            m = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300).fit(vec)
             cost = m.summary.trainingCost
             if best is None or cost < best[1]:
                 best = (m, cost)

@@ -167,3 +167,15 @@ def test_two_job_paths_decline_wide_requests(spark, monkeypatch):
     assert got == {"x": {0.5: 49.5}, "y": {0.5: -49.5}}
     two = [(F.col("x") < 50, 10, 0.2), (F.col("x") >= 50, 10, 0.2)]
     assert selection.kth_many(df, "x", two) is None
+
+
+def test_row_index_over_many_ranges_of_any_type(spark, monkeypatch):
+    import datetime as dt
+
+    from kiln.functions import ordering
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 40)
+    rows = [(f"w{i % 7}", dt.datetime(2020, 1, 1) + dt.timedelta(hours=i % 50), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "t string, d timestamp_ntz, k long").repartition(6)
+    for first in ("t", "d"):
+        got = [r["k"] for r in sorted(ordering.row_index(df, [first, "k"], "i").collect(), key=lambda r: r["i"])]
+        assert got == [r[2] for r in sorted(rows, key=lambda r: (r[0] if first == "t" else r[1], r[2]))]
