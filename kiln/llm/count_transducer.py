@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from kiln.llm import textnp as T
 from kiln.llm.common import ready
+from kiln.llm.tokens import byte_letters
 
 CHUNK = 64
 #: Compiled states are dropped beyond this, and compiled anew when needed.
@@ -174,7 +175,7 @@ class CountTransducer:
         if any(t[k] for t in kind["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError(f"{path} has added tokens that take their surroundings")
         self.special = sorted((t["content"].encode() for t in kind["added_tokens"]), key=len, reverse=True)
-        byte_of = {c: b for b, c in _byte_letters().items()}
+        byte_of = {c: b for b, c in byte_letters().items()}
         read = lambda s: bytes(byte_of[c] for c in s)
         added = {t["content"] for t in kind["added_tokens"]}
         self.tokens = {read(t): i for t, i in model["vocab"].items() if t not in added}
@@ -336,13 +337,6 @@ class CountTransducer:
             text = text[i + len(s):]
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write each byte with: itself if printable, else from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
-
-
 _COMPILED: dict[str, CountTransducer] = {}
 
 

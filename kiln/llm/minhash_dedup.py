@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import textnp as T
-from kiln.llm.common import BROADCAST_ROWS, ready, save
+from kiln.llm.common import BROADCAST_ROWS, ready, save, small
 from kiln.llm.components import components
 
 BINS = 512
@@ -202,8 +202,8 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class _Search:
     """The representatives, their buckets, and the links that were confirmed so far."""
 
-    def __init__(self, docs: DataFrame, signed: DataFrame, groups: DataFrame):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, signed: DataFrame, groups: DataFrame, repeated: bool):
+        self.docs, self.repeated = docs, repeated
         self.reps = save(signed.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
                          .where("n_shingles > 0").dropDuplicates(["doc_id"])
                          .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "reps")
@@ -225,11 +225,9 @@ class _Search:
             return False
         ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         wanted = F.broadcast(ids) if 2 * n <= BROADCAST_ROWS else ids
-        sets = save(self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                    .mapInArrow(_full_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
-                    if self.repeated else
-                    self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-                    .mapInArrow(_full_sets, "doc_id bigint, shingles binary"), "sets")
+        sets = (self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+                .mapInArrow(_full_sets, "doc_id bigint, shingles binary"))
+        sets = save(sets.dropDuplicates(["doc_id"]) if self.repeated else sets, "sets")
         side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"x{k}"))
         links = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed, "a bigint, b bigint"), "found")
         found = links.count() > 0
@@ -255,8 +253,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id (smallest doc_id reachable over links of 85 % similarity), kept.
 
     A null, empty or word-less text has no shingles, stands alone and is kept. Rows that repeat a
-    doc_id are one node: they share a component, and each row has its own n_shingles. Rows with a
-    null doc_id get component null and are kept. Equal sets are one class whatever their number. An
+    doc_id are one node: they share a component, and each row has its own n_shingles (where their
+    texts differ, equal sets of each are found, near ones of one of them). Rows with a null doc_id get component null and are kept. Equal sets are one class whatever their number. An
     empty table gives an empty table.
     """
     ready(docs)
@@ -265,8 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = save(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "groups")
     counts = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).agg(F.max("m")).first()
     repeated = (counts[0] or 0) > 1
-    s = _Search(docs, signed, groups)
-    s.repeated = repeated
+    s = _Search(docs, signed, groups, repeated)
     s.confirm(s.members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     again = s.mixed().withColumn("hub", F.when(F.col("centre") == F.col("c0"), F.col("c1")).otherwise(F.col("c0")))
     hubs = again.where("comp = hub").groupBy("bucket").agg(F.min("rep").alias("at"))
@@ -308,8 +305,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. Of rows that repeat a kept doc_id one stays.
     """
     found = save(near_duplicates(docs), "dedup")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
+    dropped = save(found.where("not kept").select("doc_id").distinct(), "dropped")
+    rest = docs.join(small(dropped), "doc_id", "left_anti")
     if found.where("doc_id is not null").count() > found.select("doc_id").where("doc_id is not null").distinct().count():
         rest = rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
     return rest

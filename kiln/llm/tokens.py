@@ -1,33 +1,47 @@
 """Token ids of whole texts with the tokenizers library, one call per distinct stretch of text.
 
 A text is cut only where the tokenizer surely starts anew, so that ids of the parts are the ids of
-the whole: before a run of ASCII white space that follows something else (byte-level pre-tokenizer),
-or at the white space itself (pre-tokenizers that drop white space). Each worker keeps the ids of
-the stretches that it has met. Texts with rarer white space, and other tokenizers, go whole.
+the whole: into the pre-tokens of a byte-level pre-tokenizer, where a text has only ASCII and Latin
+letters; else before a run of ASCII white space that follows something else; or at the white space
+itself (pre-tokenizers that drop it). Single pre-tokens go straight to the library's model. Each
+worker keeps the ids of the stretches that it has met. Texts with rarer white space, and other
+tokenizers, go whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
 from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Forget the stretches of earlier texts beyond so many.
-KEEP = 700_000
+KEEP = 500_000
 #: Longer stretches are not kept.
 LONGEST = 64
 
+#: The byte-level pre-tokens of texts without other characters than ASCII and the letters U+00C0 to U+023F.
+_PRETOKEN = re.compile(rb"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9\x80-\xff]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_FOREIGN = re.compile(rb"[\xc2\xc9-\xff]|\xc3[\x97\xb7]")
 _STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space of Unicode beyond ASCII, and separators on which definitions differ.
-_CONTROLS = b"\x1c\x1d\x1e\x1f"
 _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write each byte with: itself if printable, else from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts with the tokenizer file at ``path``; no special tokens are added."""
 
@@ -42,6 +56,8 @@ class Encoder:
         loose = any(t[k] for t in kind["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
         pre, norm = kind["pre_tokenizer"] or {}, json.dumps(kind["normalizer"])
         parts = pre.get("pretokenizers", [pre])
+        self.special = [t["content"].encode() for t in kind["added_tokens"]]
+        self.letters = {b: c for b, c in byte_letters().items()}
         self.cut = None
         if not loose and kind["model"]["type"] == "BPE":
             if kind["normalizer"] is None and [p.get("type") for p in parts] == ["ByteLevel"] and parts[0]["use_regex"] and not parts[0]["add_prefix_space"]:
@@ -64,12 +80,24 @@ class Encoder:
     def _parts(self, text: bytes) -> list[bytes]:
         if self.cut == "drop":
             return text.split()
-        if self.cut == "before" and not (len(text.translate(None, _CONTROLS)) < len(text) if text.isascii() else _RARE.search(text)):
-            return _STRETCH.findall(text)
+        if self.cut == "before":
+            if (text.isascii() or not _FOREIGN.search(text)) and not any(s in text for s in self.special):
+                return _PRETOKEN.findall(text)
+            if not _RARE.search(text):
+                return _STRETCH.findall(text)
         return [text] if text else []
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (uint32) and how many each has; ``end`` is put after each text."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of small objects without cycles
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.at) > KEEP:
             self._clear()
         if end is not None and b"" not in self.at:  # no text has an empty part: its place holds the end id
@@ -84,8 +112,17 @@ class Encoder:
         which = np.fromiter(map(self.at.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
         missing = np.flatnonzero(which < 0).tolist()
         new = list(dict.fromkeys(map(flat.__getitem__, missing)))
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
+        if self.cut == "before":
+            whole, model, token_id = [], self.tokenizer.model, attrgetter("id")
+            for p in new:
+                if _PRETOKEN.fullmatch(p) and not _FOREIGN.search(p):
+                    self._keep(p, list(map(token_id, model.tokenize(p.decode("latin-1").translate(self.letters)))))
+                else:
+                    whole.append(p)
+        else:
+            whole = new
+        for i in range(0, len(whole), 4096):
+            some = whole[i:i + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False), strict=True):
                 self._keep(p, e.ids)
         which[missing] = [self.at[flat[i]] for i in missing]
@@ -113,14 +150,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(column: pa.Array, limit: int = 4 << 20):
+def text_slices(column: pa.Array, limit: int = 1 << 20):
     """(first row, texts as UTF-8) of runs of rows of about ``limit`` bytes; a null is empty."""
-    texts, size, first = [], 0, 0
-    for i, t in enumerate(column.cast(pa.large_binary()).fill_null(b"").to_pylist()):
-        texts.append(t)
-        size += len(t)
-        if size >= limit:
-            yield first, texts
-            texts, size, first = [], 0, i + 1
-    if texts:
-        yield first, texts
+    if column.null_count:
+        column = column.fill_null("")
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    upto, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(sizes):
+        before = upto[first] - sizes[first]
+        end = max(first + 1, int(np.searchsorted(upto, before + limit, side="right")))
+        yield first, column.slice(first, end - first).cast(pa.large_binary()).to_pylist()
+        first = end
