@@ -220,5 +220,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     table = estimates(rows)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "lang", "source")
-    done = judge(with_stats(packed, "s"), table)
-    return done.where("kept").select(*[F.col("row")[c].alias(c) for c in names])
+    # each explode of one value keeps the optimiser from copying what is below it into the filter
+    stats = with_stats(packed, "t").select("row", "lang", "source", F.explode(F.array("t")).alias("s"))
+    done = judge(stats, table).select("row", F.explode(F.array("kept")).alias("stays"))
+    return done.where("stays").select(*[F.col("row")[c].alias(c) for c in names])
