@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,21 @@ def test_densified_signatures_estimate_similarity():
     assert (M.signatures(np.zeros(0, np.uint64), np.array([0]))[0] == 0).all()
 
 
+@pytest.mark.parametrize("shared, own", [(221, 39), (272, 48), (340, 60), (408, 72), (442, 78), (476, 84), (510, 90)])
+def test_sketch_filter_keeps_pairs_at_the_threshold(shared, own):
+    """Pairs of exactly 85 % similarity with 240 to 555 shingles all reach the exact check."""
+    rng, m = np.random.default_rng(shared), 3000
+    h = rng.integers(0, 1 << 64, (m, shared + own), dtype=np.uint64)
+    half = shared + own // 2
+    sets = [np.sort(h[:, :half], axis=1), np.sort(np.concatenate([h[:, :shared], h[:, half:]], axis=1), axis=1)]
+    n = [np.full(m, x.shape[1]) for x in sets]
+    sig = [M.signatures(x.ravel(), k) for x, k in zip(sets, n, strict=True)]
+    ids = pa.array(np.arange(m))
+    batch = pa.RecordBatch.from_arrays([ids, ids, *[pa.array([x.tobytes() for x in s], pa.binary()) for s in sig], *map(pa.array, n)],
+                                       names=["a", "b", "sa", "sb", "na", "nb"])
+    assert sum(b.num_rows for b in M._hopeful(iter([batch]))) == m
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(300, 300), (7, 3), (3, 7), (None, 2)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
