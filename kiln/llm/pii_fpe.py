@@ -7,6 +7,11 @@ bijection, and equal values get equal pseudonyms in all documents. Separators st
 and IBAN check digits are recomputed. Addresses and secrets have no countable format: an email's
 local part and a secret's characters are replaced by keyed hash text of the same alphabet.
 
+A pattern takes what follows a number along (a security code, a year, a word), so every allowed length
+of a match is validated: the usual one of the card's issuer or the IBAN's country first, then the
+longest. All places where a pattern can start are tried, from the left; what a replaced value leaves
+over, or a match without a valid length, is searched on.
+
 What does not validate stays as it is. Everything happens within a row: no shuffle.
 """
 
@@ -22,7 +27,8 @@ _DAY0 = "1900-01-01"
 
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # within an address, only places where another kind's match can have ended are tried
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[0-9])(?![0-9])|(?<=[A-Za-z0-9+/_-])(?=[.%_+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
                r"|(?<=(?:password|passwd|secret|token|apikey|api_key)=)[A-Za-z0-9+/_-]{8,}"),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -34,7 +40,15 @@ PATTERNS = {
     "phone": (r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
               r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9]|[.-][0-9])"),
 }
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every place where a kind starts, with its match as group 1.
+_STARTS = "(?=(" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + "))"
+#: Country codes by IBAN length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: A text with none of these holds none of the kinds.
 _HINT = r"[0-9@]|(?:password|passwd|secret|token|apikey|api_key)="
 
@@ -128,6 +142,41 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, " ", ""), use)
 
 
+def _first_valid(m: Column, pattern: str, sizes: range, valid, usual: Column) -> Column:
+    """The prefix of ``m`` that is valid and ends at a border: the one of ``usual`` characters (separators
+    do not count), else the longest; null if there is none. ``pattern`` holds ``%d`` for the size less one."""
+    parts = F.filter(F.array(*[F.regexp_extract(m, pattern % (k - 1), 0) for k in sizes]), lambda x: (x != "") & valid(x))
+    fits = lambda x: F.length(F.regexp_replace(x, "[ -]", "")) == usual
+    return _let(parts, lambda p: F.coalesce(F.get(F.filter(p, fits), F.lit(0)), F.get(p, F.lit(0))))
+
+
+def _card_part(m: Column) -> Column:
+    d = F.substring(_digits(m), 1, 4)
+    usual = F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|35|6011|65)"), 16).when(d.rlike("^3[47]"), 15).when(d.rlike("^3[0689]"), 14)
+    found = _first_valid(m, r"^[0-9](?:[ -]?[0-9]){%d}(?![0-9])", range(19, 12, -1), lambda x: _luhn_sum(_digits(x)) % 10 == 0, usual)
+    phone = F.regexp_extract(m, r"^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9]|[.-][0-9])", 0)  # with digits after it
+    return F.coalesce(found, F.when(phone != "", phone))
+
+
+def _iban_part(m: Column) -> Column:
+    country, usual = F.substring(m, 1, 2), F.lit(None).cast("int")
+    for n, codes in _IBAN_LENGTHS.items():
+        usual = F.when(country.isin(*codes.split()), n).otherwise(usual)
+    return _first_valid(m, r"^[A-Z0-9](?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])", range(34, 14, -1),
+                        lambda x: _mod97(F.regexp_replace(x, " ", "")) == 1, usual)
+
+
+def _phone_part(m: Column) -> Column:
+    groups = [F.regexp_extract(m, PATTERNS["phone"].split("|(?<!")[0].replace("{2,4}(?![0-9])", "{%d}(?![0-9])" % n), 0) for n in (4, 3, 2)]
+    return F.coalesce(*[F.when(F.length(_digits(g)).between(7, 15), g) for g in groups])
+
+
+def valid_part(m: Column) -> Column:
+    """The beginning of a match that validates, without what its pattern took along; else the match."""
+    part = F.when(m.rlike(f"^(?:{PATTERNS['card']})$"), _card_part(m)).when(m.rlike(f"^(?:{PATTERNS['iban']})$"), _iban_part(m))
+    return F.coalesce(part.when(m.startswith("+") & m.rlike(f"^(?:{PATTERNS['phone']})$"), _phone_part(m)), m)
+
+
 def _ip(m: Column, key: str) -> Column:
     def use(o: Column) -> Column:
         part = lambda i: F.get(o, F.lit(i)).cast("bigint")
@@ -190,6 +239,19 @@ def pseudonym(match: Column, key: str) -> Column:
     return out.otherwise(_secret(match, key))  # only a secret after "password=" fits no whole pattern
 
 
+def _covered(rows: Column) -> Column:
+    """For each place: the size of the value replaced there, 0 if none is, or, negative, how many
+    characters from there on belong to a value replaced before."""
+    def step(acc: Column, r: Column) -> Column:
+        free = acc["over"] == 0
+        held = F.when(free, r["size"]).otherwise(acc["over"])
+        return F.struct(F.greatest(held - F.length(r["gap"]), F.lit(0)).alias("over"),
+                        F.concat(acc["out"], F.array(F.when(free, held).otherwise(-held))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+
 def pseudonymise(docs: DataFrame, key: str = "kiln-pseudonyms-1", column: str = "text") -> DataFrame:
     """``docs`` with the personal data of ``column`` replaced, and ``n_replaced`` (bigint) added, last.
 
@@ -203,14 +265,24 @@ def pseudonymise(docs: DataFrame, key: str = "kiln-pseudonyms-1", column: str =
     while fresh in names:
         fresh += "_"
     hinted = F.coalesce(text.rlike(_HINT), F.lit(False))
-    found = F.when(hinted, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
+    found = F.when(hinted, F.regexp_extract_all(text, F.lit(_STARTS), F.lit(1)))
     some = docs.select(*[F.col(f"`{c}`") for c in names], found.alias(fresh))
-    new = F.transform(F.col(fresh), lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    some = some.withColumn(fresh, F.when(F.size(fresh) > 0, new))
-    gaps = F.split(text, _ANY, -1)
-    pieces = F.zip_with(gaps, F.col(fresh), lambda g, m: F.concat(g, F.coalesce(m["new"], m["old"], F.lit(""))))
-    done = F.when(F.size(F.coalesce(F.col(fresh), F.array())) > 0, F.array_join(pieces, "")).otherwise(text)
-    changed = F.coalesce(F.size(F.filter(F.col(fresh), lambda m: m["new"].isNotNull())), F.lit(0))
+    new = F.transform(F.col(fresh), lambda m: _let(valid_part(m), lambda x: F.struct(F.length(x).alias("size"), pseudonym(x, key).alias("new"))))
+    some = some.withColumn(fresh, F.when(F.size(fresh) > 0, F.struct(F.split(text, _STARTS, -1).alias("gaps"), new.alias("found"))))
+    # a place at the text's begin has no gap before it
+    head = F.when(F.size(F.col(fresh)["gaps"]) > F.size(F.col(fresh)["found"]), F.get(F.col(fresh)["gaps"], F.lit(0))).otherwise("")
+    tails = F.slice(F.col(fresh)["gaps"], -F.size(F.col(fresh)["found"]), F.size(F.col(fresh)["found"]))
+    rows = F.zip_with(tails, F.col(fresh)["found"], lambda g, m: F.struct(
+        g.alias("gap"), m["new"].alias("new"), F.when(m["new"].isNotNull(), m["size"]).otherwise(0).alias("size")))
+    some = some.withColumn(fresh, F.when(F.col(fresh).isNotNull(), F.struct(head.alias("head"), rows.alias("rows"))))
+    some = some.withColumn(fresh, F.when(F.col(fresh).isNotNull(), F.struct(
+        F.col(fresh)["head"].alias("head"),
+        F.zip_with(F.col(fresh)["rows"], _covered(F.col(fresh)["rows"]), lambda r, c: F.struct(
+            r["gap"].alias("gap"), r["new"].alias("new"), c.alias("covered"))).alias("rows"))))
+    pieces = F.transform(F.col(fresh)["rows"], lambda r: F.concat(
+        F.when(r["covered"] > 0, r["new"]).otherwise(""), F.substring(r["gap"], F.abs(r["covered"]) + 1, F.length(r["gap"]))))
+    done = F.when(F.col(fresh).isNotNull(), F.concat(F.col(fresh)["head"], F.array_join(pieces, ""))).otherwise(text)
+    changed = F.coalesce(F.size(F.filter(F.col(fresh)["rows"], lambda r: r["covered"] > 0)), F.lit(0))
     return some.select(*[done.alias(c) if c == column else F.col(f"`{c}`") for c in names], changed.cast("bigint").alias("n_replaced"))
 
 
