@@ -63,3 +63,45 @@ def test_streaming_applies_batch_fit(spark, tmp_path):
     q.stop()
     r = spark.sql("SELECT * FROM kiln_stream_test").first()
     assert r["n_rows"] == batch.count() and r["value_missing"] == 0
+
+
+def test_kmeans_sweep_runs_the_whole_job(monkeypatch):
+    import inspect
+
+    from kiln.plans import catalog_learn as L
+    seen = {}
+    signature = inspect.signature(L.unsupervised.kmeans_sweep)
+
+    def sweep(*args, **kw):
+        bound = signature.bind(*args, **kw)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(L.unsupervised, "kmeans_sweep", sweep)
+    monkeypatch.setattr(L.unsupervised, "cluster_leaderboard", lambda rows: rows)
+    monkeypatch.setattr(L, "_cluster_input", lambda *a: None)
+    monkeypatch.setattr(L, "_round_doubles", lambda rows: rows)
+    L.q_kmeans_sweep(None, None)
+    assert (seen["k_min"], seen["k_max"], seen["n_init"]) == (2, 8, 10)
+
+
+def test_before_after_refits_the_best_scored_setting(spark, monkeypatch):
+    from kiln.plans import catalog_learn as L
+    refit, search = {}, {}
+
+    def scored(df, features, problem_type, scaler, spec, n_iter, **kw):
+        combos = L.models.sample_params(spec.grid, n_iter, 42)
+        search[spec.name] = (n_iter, combos[-1])
+        rows = [(spec.name, str(sorted(p.items())), float(i)) for i, p in enumerate(combos)]
+        return spark.createDataFrame(rows, "Model string, params string, cv_score double").orderBy("cv_score", ascending=False)
+
+    monkeypatch.setattr(L.models, "random_search", scored)
+    monkeypatch.setattr(L.models, "fit_predict", lambda s, params, *a, **kw: (None, refit.setdefault(s.name, params)))
+    monkeypatch.setattr(L.models, "_score", lambda *a, **kw: {"F1": 0.5, "Accuracy": 0.5})
+    monkeypatch.setattr(L.models, "baseline_leaderboard", lambda *a, **kw: None)
+    monkeypatch.setattr(L.models, "leaderboard_frame", lambda *a, **kw: None)
+    monkeypatch.setattr(L.models, "before_after", lambda *a, **kw: None)
+    monkeypatch.setattr(L, "_round_doubles", lambda rows: rows)
+    L.q_before_after(spark, SF001)
+    assert {k: v[0] for k, v in search.items()} == {"Logistic Regression": 12, "Decision Tree": 12}
+    assert refit == {k: v[1] for k, v in search.items()}
