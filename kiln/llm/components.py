@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     loops = pairs.where("a = b").select("a").distinct()
     edges = save(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                  .distinct(), "links")
-    seen = None
+    seen = before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -31,9 +31,10 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
         edges = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
+        # equal sums ask for the full comparison: as many distinct links, and none that is new
+        if seen is not None and now == seen and not edges.join(before, ["u", "v"], "left_anti").limit(1).count():
             break
-        seen = now
+        seen, before = now, edges
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return (roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
             .unionByName(loops.select(F.col("a").alias("node"), F.col("a").alias("component")))

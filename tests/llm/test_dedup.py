@@ -83,6 +83,35 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, None, 5, 9], key=str)
 
 
+def test_near_copies_of_every_text_of_a_repeated_id_are_linked(spark):
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    one, two, short = text(), text(), text()[:200]
+    rows = [(5, one), (5, two), (9, one[:-5]), (10, two[:-5]), (11, short), (5, []), (12, short[:-4]), (12, text()), (12, text())]
+    df = spark.createDataFrame([(i, " ".join(t), None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    got = {(r.doc_id, r.component_id) for r in M.near_duplicates(df).collect()}
+    assert got == {(5, 5), (9, 5), (10, 5), (11, 11), (12, 11)}
+
+
+def test_large_loose_group_gives_few_links(spark, monkeypatch):
+    """What tasks give out stays below the members times the blocks that they meet."""
+    monkeypatch.setattr(M, "BLOCK", 64)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        copy = base[:]
+        for _ in range(rng.randint(3, 9)):
+            copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    add = M._Search.add
+    monkeypatch.setattr(M._Search, "add", lambda self, links: (seen.append(links.count()), add(self, links)))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()} == brute(rows)
+    assert len(seen) == 3 and seen[-1] < 400 * 32
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert M.near_duplicates(df).collect() == [] and M.keep_first(df).collect() == []
