@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Dates are permuted among 270 * 271 days from 1900-01-01 (to 2100-05-02).
-_DAYS = (270, 271)
+#: Dates are permuted among the 17 * 4297 days of 1900-01-01 to 2099-12-31, all that the patterns take.
+_DAYS = (17, 4297)
 _DAY0 = "1900-01-01"
 
 #: Kinds in the order in which they are tried at a place of the text.
@@ -202,7 +202,14 @@ def _date(m: Column, key: str) -> Column:
 
 def _ssn(m: Column, key: str) -> Column:
     valid = ~m.rlike(r"^(?:000|666|9)|^...-00|0000$")
-    return F.when(valid, _refill(m, permute_digits(_digits(m), key, F.lit("ssn"))))
+    # 898 areas (001 to 899 without 666), 99 groups, 9,999 serials
+    part = lambda i, n: F.substring(m, i, n).cast("bigint")
+    area = part(1, 3)
+    rest = (part(5, 2) - 1) * 9999 + part(8, 4) - 1
+    done = permute(area - F.when(area < 666, 1).otherwise(2), rest, 898, 99 * 9999, key, F.lit("ssn"))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return F.when(valid, _let(done, lambda s: F.concat_ws(
+        "-", pad(s["l"] + F.when(s["l"] < 665, 1).otherwise(2), 3), pad(F.floor(s["r"] / 9999) + 1, 2), pad(s["r"] % 9999 + 1, 4))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -252,14 +259,14 @@ def _covered(rows: Column) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 
-def pseudonymise(docs: DataFrame, key: str = "kiln-pseudonyms-1", column: str = "text") -> DataFrame:
-    """``docs`` with the personal data of ``column`` replaced, and ``n_replaced`` (bigint) added, last.
+def pseudonymise(docs: DataFrame, key: str = "kiln-pseudonyms-1", column: str = "text", count: str = "n_replaced") -> DataFrame:
+    """``docs`` with the personal data of ``column`` replaced, and their number ``count`` (bigint) added, last.
 
     A null text stays null, with 0 replaced; an empty text and a text without personal data stay as
-    they are, byte for byte. Repeated rows get equal results. An existing column ``n_replaced`` is
+    they are, byte for byte. Repeated rows get equal results. An existing column of the name ``count`` is
     replaced; all others pass unchanged. An empty table gives an empty table. ``key`` is the secret.
     """
-    names = [c for c in docs.columns if c != "n_replaced"]
+    names = [c for c in docs.columns if c != count]
     text = F.col(column)
     fresh = "_found"
     while fresh in names:
@@ -283,12 +290,15 @@ def pseudonymise(docs: DataFrame, key: str = "kiln-pseudonyms-1", column: str =
         F.when(r["covered"] > 0, r["new"]).otherwise(""), F.substring(r["gap"], F.abs(r["covered"]) + 1, F.length(r["gap"]))))
     done = F.when(F.col(fresh).isNotNull(), F.concat(F.col(fresh)["head"], F.array_join(pieces, ""))).otherwise(text)
     changed = F.coalesce(F.size(F.filter(F.col(fresh)["rows"], lambda r: r["covered"] > 0)), F.lit(0))
-    return some.select(*[done.alias(c) if c == column else F.col(f"`{c}`") for c in names], changed.cast("bigint").alias("n_replaced"))
+    return some.select(*[done.alias(c) if c == column else F.col(f"`{c}`") for c in names], changed.cast("bigint").alias(count))
 
 
 def pseudonymise_documents(docs: DataFrame, key: str = "kiln-pseudonyms-1") -> DataFrame:
     """The columns of ``docs``, with ``text`` pseudonymised and ``n_chars`` its new length."""
-    done = pseudonymise(docs, key)
+    count = "n_replaced"
+    while count in docs.columns:
+        count += "_"
+    done = pseudonymise(docs, key, count=count)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])

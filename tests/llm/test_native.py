@@ -263,3 +263,62 @@ def test_urls_match_brute_force(spark):
     want = sorted((str(i if i % 4 else None), h, p, str(r), v) for i, u in enumerate(urls + urls[:8]) for h, p, r, v in [plain_verdict(u)])
     assert got == want
     assert U.url_filter(df.where(F.lit(False))).collect() == []
+
+
+# ---- pseudonyms: exact domains, against a plain find and replace
+
+def plain_permute(left, right, a, b, key, tweak):
+    import hashlib
+
+    def prf(step, value):
+        text = "\x1f".join([key, tweak, str(step), str(value), key])
+        return int(hashlib.sha256(text.encode()).hexdigest()[:15], 16)
+
+    for i in range(P.ROUNDS):
+        if i % 2 == 0:
+            left = (left + prf(i, right) % a) % a
+        else:
+            right = (right + prf(i, left) % b) % b
+    return left, right
+
+
+def plain_social(m, key):
+    area, group, serial = (int(x) for x in m.group().split("-"))
+    if area in (0, 666) or area >= 900 or not group or not serial:
+        return m.group()
+    x, y = plain_permute(area - (1 if area < 666 else 2), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+    return f"{x + (1 if x < 665 else 2):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+
+def plain_date(m, key):
+    first = np.datetime64("1900-01-01")
+    x, y = plain_permute(*divmod(int((np.datetime64(m.group()) - first).astype(int)), 4297), 17, 4297, key, "date")
+    return str(first + x * 4297 + y)
+
+
+def test_social_numbers_and_dates_equal_a_plain_find_and_replace(spark):
+    r, key = np.random.default_rng(3), "kiln-pseudonyms-1"
+    numbers = {f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in zip(r.integers(0, 1000, 600), r.integers(0, 100, 600), r.integers(0, 10_000, 600), strict=True)}
+    numbers |= {"001-01-0001", "899-99-9999", "665-01-0001", "667-99-9999", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"}
+    days = [str(np.datetime64("1900-01-01") + k) for k in range(0, 73_049, 121)] + ["2099-12-31"]
+    texts = [f"Number {n}, born {d}." for n, d in zip(sorted(numbers), days, strict=False)]
+    got = pseudonyms(spark, texts)
+    for t in texts:
+        want = re.sub(r"\d{3}-\d{2}-\d{4}", lambda m: plain_social(m, key), t)
+        assert got[t] == re.sub(r"\d{4}-\d\d-\d\d(?=\.)", lambda m: plain_date(m, key), want)
+
+
+def test_all_days_and_many_social_numbers_stay_in_their_format(spark):
+    days = [str(np.datetime64("1900-01-01") + k) for k in range(73_049)]
+    df = spark.createDataFrame([(d,) for d in days], "d string").repartition(8)
+    assert sorted(r[0] for r in df.select(P._date(F.col("d"), "key")).collect()) == days
+    valid = sorted({f"{k % 665 + 1:03d}-{k % 99 + 1:02d}-{k % 9999 + 1:04d}" for k in range(20_000)})
+    df = spark.createDataFrame([(v,) for v in valid], "v string").repartition(8)
+    got = [r[0] for r in df.select(P._ssn(F.col("v"), "key")).collect()]
+    assert len(set(got)) == len(valid) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in got)
+
+
+def test_a_column_of_the_counts_name_stays(spark):
+    docs = spark.createDataFrame([(1, "123-45-6789", 77, 5)], "doc_id bigint, text string, n_replaced int, n_chars bigint")
+    r = P.pseudonymise_documents(docs).first()
+    assert r.n_replaced == 77 and r.text != "123-45-6789" and r.n_chars == 11
