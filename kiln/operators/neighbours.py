@@ -1,10 +1,9 @@
-"""Exact nearest-neighbour operators.
+"""Nearest-neighbour operators.
 
-No pair rows are ever emitted and nothing passes through the driver. Both sides are cut into blocks
-by id hash, sized so that a block of vectors takes at most BLOCK_BYTES; every (query block, reference
-block) pair is one co-grouped task, which keeps only the k best candidates (or counts, or sums)
-per query (numpy BLAS). The per-block answers are merged per query id. A stated query side thus
-meets the whole reference side in bounded blocks; more data means more blocks, never larger ones.
+Neighbours are exact and come from ``functions.nearest`` (pivot cells with triangle-inequality
+bounds): a query meets only the blocks that can hold a nearer row, no pair rows are emitted, and
+only pivots and one row per block pass through the driver. The silhouette still meets all blocks: both sides are cut
+by id hash into blocks of at most BLOCK_BYTES, and every pair of blocks is one co-grouped task.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit
+from kiln.functions.nearest import nearest_rows
 from kiln.operators.split import class_counts
 from kiln.session import cut_lineage, ship_package
 
@@ -35,68 +35,6 @@ def _block_count(n: int, dim: int) -> int:
     return max(1, math.ceil(n / per))
 
 
-def _topk_factory(bc, k: int, exclude_self: bool, radius: float | None = None):
-    def fn(it):
-        ids_t, mat, lab, extra = bc.value
-        tn = (mat * mat).sum(axis=1)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            for s in range(0, len(pdf), QUERY_BATCH):
-                part = pdf.iloc[s:s + QUERY_BATCH]
-                q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
-                qid = part["_qid"].to_numpy()
-                d2 = (q * q).sum(axis=1)[:, None] + tn[None, :] - 2.0 * q @ mat.T
-                np.maximum(d2, 0.0, out=d2)
-                if exclude_self:
-                    d2[qid[:, None] == ids_t[None, :]] = np.inf
-                if radius is not None:
-                    # neighbour counting / min-label for density clustering
-                    yield _radius_rows(part, q, qid, mat, ids_t, extra, d2, radius)
-                    continue
-                kk = min(k + 2, mat.shape[0])
-                idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < mat.shape[0] else \
-                    np.tile(np.arange(mat.shape[0]), (len(qid), 1))
-                # exact distances for the candidates (removes BLAS rounding from the ranking)
-                cand = mat[idx]
-                exact = np.sqrt(((cand - q[:, None, :]) ** 2).sum(axis=2))
-                exact[np.isinf(np.take_along_axis(d2, idx, axis=1))] = np.inf
-                rows_q, rows_t, rows_d, rows_l = [], [], [], []
-                for i in range(len(qid)):
-                    order = sorted(range(idx.shape[1]), key=lambda j: (exact[i, j], ids_t[idx[i, j]]))[:k]
-                    for j in order:
-                        if np.isinf(exact[i, j]):
-                            continue
-                        rows_q.append(qid[i])
-                        rows_t.append(ids_t[idx[i, j]])
-                        rows_d.append(float(exact[i, j]))
-                        rows_l.append(lab[idx[i, j]])
-                yield pd.DataFrame({"_qid": rows_q, "_tid": rows_t, "_dist": rows_d, "_tlabel": rows_l})
-    return fn
-
-
-def _radius_rows(part, q, qid, mat, ids_t, extra, d2, radius):
-    within = d2 <= radius * radius
-    core_t = extra["core"] if extra is not None and "core" in extra else None
-    lab_t = extra["label"] if extra is not None and "label" in extra else None
-    cnt = within.sum(axis=1)
-    if lab_t is not None:
-        masked = np.where(within & core_t[None, :], lab_t[None, :], np.iinfo(np.int64).max)
-        mn = masked.min(axis=1) if masked.shape[1] else np.full(len(qid), np.iinfo(np.int64).max)
-    else:
-        mn = np.full(len(qid), np.iinfo(np.int64).max)
-    return pd.DataFrame({"_qid": qid, "_cnt": cnt.astype(np.int64), "_minlab": mn.astype(np.int64)})
-
-
-def _scan(query: DataFrame, ref: DataFrame, k: int, exclude_self: bool, radius: float | None,
-          ref_extra_cols: list[str] | None, schema: str) -> DataFrame:
-    """Run the per-block scan of ``query(_qid, _qv)`` against ``ref(_tid, _tv, _tlabel, extra...)``."""
-    res = _blockwise(query.select("_qid", "_qv"), ref, lambda held: _topk_factory(held, k, exclude_self, radius), schema, ref_extra_cols)
-    if radius is not None:
-        res = res.groupBy("_qid").agg(F.sum("_cnt").alias("_cnt"), F.min("_minlab").alias("_minlab"))
-    return res
-
-
 class _Held:
     """A reference block, as the kernels take it."""
 
@@ -125,23 +63,19 @@ def _blockwise(query: DataFrame, ref: DataFrame, kernel, schema: str, extra: lis
 
 
 def knn_candidates(query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, vec, label: str | None = None,
-                   exclude_self: bool = False) -> DataFrame:
-    """The k nearest reference rows of every query row: ``(_qid, _tid, _dist, _tlabel, _rank)``."""
+                   exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
+    """The k nearest reference rows of every query row: ``(_qid, _tid, _dist, _tlabel, _rank)``; metric
+    euclidean or manhattan."""
     q = query.select(F.col(q_id).alias("_qid"), _vec_col(query, vec).alias("_qv"))
     lab = F.col(label).cast("double") if label else F.lit(0.0)
     r = ref.select(F.col(r_id).alias("_tid"), _vec_col(ref, vec).alias("_tv"), lab.alias("_tlabel"))
-    qt = query.schema[q_id].dataType.simpleString()
-    rt = ref.schema[r_id].dataType.simpleString()
-    schema = f"_qid {qt}, _tid {rt}, _dist double, _tlabel double"
-    cand = _scan(q, r, k, exclude_self, None, None, schema)
-    w = Window.partitionBy("_qid").orderBy("_dist", "_tid")
-    return cand.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    return nearest_rows(q, r, k, exclude_self, metric)
 
 
 def knn_vote(query: DataFrame, ref: DataFrame, k: int, id_col: str, vec, label: str,
-             weights: str = "uniform", exclude_self: bool = False) -> DataFrame:
+             weights: str = "uniform", exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
     """K4: majority vote of the k nearest labels (ties -> smallest label); ``distance`` weights 1/d."""
-    cand = knn_candidates(query, ref, k, id_col, id_col, vec, label, exclude_self)
+    cand = knn_candidates(query, ref, k, id_col, id_col, vec, label, exclude_self, metric)
     wexpr = F.lit(1.0) if weights == "uniform" else F.when(F.col("_dist") == 0, F.lit(1e300)).otherwise(
         1.0 / F.col("_dist"))
     votes = cand.groupBy("_qid", "_tlabel").agg(F.sum(wexpr).alias("_w"))
@@ -151,9 +85,9 @@ def knn_vote(query: DataFrame, ref: DataFrame, k: int, id_col: str, vec, label:
 
 
 def knn_regress(query: DataFrame, ref: DataFrame, k: int, id_col: str, vec, target: str,
-                exclude_self: bool = False) -> DataFrame:
+                exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
     """Mean target of the k nearest rows."""
-    cand = knn_candidates(query, ref, k, id_col, id_col, vec, target, exclude_self)
+    cand = knn_candidates(query, ref, k, id_col, id_col, vec, target, exclude_self, metric)
     return cand.groupBy(F.col("_qid").alias(id_col)).agg(F.avg("_tlabel").alias("prediction"))
 
 
@@ -219,53 +153,6 @@ def smote_enn(df: DataFrame, target: str, features: list[str], id_col: str, k: i
     return edited_nearest(res, target, features, id_col).drop(id_col)
 
 
-def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float = 0.8, min_samples: int = 5) -> DataFrame:
-    """M4: density clusters (noise = -1).
-
-    Core points: at least ``min_samples`` points (self included) within eps (blocked scan).
-    Clusters: connected components of core points, by iterated min-label propagation over the
-    eps-neighbourhood (one blocked scan per round, lineage cut each round); border points take
-    the smallest label of a core neighbour.
-    """
-    pts = df.select(F.col(id_col).alias("_qid"), _vec_col(df, features).alias("_qv"))
-    pts = cut_lineage(pts)
-    ref = pts.select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"))
-    cnt = _scan(pts, ref.withColumn("_tlabel", F.lit(0.0)), 0, False, eps, None,
-                "_qid long, _cnt long, _minlab long")
-    cur = pts.join(cnt.select("_qid", "_cnt"), "_qid").withColumn("_core", F.col("_cnt") >= min_samples)
-    idtype = df.schema[id_col].dataType.simpleString()
-    cur = cur.withColumn("_lab", F.col("_qid").cast("long"))
-    cur = cut_lineage(cur)
-    big = np.iinfo(np.int64).max
-    while True:  # until nothing changes
-        ref = cur.where("_core").select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"),
-                                        F.lit(0.0).alias("_tlabel"), F.col("_core").alias("core"),
-                                        F.col("_lab").alias("label"))
-        q = cur.where("_core").select("_qid", "_qv")
-        upd = _scan(q, ref, 0, False, eps, ["core", "label"], "_qid long, _cnt long, _minlab long")
-        nxt = cur.join(upd.select("_qid", "_minlab"), "_qid", "left").withColumn(
-            "_new", F.when(F.col("_core"), F.least(F.col("_lab"), F.coalesce(F.col("_minlab"), F.lit(big))))
-            .otherwise(F.col("_lab"))).drop("_minlab")
-        changed = nxt.where(F.col("_new") != F.col("_lab")).limit(1).count()
-        cur = cut_lineage(nxt.drop("_lab").withColumnRenamed("_new", "_lab"))
-        if changed == 0:
-            break
-    ref = cur.where("_core").select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"),
-                                    F.lit(0.0).alias("_tlabel"), F.col("_core").alias("core"),
-                                    F.col("_lab").alias("label"))
-    border = _scan(cur.where(~F.col("_core")).select("_qid", "_qv"), ref, 0, False, eps, ["core", "label"],
-                   "_qid long, _cnt long, _minlab long")
-    res = cur.join(border.select("_qid", F.col("_minlab").alias("_b")), "_qid", "left")
-    lab = F.when(F.col("_core"), F.col("_lab")).when(F.col("_b").isNotNull() & (F.col("_b") != big), F.col("_b"))
-    res = res.select(F.col("_qid").cast(idtype).alias(id_col), lab.alias("_root"))
-    # dense cluster numbers 0..c-1 in order of the smallest member id; noise -1
-    from kiln.functions.ordering import row_index
-    roots = res.where(F.col("_root").isNotNull()).select("_root").distinct()
-    roots = row_index(roots, ["_root"], "_ci").select("_root", F.col("_ci").cast("int").alias("cluster"))
-    out = res.join(roots, "_root", "left").select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return out
-
-
 def _cluster_sum_factory(bc):
     def fn(it):
         ids_t, mat, lab, _ = bc.value

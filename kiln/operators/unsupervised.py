@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from kiln.functions.exprs import finite, is_numeric, is_string, is_temporal, q
 from kiln.operators.clean import all_null_columns, column_medians
 from kiln.operators.encode import MAX_ONE_HOT_LEVELS, epoch_seconds, one_hot_exprs
-from kiln.operators.neighbours import dbscan, silhouette_exact
+from kiln.operators.density import dbscan
+from kiln.operators.neighbours import silhouette_exact
 from kiln.operators.scale import STANDARD, fit_scaler
 from kiln.operators.select import zero_variance_columns
 

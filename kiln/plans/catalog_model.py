@@ -277,16 +277,35 @@ def q_smote_enn(spark, sf):
 Q["smote_enn"] = q_smote_enn
 
 
+@register("dbscan", """WITH RECURSIVE e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+st AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY k),
+z AS (SELECT vec_id, list(CASE WHEN s = 0 THEN 0 ELSE (x - m) / s END ORDER BY k) AS v FROM e JOIN st USING (k) GROUP BY vec_id),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON list_distance(a.v, b.v) <= 8.0),
+core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 5),
+r AS (SELECT id AS node, id AS root FROM core UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node JOIN core ON core.id = p.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM c),
+o AS (SELECT p.a AS node, min(cluster) AS cluster FROM p JOIN n ON n.node = p.b WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a)
+SELECT vec_id, CAST(coalesce(n.cluster, o.cluster, -1) AS INT) AS cluster FROM embeddings
+LEFT JOIN n ON n.node = vec_id LEFT JOIN o ON o.node = vec_id""")
 def q_dbscan(spark, sf):
-    """M4 on the (standardised) embeddings: cluster per vector, noise -1."""
+    """M4 on the (standardised) embeddings, all elements: cluster per vector, noise -1."""
     from kiln.operators.unsupervised import dbscan_run
     emb = table(spark, sf, "embeddings")
-    feats = [f"e{i}" for i in range(64)]
-    wide = emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    width = emb.agg(F.max(F.size("embedding"))).first()[0]
+    feats = [f"e{i}" for i in range(width)]
+    wide = emb.select("vec_id", *[F.get(F.col("embedding"), F.lit(i)).cast("double").alias(c) for i, c in enumerate(feats)])
     return dbscan_run(wide, feats, "vec_id", eps=8.0, min_samples=5)
 
 
-Q["dbscan"] = q_dbscan
+KNN_MANHATTAN_SQL = KNN_SQL.replace("list_distance(a.v, b.v)", "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))")
+
+
+@register("knn_vote_manhattan", KNN_MANHATTAN_SQL)
+def q_knn_vote_manhattan(spark, sf):
+    """K4 with the search list's other distance exponent."""
+    emb = table(spark, sf, "embeddings")
+    return neighbours.knn_vote(emb, emb, 5, "vec_id", "embedding", "label", exclude_self=True, metric="manhattan")
 
 
 # ---- B11-B14: text rules ----------------------------------------------------------------------------

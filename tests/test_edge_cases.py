@@ -135,7 +135,7 @@ def test_clustering_guard(spark):
 
 
 def test_dbscan_all_noise(spark):
-    from kiln.operators.neighbours import dbscan
+    from kiln.operators.density import dbscan
     df = spark.createDataFrame([(i, [float(i * 10), 0.0]) for i in range(12)], "id long, v array<double>")
     out = dbscan(df, "id", "v", eps=0.5, min_samples=3)
     assert {r["cluster"] for r in out.collect()} == {-1}

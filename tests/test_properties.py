@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, encode, neighbours, outliers, select
+from kiln.operators import clean, density, encode, neighbours, outliers, select
 
 
 def test_fill_leaves_no_null(spark):
@@ -91,7 +91,7 @@ def test_dbscan_two_blobs(spark):
     rng = np.random.default_rng(11)
     pts = np.vstack([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), [[20.0, 20.0]]])
     df = spark.createDataFrame([(i, pts[i].tolist()) for i in range(81)], "id long, v array<double>")
-    out = {r["id"]: r["cluster"] for r in neighbours.dbscan(df, "id", "v", eps=0.5, min_samples=5).collect()}
+    out = {r["id"]: r["cluster"] for r in density.dbscan(df, "id", "v", eps=0.5, min_samples=5).collect()}
     assert out[80] == -1
     assert len({out[i] for i in range(40)}) == 1 and len({out[i] for i in range(40, 80)}) == 1
     assert out[0] != out[40]
