@@ -253,6 +253,22 @@ class YeoJohnsonParams:
         return df.select(*[self.expr(c).alias(c) if c in self.lambdas else F.col(q(c)) for c in df.columns])
 
 
+    def sql(self, c: str) -> str:
+        """``expr`` as SQL text."""
+        lam, x = float(self.lambdas[c]), f"CAST({q(c)} AS DOUBLE)"
+        pos = f"ln(1 + {x})" if abs(lam) < 1e-12 else f"(power({x} + 1, {lam!r}D) - 1) / ({lam!r}D)"
+        neg = f"-ln(1 - {x})" if abs(lam - 2) < 1e-12 else f"-(power(1 - {x}, {2 - lam!r}D) - 1) / ({2 - lam!r}D)"
+        value = f"CASE WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+        whole = f"CASE WHEN isnan({x}) OR abs({x}) = double('infinity') THEN NULL ELSE {value} END"
+        return f"(({whole}) - ({self.means[c]!r}D)) / ({(self.stds[c] or 1.0)!r}D)"
+
+    def stage(self, suffix: str = "_yj"):
+        """A pipeline stage that adds each transformed column as ``<column><suffix>``; it saves like Spark's own."""
+        from pyspark.ml.feature import SQLTransformer
+        items = ", ".join(f"{self.sql(c)} AS {q(c + suffix)}" for c in self.lambdas)
+        return SQLTransformer(statement=f"SELECT *, {items} FROM __THIS__")
+
+
 def fit_yeo_johnson(df: DataFrame, cols: list[str], lo: float = -4.0, hi: float = 4.0,
                     points: int = 17, rounds: int = 5) -> YeoJohnsonParams:
     """G16 fit: lambda by maximum likelihood (grid + refinement, one wide aggregate per round),

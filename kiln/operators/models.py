@@ -11,7 +11,6 @@ import itertools
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
@@ -19,8 +18,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.evaluate import classification_metrics, regression_metrics
-from kiln.operators.scale import build_pipeline
+from kiln.operators.evaluate import classification_metrics, regression_metrics, roc_auc_binary, roc_auc_ovr_long
+from kiln.operators.stages import AdaBoostEstimator, KNNEstimator, ResampledEstimator  # noqa: F401 - AdaBoost is no default model
 
 MAX_DEPTH_NONE = 30  # Spark trees allow depth <= 30; "no limit" maps here
 PARALLELISM = 4      # concurrent fits (like CrossValidator's parallelism); each fit is distributed
@@ -36,109 +35,6 @@ def _parallel(fn, items, parallelism: int = PARALLELISM):
         return list(ex.map(fn, items))
 
 
-# ---- k-nearest neighbours as a pipeline stage ------------------------------------
-
-class KNNModel(Model):
-    def __init__(self, train: DataFrame, k: int, weights: str, task: str, features_col: str, label_col: str):
-        super().__init__()
-        self._train, self._k, self._w, self._task = train, k, weights, task
-        self._f, self._l = features_col, label_col
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        from kiln.operators.neighbours import knn_regress, knn_vote
-        q = dataset.withColumn("_kid", F.monotonically_increasing_id())
-        qv = q.select("_kid", vector_to_array(self._f).alias("_vec"))
-        ref = self._train
-        if self._task == "classification":
-            pred = knn_vote(qv, ref, self._k, "_kid", "_vec", self._l, self._w)
-        else:
-            pred = knn_regress(qv, ref, self._k, "_kid", "_vec", self._l)
-        return q.join(pred, "_kid", "left").drop("_kid")
-
-
-class KNNEstimator(Estimator):
-    """K4 / O12 as an estimator: the 'fit' keeps the (cached) training vectors."""
-    def __init__(self, k: int = 5, weights: str = "uniform", task: str = "classification",
-                 featuresCol: str = "features", labelCol: str = "label"):
-        super().__init__()
-        self.k, self.weights, self.task, self.featuresCol, self.labelCol = k, weights, task, featuresCol, labelCol
-
-    def copy(self, extra=None):
-        e = KNNEstimator(self.k, self.weights, self.task, self.featuresCol, self.labelCol)
-        for p, v in (extra or {}).items():
-            setattr(e, p if isinstance(p, str) else p.name, v)
-        return e
-
-    def _fit(self, dataset: DataFrame) -> KNNModel:
-        tr = dataset.select(F.monotonically_increasing_id().alias("_kid"),
-                            vector_to_array(self.featuresCol).alias("_vec"), F.col(self.labelCol))
-        return KNNModel(tr.cache(), self.k, self.weights, self.task, self.featuresCol, self.labelCol)
-
-
-# ---- AdaBoost (K7) -----------------------------------------------------------------
-
-class AdaBoostModel(Model):
-    def __init__(self, stumps, alphas, classes, featuresCol="features"):
-        super().__init__()
-        self.stumps, self.alphas, self.classes, self.featuresCol = stumps, alphas, classes, featuresCol
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        score = {c: F.lit(0.0) for c in self.classes}
-        out = dataset.withColumn("_rid", F.monotonically_increasing_id())
-        preds = []
-        for i, (m, a) in enumerate(zip(self.stumps, self.alphas)):
-            p = m.transform(out.select("_rid", self.featuresCol)).select("_rid", F.col("prediction").alias(f"_p{i}"))
-            preds.append((p, a))
-        for i, (p, a) in enumerate(preds):
-            out = out.join(p, "_rid")
-            for c in self.classes:
-                score[c] = score[c] + F.when(F.col(f"_p{i}") == F.lit(c), F.lit(a)).otherwise(0.0)
-        best = F.lit(None).cast("double")
-        best_s = F.lit(float("-inf"))
-        for c in self.classes:
-            best = F.when(score[c] > best_s, F.lit(float(c))).otherwise(best)
-            best_s = F.greatest(best_s, score[c])
-        return out.withColumn("prediction", best).drop("_rid", *[f"_p{i}" for i in range(len(preds))])
-
-
-class AdaBoostEstimator(Estimator):
-    """K7: SAMME boosting of depth-1 trees; sample weights are a column expression per round."""
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, featuresCol="features", labelCol="label"):
-        super().__init__()
-        self.n, self.lr, self.featuresCol, self.labelCol = n_estimators, learning_rate, featuresCol, labelCol
-
-    def copy(self, extra=None):
-        return AdaBoostEstimator(self.n, self.lr, self.featuresCol, self.labelCol)
-
-    def _fit(self, dataset: DataFrame) -> AdaBoostModel:
-        import math
-        from kiln.session import cut_lineage
-        classes = sorted(r[0] for r in dataset.select(self.labelCol).distinct().collect())
-        kk = len(classes)
-        n = dataset.count()
-        cur = dataset.select(self.featuresCol, self.labelCol).withColumn("_w", F.lit(1.0 / n))
-        cur = cut_lineage(cur)
-        stumps, alphas = [], []
-        for _ in range(self.n):
-            dt = DecisionTreeClassifier(maxDepth=1, featuresCol=self.featuresCol, labelCol=self.labelCol,
-                                        weightCol="_w")
-            m = dt.fit(cur)
-            pr = m.transform(cur)
-            miss = (F.col("prediction") != F.col(self.labelCol)).cast("double")
-            err = pr.agg((F.sum(F.col("_w") * miss) / F.sum("_w")).alias("e")).first()["e"]
-            if err is None or err >= 1 - 1.0 / kk:
-                break
-            alpha = self.lr * (math.log((1 - err) / max(err, 1e-12)) + math.log(kk - 1))
-            stumps.append(m)
-            alphas.append(alpha)
-            if err <= 0:
-                break
-            nxt = pr.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss))
-            tot = nxt.agg(F.sum("_w")).first()[0]
-            cur = cut_lineage(nxt.select(self.featuresCol, self.labelCol, (F.col("_w") / tot).alias("_w")))
-        return AdaBoostModel(stumps, alphas, classes, self.featuresCol)
-
-
 # ---- registry (K8) ---------------------------------------------------------------------
 
 @dataclass
@@ -209,27 +105,47 @@ def model_registry(problem_type: str, n_train: int, n_classes: int = 2) -> list[
     ]
 
 
-def _score(pred: DataFrame, problem_type: str, label: str = "label") -> dict:
+#: Scores that a board shows, by problem type.
+METRICS = {"classification": ["Accuracy", "Precision", "Recall", "F1"], "regression": ["R2", "RMSE", "MAE"]}
+
+
+def roc_auc(pred: DataFrame, label: str = "label") -> float | None:
+    """ROC-AUC of a model's class probabilities (class c at place c): binary, or one-vs-rest weighted by
+    support; None for models without probabilities or rows of one class."""
+    if "probability" not in pred.columns:
+        return None
+    arr = pred.where(F.col(label).isNotNull() & F.col("probability").isNotNull()).select(F.col(label).cast("int").alias("y"), vector_to_array("probability").alias("p"))
+    width, classes, largest = arr.agg(F.max(F.size("p")), F.count_distinct("y"), F.max("y")).first()
+    if not width or classes < 2 or largest >= width:
+        return None
+    if width == 2:
+        auc = roc_auc_binary(arr.select("y", F.col("p")[1].alias("s")), "y", "s", positive=1)
+    else:
+        auc = roc_auc_ovr_long(arr.select("y", F.posexplode("p").alias("class", "score")).withColumn("is_pos", F.col("y") == F.col("class")))
+    return auc.first()["auc"]
+
+
+def score(pred: DataFrame, problem_type: str, label: str = "label") -> dict:
     if problem_type == "classification":
         r = classification_metrics(pred, label, "prediction").first()
-        return {"Accuracy": r["accuracy"], "Precision": r["precision"], "Recall": r["recall"], "F1": r["f1"]}
+        return {"Accuracy": r["accuracy"], "Precision": r["precision"], "Recall": r["recall"], "F1": r["f1"], "ROC_AUC": roc_auc(pred, label)}
     r = regression_metrics(pred, label, "prediction").first()
     return {"R2": r["r2"], "RMSE": r["rmse"], "MAE": r["mae"]}
 
 
 def fit_predict(spec: ModelSpec, params: dict, train: DataFrame, test: DataFrame, features: list[str],
-                scaler: str, label: str = "label"):
+                scaler: str, label: str = "label", resample: bool = False):
+    """Fit on ``train`` (scaled and, if asked, oversampled inside the fit) and predict ``test``."""
     est = spec.make(**params)
     if hasattr(est, "setLabelCol"):
         est = est.setLabelCol(label)
-    pipe = build_pipeline(est, features, scaler, spec.use_scaler, label, train)
-    model = pipe.fit(train)
+    model = ResampledEstimator(est, features, scaler, spec.use_scaler, label, resample).fit(train)
     return model, model.transform(test)
 
 
 def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str], problem_type: str,
                          scaler: str, label: str = "label", specs: list[ModelSpec] | None = None,
-                         top: int = 3) -> DataFrame:
+                         top: int = 3, resample: bool = False) -> DataFrame:
     """K9: fit every registered model with defaults, score on test, rank, keep all rows (rank column)."""
     spark = train.sparkSession
     n = train.count()
@@ -238,8 +154,8 @@ def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str],
     train = train.cache()
 
     def one(s):
-        _, pred = fit_predict(s, {}, train, test, features, scaler, label)
-        return {"Model": s.name, **_score(pred, problem_type, label)}
+        _, pred = fit_predict(s, {}, train, test, features, scaler, label, resample)
+        return {"Model": s.name, **score(pred, problem_type, label)}
 
     rows = _parallel(one, specs)
     return leaderboard_frame(spark, rows, problem_type)
@@ -247,10 +163,10 @@ def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str],
 
 def leaderboard_frame(spark, rows: list[dict], problem_type: str) -> DataFrame:
     if problem_type == "classification":
-        cols = ["Accuracy", "Precision", "Recall", "F1"]
+        cols = [*METRICS[problem_type], "ROC_AUC"]
         order = [F.desc_nulls_last("F1"), F.desc_nulls_last("Recall"), F.desc_nulls_last("Accuracy")]
     else:
-        cols = ["R2", "RMSE", "MAE"]
+        cols = METRICS[problem_type]
         order = [F.desc_nulls_last("R2"), F.asc_nulls_last("RMSE"), F.asc_nulls_last("MAE")]
     data = [(r["Model"], *[None if r.get(c) is None else float(r[c]) for c in cols]) for r in rows]
     df = spark.createDataFrame(data, "Model string, " + ", ".join(f"{c} double" for c in cols))
@@ -258,22 +174,29 @@ def leaderboard_frame(spark, rows: list[dict], problem_type: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order, F.asc("Model"))))
 
 
+def prepare_all(parts: list, specs: list[ModelSpec]) -> None:
+    """Prepare each training part once for every scaler choice, before fits share it from several threads."""
+    _parallel(lambda t: t[0].prepared(t[1]), [(p, u) for p in parts for u in sorted({s.use_scaler for s in specs})])
+
+
 def cross_validate(df: DataFrame, features: list[str], problem_type: str, scaler: str, specs: list[ModelSpec],
-                   fold_col: str = "fold", label: str = "label") -> DataFrame:
-    """Per-fold weighted F1 (or R2) per model; mean and population std."""
+                   fold_col: str = "fold", label: str = "label", resample: bool = False) -> DataFrame:
+    """Per-fold weighted F1 (or R2) per model; mean and population std. Scaling and oversampling
+    happen inside each training part."""
     import statistics
+
+    from kiln.operators.selection_run import fold_parts
     spark = df.sparkSession
-    df = df.cache()
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    parts = fold_parts(df, features, scaler, label, resample, fold_col=fold_col)
+    folds = range(len(parts))
     key = "F1" if problem_type == "classification" else "R2"
 
     def one(task):
         s, f = task
-        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        _, pred = fit_predict(s, {}, tr, te, features, scaler, label)
-        return _score(pred, problem_type, label)[key]
+        return score(parts[f].fit(s, {}).transform(parts[f].valid), problem_type, label)[key]
 
     tasks = [(s, f) for s in specs for f in folds]
+    prepare_all(parts, specs)
     scores = dict(zip([(s.name, f) for s, f in tasks], _parallel(one, tasks)))
     rows = []
     for s in specs:
@@ -294,21 +217,21 @@ def sample_params(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(df: DataFrame, features: list[str], problem_type: str, scaler: str, spec: ModelSpec,
-                  n_iter: int = 12, fold_col: str = "fold", label: str = "label", seed: int = 42) -> DataFrame:
+                  n_iter: int = 12, fold_col: str = "fold", label: str = "label", seed: int = 42, resample: bool = False) -> DataFrame:
     """CV score of each sampled combination; best first."""
+    from kiln.operators.selection_run import fold_parts
     spark = df.sparkSession
     key = "F1" if problem_type == "classification" else "R2"
-    df = df.cache()
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    parts = fold_parts(df, features, scaler, label, resample, seed, fold_col)
+    folds = range(len(parts))
     combos = sample_params(spec.grid, n_iter, seed)
 
     def one(task):
         i, f = task
-        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        _, pred = fit_predict(spec, combos[i], tr, te, features, scaler, label)
-        return _score(pred, problem_type, label)[key]
+        return score(parts[f].fit(spec, combos[i]).transform(parts[f].valid), problem_type, label)[key]
 
     tasks = [(i, f) for i in range(len(combos)) for f in folds]
+    prepare_all(parts, [spec])
     scores = dict(zip(tasks, _parallel(one, tasks)))
     rows = []
     for i, params in enumerate(combos):

@@ -121,7 +121,7 @@ def q_before_after(spark, sf):
         best = models.random_search(folded, CLS_FEATURES, "classification", "StandardScaler", s, 12).first()
         params = dict(ast.literal_eval(best["params"]))
         _, pred = models.fit_predict(s, params, tr, te, CLS_FEATURES, "StandardScaler")
-        tuned_rows.append({"Model": s.name, **models._score(pred, "classification")})
+        tuned_rows.append({"Model": s.name, **models.score(pred, "classification")})
     tuned = models.leaderboard_frame(spark, tuned_rows, "classification")
     return _round_doubles(models.before_after(base, tuned, ["F1", "Accuracy"]))
 
@@ -144,9 +144,9 @@ Q["feature_importance"] = q_feature_importance
 
 
 def q_adaboost(spark, sf):
-    """K7: SAMME boosting of stumps; test predictions."""
+    """K7: SAMME boosting of 50 stumps; test predictions."""
     tr, te = _cls_split(spark, sf)
-    spec = models.ModelSpec("AdaBoost", lambda: models.AdaBoostEstimator(n_estimators=10), False, {})
+    spec = models.ModelSpec("AdaBoost", lambda: models.AdaBoostEstimator(), False, {})
     _, pred = models.fit_predict(spec, {}, tr, te, CLS_FEATURES, "StandardScaler")
     return pred.select("doc_id", "label", "prediction")
 
@@ -167,8 +167,8 @@ def q_learning_curve(spark, sf):
             tr = df.where((F.col("fold") != f) & (F.col("_u") < frac))
             va = df.where(F.col("fold") == f)
             model, pred = models.fit_predict(spec, {}, tr, va, CLS_FEATURES, "StandardScaler")
-            va_s.append(models._score(pred, "classification")["F1"])
-            tr_s.append(models._score(model.transform(tr), "classification")["F1"])
+            va_s.append(models.score(pred, "classification")["F1"])
+            tr_s.append(models.score(model.transform(tr), "classification")["F1"])
         rows.append((frac, float(sum(tr_s) / len(tr_s)), float(sum(va_s) / len(va_s))))
     return _round_doubles(spark.createDataFrame(rows, "train_fraction double, train_f1 double, validation_f1 double"))
 
@@ -182,7 +182,7 @@ def q_train_vs_validation(spark, sf):
     spec = _specs("classification", ["Decision Tree"], df.count())[0]
     cv = models.cross_validate(df, CLS_FEATURES, "classification", "StandardScaler", [spec]).first()
     model, pred = models.fit_predict(spec, {}, df, df, CLS_FEATURES, "StandardScaler")
-    tr = models._score(pred, "classification")
+    tr = models.score(pred, "classification")
     return _round_doubles(spark.createDataFrame([(spec.name, float(tr["Accuracy"]), float(tr["F1"]),
                                                   float(cv["cv_mean"]))],
                                                 "Model string, train_accuracy double, train_f1 double, cv_f1 double"))

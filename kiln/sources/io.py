@@ -112,10 +112,11 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """Load a model saved by ``save_model`` (Pipeline or single stage)."""
+    """Load a model saved by ``save_model``: a pipeline, or a single stage of Spark's or ours."""
     from pyspark.ml import PipelineModel
-    try:
+    from pyspark.ml.util import DefaultParamsReader
+    spark = SparkSession.active()
+    kind = DefaultParamsReader.loadMetadata(path, spark)["class"]
+    if kind.rsplit(".", 1)[-1] == "PipelineModel":
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - not a pipeline: try the generic reader
-        from pyspark.ml.util import DefaultParamsReader
-        return DefaultParamsReader.loadParamsInstance(path, None)
+    return DefaultParamsReader.loadParamsInstance(path, spark)
