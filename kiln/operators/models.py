@@ -151,11 +151,12 @@ def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str],
     n = train.count()
     ncls = train.select(label).distinct().count() if problem_type == "classification" else 0
     specs = specs or model_registry(problem_type, n, ncls)
-    train = train.cache()
+    from kiln.operators.selection_run import Part
+    part = Part(train, test, features, scaler, label, resample, 42)
+    prepare_all([part], specs)
 
     def one(s):
-        _, pred = fit_predict(s, {}, train, test, features, scaler, label, resample)
-        return {"Model": s.name, **score(pred, problem_type, label)}
+        return {"Model": s.name, **score(part.fit(s, {}).transform(test), problem_type, label)}
 
     rows = _parallel(one, specs)
     return leaderboard_frame(spark, rows, problem_type)

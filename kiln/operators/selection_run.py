@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import statistics
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -56,7 +57,8 @@ class Scores:
             jvm = spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-                for r in spark.read.schema(_SCORES).parquet(path).collect():  # a row per fit and metric
+                found = spark.read.schema(_SCORES).option("recursiveFileLookup", "true").parquet(path)
+                for r in found.collect():  # a row per fit and metric
                     self.known.setdefault((r["task"], r["model"], r["params"], r["fold"]), {})[r["metric"]] = r["score"]
 
     def get(self, task: str, model: str, params: dict, fold: int, work) -> dict:
@@ -66,7 +68,8 @@ class Scores:
             found = work()
             if self.path is not None:
                 rows = [(*key, m, None if s is None else float(s)) for m, s in found.items()]
-                self.spark.createDataFrame(rows, _SCORES).coalesce(1).write.mode("append").parquet(self.path)
+                # a folder per fit: fits that end at the same time do not share a committer
+                self.spark.createDataFrame(rows, _SCORES).coalesce(1).write.parquet(f"{self.path}/fit-{uuid.uuid4().hex}")
             self.known[key] = found
         return self.known[key]
 
@@ -116,15 +119,18 @@ def learning_curve(parts: list[Part], spec: models.ModelSpec, params: dict, prob
     scores = scores or Scores(spark, None)
     rows = []
     for size in sizes:
-        got = []
-        for i, p in enumerate(parts):
-            def work(p=p, size=size):
+        def one(i, size=size):
+            p = parts[i]
+
+            def work():
                 some = p.train.where(hash_unit(key_cols, p.seed + 1) < size) if size < 1 else p.train
                 q = Part(some, p.valid, p.features, p.scaler, p.label, p.resample, p.seed)
                 model = q.fit(spec, params)
                 return {"train": models.score(model.transform(some), problem_type, p.label)[metric],
                         "validation": models.score(model.transform(p.valid), problem_type, p.label)[metric]}
-            got.append(scores.get(f"curve {size}", spec.name, params, i, work))
+            return scores.get(f"curve {size}", spec.name, params, i, work)
+
+        got = models._parallel(one, range(len(parts)))
         mean = lambda k: statistics.fmean([g[k] for g in got if g[k] is not None]) if any(g[k] is not None for g in got) else None
         rows.append((float(size), mean("train"), mean("validation")))
     return spark.createDataFrame(rows, "train_fraction double, train_score double, validation_score double")
@@ -150,7 +156,8 @@ def select_model(train: DataFrame, test: DataFrame, features: list[str], problem
     def judged(part: Part, spec, params):
         return lambda: models.score(part.fit(spec, params).transform(part.valid), problem_type, label)
 
-    base = [{"Model": s.name, **scores.get("baseline", s.name, {}, -1, judged(whole, s, {}))} for s in specs]
+    models.prepare_all([whole], specs)
+    base = models._parallel(lambda s: {"Model": s.name, **scores.get("baseline", s.name, {}, -1, judged(whole, s, {}))}, specs)
     board = models.leaderboard_frame(spark, base, problem_type)
     leaders = [r["Model"] for r in board.orderBy("rank").limit(top).collect()]
     chosen = [s for name in leaders for s in specs if s.name == name]
@@ -161,19 +168,22 @@ def select_model(train: DataFrame, test: DataFrame, features: list[str], problem
         folded = split.assign_folds(train, folds, key_cols, stratify=label if problem_type == "classification" else None)
         parts = fold_parts(folded, features, scaler, label, resample, seed)
 
-    def over_folds(spec, params):
-        return [scores.get("fold", spec.name, params, i, judged(p, spec, params))[key] for i, p in enumerate(parts)]
+    def over_folds(spec, settings: list[dict]) -> list[list[float]]:
+        """The folds' scores of each setting; fits of all of them run at the same time."""
+        models.prepare_all(parts, [spec])
+        got = models._parallel(lambda t: scores.get("fold", spec.name, settings[t[0]], t[1], judged(parts[t[1]], spec, settings[t[0]]))[key],
+                               [(j, i) for j in range(len(settings)) for i in range(len(parts))])
+        return [[v for v in got[j * len(parts):(j + 1) * len(parts)] if v is not None] for j in range(len(settings))]
 
     cv_rows, tune_rows, final_rows, best = [], [], [], {}
     for s in chosen:
-        cv = [v for v in over_folds(s, {}) if v is not None]
+        cv = over_folds(s, [{}])[0]
         cv_rows.append((s.name, statistics.fmean(cv) if cv else None, statistics.pstdev(cv) if cv else None, cv))
         params, reached, tried = {}, None, 0
         if parts and s.grid:
-            found = []
-            for p in models.sample_params(s.grid, n_iter, seed):
-                got = [v for v in over_folds(s, p) if v is not None]
-                found.append((statistics.fmean(got) if got else float("-inf"), json.dumps(p, sort_keys=True), p))
+            settings = models.sample_params(s.grid, n_iter, seed)
+            found = [(statistics.fmean(got) if got else float("-inf"), json.dumps(p, sort_keys=True), p)
+                     for p, got in zip(settings, over_folds(s, settings), strict=True)]
             tried = len(found)
             reached, _, params = max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]))  # ties: first by text
         method = "Random search" if tried else "Direct fit"

@@ -155,7 +155,7 @@ def dbscan_summary(labels: DataFrame, df: DataFrame, features: list[str], id_col
     vec = standardised_vectors(df, features, id_col).select(id_col, vector_to_array("features").alias("_v"))
     j = vec.join(labels, id_col)
     n_clusters = labels.where(F.col("cluster") >= 0).select("cluster").distinct().count()
-    if n_clusters < 1 or labels.select("cluster").distinct().count() < 2:
+    if n_clusters < 2:  # one cluster beside noise is no separation to score
         return n_clusters, None
     return n_clusters, silhouette_exact(j, id_col, "_v", "cluster").first()["silhouette"]
 

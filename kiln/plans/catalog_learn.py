@@ -9,8 +9,9 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, models, split, unsupervised
+from kiln.operators import clean, models, selection_run, split, unsupervised
 from kiln.operators.extras import select_by_importance
+from kiln.plans.catalog_model import MD5_ORDER
 from kiln.plans.catalog_prep import _round_doubles
 from kiln.plans.fixtures import lineitem_nulls, table, with_views
 from kiln.session import checkpoint_dir
@@ -64,7 +65,8 @@ def q_baseline_leaderboard(spark, sf):
     scaler = "StandardScaler"
     specs = _specs("classification", ["Logistic Regression", "Decision Tree", "Random Forest",
                                       "Gradient Boosting", "KNN", "Naive Bayes"], tr.count())
-    return _round_doubles(models.baseline_leaderboard(tr, te, CLS_FEATURES, "classification", scaler, specs=specs))
+    return _round_doubles(models.baseline_leaderboard(tr, te, CLS_FEATURES, "classification", scaler, specs=specs,
+                                                      resample=selection_run.needs_resampling(tr, "label")))
 
 
 Q["baseline_leaderboard"] = q_baseline_leaderboard
@@ -93,7 +95,8 @@ def q_cross_validate(spark, sf):
     """Per-fold weighted F1 of three models on stratified folds; mean and population std."""
     df = _folded(spark, sf)
     specs = _specs("classification", ["Logistic Regression", "Decision Tree", "Naive Bayes"], df.count())
-    return _round_doubles(models.cross_validate(df, CLS_FEATURES, "classification", "StandardScaler", specs))
+    return _round_doubles(models.cross_validate(df, CLS_FEATURES, "classification", "StandardScaler", specs,
+                                                resample=selection_run.needs_resampling(df, "label")))
 
 
 Q["cross_validate"] = q_cross_validate
@@ -103,7 +106,8 @@ def q_random_search(spark, sf):
     """12 sampled decision-tree settings scored by 3-fold CV (seeded sample, no replacement)."""
     df = _folded(spark, sf, 3)
     spec = _specs("classification", ["Decision Tree"], df.count())[0]
-    return _round_doubles(models.random_search(df, CLS_FEATURES, "classification", "StandardScaler", spec, 12))
+    return _round_doubles(models.random_search(df, CLS_FEATURES, "classification", "StandardScaler", spec, 12,
+                                               resample=selection_run.needs_resampling(df, "label")))
 
 
 Q["random_search"] = q_random_search
@@ -129,6 +133,36 @@ def q_before_after(spark, sf):
 Q["before_after"] = q_before_after
 
 
+def q_select_model(spark, sf):
+    """K9-K12, L7 in one run over two models (a tuned and a direct fit): the chosen one, its setting and scores."""
+    tr, te = _cls_split(spark, sf)
+    specs = _specs("classification", ["Logistic Regression", "Naive Bayes"], tr.count())
+    run = selection_run.select_model(tr, te, CLS_FEATURES, "classification", "StandardScaler", ["doc_id"], specs=specs, curve=False,
+                                     state=_scratch(spark, "scores"))
+    return _round_doubles(run.summary())
+
+
+Q["select_model"] = q_select_model
+
+
+@register("fold_training_classes", f"""WITH d AS (SELECT doc_id, quality FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM d GROUP BY quality)),
+f AS (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY {MD5_ORDER.format(k='doc_id')}) - 1) % least(5, (SELECT lo FROM s)) AS fold FROM d),
+c AS (SELECT g.fold, f.quality, count(*) AS n FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY ALL)
+SELECT CAST(fold AS INT) AS fold, CAST(quality AS DOUBLE) AS label,
+       CASE WHEN lo < 0.6 * hi AND lo >= 2 THEN max(n) OVER (PARTITION BY fold) ELSE n END AS n FROM c, s""")
+def q_fold_training_classes(spark, sf):
+    """J4 + I5: class counts of every fold's training part, as the models see it (resampled if unbalanced)."""
+    df = _cls_data(spark, sf)
+    folded = split.assign_folds(df, split.fold_count(df, 5, "label"), ["doc_id"], stratify="label")
+    parts = selection_run.fold_parts(folded, CLS_FEATURES, "StandardScaler", "label", selection_run.needs_resampling(df, "label"))
+    counts = [p.prepared(True)[1].groupBy("label").agg(F.count("*").alias("n")).select(F.lit(i).alias("fold"), "label", "n") for i, p in enumerate(parts)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def q_feature_importance(spark, sf):
     """K13 + O13: random-forest importances and the features at or above the mean importance."""
     tr, _ = _cls_split(spark, sf)
