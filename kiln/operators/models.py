@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.evaluate import classification_metrics, regression_metrics, roc_auc_binary, roc_auc_ovr_long
-from kiln.operators.stages import AdaBoostEstimator, KNNEstimator, ResampledEstimator  # noqa: F401 - AdaBoost is no default model
+from kiln.operators.scale import build_pipeline
+from kiln.operators.stages import AdaBoostEstimator, KNNEstimator  # noqa: F401 - AdaBoost is no default model
 
 MAX_DEPTH_NONE = 30  # Spark trees allow depth <= 30; "no limit" maps here
 PARALLELISM = 4      # concurrent fits (like CrossValidator's parallelism); each fit is distributed
@@ -125,7 +126,7 @@ def roc_auc(pred: DataFrame, label: str = "label") -> float | None:
     return auc.first()["auc"]
 
 
-def score(pred: DataFrame, problem_type: str, label: str = "label") -> dict:
+def _score(pred: DataFrame, problem_type: str, label: str = "label") -> dict:
     if problem_type == "classification":
         r = classification_metrics(pred, label, "prediction").first()
         return {"Accuracy": r["accuracy"], "Precision": r["precision"], "Recall": r["recall"], "F1": r["f1"], "ROC_AUC": roc_auc(pred, label)}
@@ -139,7 +140,7 @@ def fit_predict(spec: ModelSpec, params: dict, train: DataFrame, test: DataFrame
     est = spec.make(**params)
     if hasattr(est, "setLabelCol"):
         est = est.setLabelCol(label)
-    model = ResampledEstimator(est, features, scaler, spec.use_scaler, label, resample).fit(train)
+    model = build_pipeline(est, features, scaler, spec.use_scaler, label, resample).fit(train)
     return model, model.transform(test)
 
 
@@ -156,7 +157,7 @@ def baseline_leaderboard(train: DataFrame, test: DataFrame, features: list[str],
     prepare_all([part], specs)
 
     def one(s):
-        return {"Model": s.name, **score(part.fit(s, {}).transform(test), problem_type, label)}
+        return {"Model": s.name, **_score(part.fit(s, {}).transform(test), problem_type, label)}
 
     rows = _parallel(one, specs)
     return leaderboard_frame(spark, rows, problem_type)
@@ -194,7 +195,7 @@ def cross_validate(df: DataFrame, features: list[str], problem_type: str, scaler
 
     def one(task):
         s, f = task
-        return score(parts[f].fit(s, {}).transform(parts[f].valid), problem_type, label)[key]
+        return _score(parts[f].fit(s, {}).transform(parts[f].valid), problem_type, label)[key]
 
     tasks = [(s, f) for s in specs for f in folds]
     prepare_all(parts, specs)
@@ -229,7 +230,7 @@ def random_search(df: DataFrame, features: list[str], problem_type: str, scaler:
 
     def one(task):
         i, f = task
-        return score(parts[f].fit(spec, combos[i]).transform(parts[f].valid), problem_type, label)[key]
+        return _score(parts[f].fit(spec, combos[i]).transform(parts[f].valid), problem_type, label)[key]
 
     tasks = [(i, f) for i in range(len(combos)) for f in folds]
     prepare_all(parts, [spec])

@@ -80,30 +80,11 @@ def minmax_scale(train: DataFrame, cols: list[str], *others: DataFrame):
 
 
 def build_pipeline(estimator, feature_cols: list[str], scaler: str = STANDARD, use_scaler: bool = True,
-                   label_col: str = "label", train: DataFrame | None = None):
-    """(scaler) -> assembler -> estimator as a ``pyspark.ml`` Pipeline.
+                   label_col: str = "label", resample: bool = False, seed: int = 42):
+    """(scaler) -> (oversampling, of training rows only) -> estimator, as one estimator.
 
-    With ``train``, the scaler is that of J2 / J3 (population deviation, constant columns to 0),
-    fitted on it and held as a SQL stage that saves with the pipeline. Without, Spark's own scaler
-    stages are put in, to be fitted with the pipeline.
-
-    Resampling (I5) changes the rows, which a Spark transformer must not do
-    to test data; it is applied to the training DataFrame before ``fit``.
+    The scaler is that of J2 / J3 (population deviation, constant columns to 0), held as a SQL stage
+    that saves with the fitted pipeline.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import MinMaxScaler, SQLTransformer, StandardScaler, VectorAssembler
-    if use_scaler and train is not None:
-        fitted = fit_scaler(train, feature_cols, scaler)
-        scaled = [f"_scaled_{i}" for i in range(len(feature_cols))]
-        items = ", ".join(f"{fitted.sql(c)} AS {s}" for c, s in zip(feature_cols, scaled))
-        return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {items} FROM __THIS__"),
-                                VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep"), estimator])
-    stages = [VectorAssembler(inputCols=feature_cols, outputCol="raw_features" if use_scaler else "features",
-                              handleInvalid="keep")]
-    if use_scaler:
-        if scaler == STANDARD:
-            stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-        else:
-            stages.append(MinMaxScaler(inputCol="raw_features", outputCol="features"))
-    stages.append(estimator)
-    return Pipeline(stages=stages)
+    from kiln.operators.stages import ResampledEstimator
+    return ResampledEstimator(estimator, feature_cols, scaler, use_scaler, label_col, resample, seed)

@@ -126,8 +126,8 @@ def learning_curve(parts: list[Part], spec: models.ModelSpec, params: dict, prob
                 some = p.train.where(hash_unit(key_cols, p.seed + 1) < size) if size < 1 else p.train
                 q = Part(some, p.valid, p.features, p.scaler, p.label, p.resample, p.seed)
                 model = q.fit(spec, params)
-                return {"train": models.score(model.transform(some), problem_type, p.label)[metric],
-                        "validation": models.score(model.transform(p.valid), problem_type, p.label)[metric]}
+                return {"train": models._score(model.transform(some), problem_type, p.label)[metric],
+                        "validation": models._score(model.transform(p.valid), problem_type, p.label)[metric]}
             return scores.get(f"curve {size}", spec.name, params, i, work)
 
         got = models._parallel(one, range(len(parts)))
@@ -154,7 +154,7 @@ def select_model(train: DataFrame, test: DataFrame, features: list[str], problem
     whole = Part(train, test, features, scaler, label, resample, seed)
 
     def judged(part: Part, spec, params):
-        return lambda: models.score(part.fit(spec, params).transform(part.valid), problem_type, label)
+        return lambda: models._score(part.fit(spec, params).transform(part.valid), problem_type, label)
 
     models.prepare_all([whole], specs)
     base = models._parallel(lambda s: {"Model": s.name, **scores.get("baseline", s.name, {}, -1, judged(whole, s, {}))}, specs)
@@ -190,11 +190,11 @@ def select_model(train: DataFrame, test: DataFrame, features: list[str], problem
         tune_rows.append((s.name, method, tried, reached, json.dumps(params, sort_keys=True)))
         model = whole.fit(s, params)
         best[s.name] = (params, model, reached if tried else (cv_rows[-1][1]), s)
-        final_rows.append({"Model": s.name, **scores.get("final", s.name, params, -1, lambda m=model: models.score(m.transform(test), problem_type, label))})
+        final_rows.append({"Model": s.name, **scores.get("final", s.name, params, -1, lambda m=model: models._score(m.transform(test), problem_type, label))})
     final = models.leaderboard_frame(spark, final_rows, problem_type)
     name = final.orderBy("rank").first()["Model"]
     params, model, validated, spec = best[name]
-    at_train = models.score(model.transform(train), problem_type, label)[key]
+    at_train = models._score(model.transform(train), problem_type, label)[key]
     return Selection(
         problem_type, resample, folds, board,
         spark.createDataFrame(cv_rows, "Model string, cv_mean double, cv_std double, fold_scores array<double>"),
