@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.functions.exprs import q
 from kiln.session import cut_lineage
 
 ROWS_PER_BUCKET = 2_000_000
@@ -69,3 +70,35 @@ def running_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusi
     res = b.join(F.broadcast(offsets), "_bk").withColumn(
         out, F.col("_off") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
     return res.drop("_bk", "_off")
+
+
+def _segmented(df: DataFrame, segment: str, order_cols: list[str]) -> DataFrame:
+    """Rows range-partitioned by (segment, order); the segment sits in a struct, so that missing is a segment too."""
+    return _bucketed(df.withColumn("_seg", F.struct(F.col(q(segment)).alias("s"))), "_seg", *order_cols)
+
+
+def _carry(b: DataFrame, total: Column) -> DataFrame:
+    """``b`` with ``_off``: what earlier ranges hold of the row's segment."""
+    w = Window.partitionBy("_seg").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    before = (b.groupBy("_bk", "_seg").agg(total.alias("_t"))
+              .select("_bk", "_seg", F.sum("_t").over(w).alias("_off")).where(F.col("_off").isNotNull()))
+    # a segment that began in an earlier range is the first of its range: at most one row per range
+    return (b.join(F.broadcast(before), ["_bk", "_seg"], "left")
+            .withColumn("_off", F.coalesce("_off", F.lit(0))))
+
+
+def segment_index(df: DataFrame, segment: str, order_cols: list[str], name: str = "_idx") -> DataFrame:
+    """0-based position within each value of ``segment`` (missing is one value). A hot segment spans
+    several ranges, and a range holds many small segments."""
+    b = _carry(_segmented(df, segment, order_cols), F.count(F.lit(1)))
+    w = Window.partitionBy("_bk", "_seg").orderBy(*order_cols)
+    return b.withColumn(name, F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_seg", "_off")
+
+
+def segment_running_sum(df: DataFrame, segment: str, order_col: str, value_col: str, out: str,
+                        inclusive: bool = True) -> DataFrame:
+    """Cumulative sum of ``value_col`` within each ``segment`` (order values unique in it)."""
+    b = _carry(_segmented(df, segment, [order_col]), F.sum(value_col))
+    end = 0 if inclusive else -1
+    w = Window.partitionBy("_bk", "_seg").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
+    return b.withColumn(out, F.col("_off") + F.coalesce(F.sum(value_col).over(w), F.lit(0))).drop("_bk", "_seg", "_off")

@@ -8,11 +8,11 @@ sum (no single-task window over all rows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
-from kiln.functions.ordering import running_sum
+from kiln.functions.ordering import running_sum, segment_running_sum
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -76,20 +76,12 @@ def roc_auc_binary(pred: DataFrame, label: str = "label", score: str = "score",
 
 
 def roc_auc_ovr(pred: DataFrame, label: str, prob_col: str, classes: list) -> DataFrame:
-    """L2 (multi-class): one-vs-rest AUC per class, weighted by class support."""
+    """L2 (multi-class): one-vs-rest AUC per class, weighted by class support. ``classes`` names the
+    elements of the probability vector; all classes are ranked in one pass."""
     from pyspark.ml.functions import vector_to_array
-    arr = pred.select(F.col(q(label)).alias("_y"), vector_to_array(F.col(q(prob_col))).alias("_pr"))
-    parts = []
-    for i, c in enumerate(classes):
-        sub = arr.select(F.col("_y"), F.element_at("_pr", i + 1).alias("_sc"))
-        a = roc_auc_binary(sub, "_y", "_sc", positive=c).select(F.lit(str(c)).alias("class"), "auc")
-        parts.append(a)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    sup = arr.groupBy(F.col("_y").cast("string").alias("class")).agg(F.count(F.lit(1)).alias("support"))
-    j = out.join(sup, "class")
-    return j.agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"))
+    arr = pred.select(F.col(q(label)).cast("string").alias("_y"), F.posexplode(vector_to_array(F.col(q(prob_col)))).alias("_i", "score"))
+    long = arr.select(F.element_at(F.array(*[F.lit(c).cast("string") for c in classes]), F.col("_i") + 1).alias("class"), "_y", "score")
+    return roc_auc_ovr_long(long.withColumn("is_pos", F.col("_y") == F.col("class")))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -132,11 +124,11 @@ def roc_auc_ovr_long(scores: DataFrame, cls: str = "class", score: str = "score"
                      weighted: bool = True) -> DataFrame:
     """L2 (multi-class, one-vs-rest) from long scores ``(row, class, score, is_pos)``: exact
     tie-averaged AUC per class, then the support-weighted (or macro) mean. Work is one grouped
-    pass per (class, score); the running sum runs per class over its distinct scores."""
+    pass per (class, score); the running sums run over ranges of (class, score), so a class with many
+    distinct scores spans several tasks and the number of classes has no limit."""
     per = scores.groupBy(F.col(q(cls)).alias("_c"), F.col(q(score)).cast("double").alias("_s")).agg(
         F.sum(F.col(q(is_pos)).cast("long")).alias("pos"), F.sum(1 - F.col(q(is_pos)).cast("long")).alias("neg"))
-    w = Window.partitionBy("_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("nb", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    per = segment_running_sum(per, "_c", "_s", "neg", "nb", inclusive=False)
     auc = per.groupBy("_c").agg(
         F.try_divide(F.sum(F.col("pos") * F.col("nb") + 0.5 * F.col("pos") * F.col("neg")),
                      F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("support"))

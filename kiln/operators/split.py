@@ -5,22 +5,25 @@ engine produce identically. The test set is the first ceil(n * t) rows of
 that order (per class for the stratified split). Instead of ranking all
 rows with a global window (one task), the cut is found with the exact
 distributed selector: the k-th smallest 52-bit hash prefix per class, with
-the rare ties on the prefix settled by the full digest.
+the rare ties on the prefix settled by the full digest. Many classes are
+ranked in ranges of (class, digest) instead, as folds are.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit, q, seeded_hash
+from kiln.functions.ordering import row_index, segment_index
 from kiln.functions.selection import global_kth, kth_many, order_statistics
 from kiln.session import cut_lineage
 
 RESAMPLE_RATIO = 0.60
-MAX_CLASSES = 10_000  # stratification collects one row per class; more is not a class column
+MAX_CLASSES = 10_000  # resampling collects one row per class; more is not a class column
+LITERAL_CLASSES = 64  # cuts of so many classes are literals in the plan
 
 
 def class_counts(df: DataFrame, stratify: str) -> dict:
@@ -31,37 +34,29 @@ def class_counts(df: DataFrame, stratify: str) -> dict:
     return {r[0]: int(r["n"]) for r in g.collect()}
 
 
-def _cut(df: DataFrame, by: list[str], k_df: DataFrame) -> DataFrame:
-    """Per group: the hash of the k-th row (k from ``k_df``: by + [_k] with _k >= 1) and the tie cut."""
+def _cut(df: DataFrame, k_df: DataFrame) -> DataFrame:
+    """The hash of the k-th row (k from the one row of ``k_df``, at least 1) and the tie cut: one row."""
     def targets(counts: DataFrame) -> DataFrame:
-        t = counts.join(F.broadcast(k_df), by, "inner") if by else \
-            counts.withColumn("_g", F.lit(0)).join(F.broadcast(k_df.withColumn("_g", F.lit(0))), "_g").drop("_g")
-        return t.where(F.col("_k") >= 1).select(*by, F.lit(0).alias("tid"), (F.col("_k") - 1).alias("k"))
-
-    stats = order_statistics(df, by, "_h", targets)
-    thr = stats.select(*by, F.col("value").alias("_thr"), F.col("below").alias("_lt"), F.col("eq").alias("_eq"))
-    thr = _attach(thr, k_df.select(*by, "_k"), by)
-    rows = thr.collect()  # one row per class
-    spark = df.sparkSession
-    schema = thr.select(*by, "_thr").schema.add("_cut", "string")
-    if all(r["_k"] - r["_lt"] == r["_eq"] for r in rows):
+        t = _attach(counts, k_df)
+        return t.where(F.col("_k") >= 1).select(F.lit(0).alias("tid"), (F.col("_k") - 1).alias("k"))
+
+    stats = order_statistics(df, [], "_h", targets)
+    thr = _attach(stats.select(F.col("value").alias("_thr"), F.col("below").alias("_lt"), F.col("eq").alias("_eq")), k_df)
+    row = thr.first()
+    schema = thr.select("_thr").schema.add("_cut", "string")
+    if row is None or row["_k"] - row["_lt"] == row["_eq"]:
         # the k-th hash prefix is not shared across the cut: take every row up to it
-        return spark.createDataFrame([(*[r[c] for c in by], r["_thr"], None) for r in rows], schema)
-    # rows sharing the threshold prefix: a handful per group, ranked by the full digest
-    ties = _attach(df, thr, by).where(F.col("_h") == F.col("_thr"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
-    ties = ties.withColumn("_rn", F.row_number().over(w.orderBy("_md5")))
-    cut = ties.where(F.col("_rn") == F.col("_k") - F.col("_lt")).select(*by, F.col("_md5").alias("_cut"))
-    return thr.select(*by, "_thr").join(cut, by, "left") if by else _attach(thr.select("_thr"), cut, [], how="left")
-
-
-def _attach(df: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-group table (one row per group, bounded by the number of classes)."""
-    if by:
-        return df.join(F.broadcast(small), by, how)
+        return df.sparkSession.createDataFrame([] if row is None else [(row["_thr"], None)], schema)
+    # rows sharing the threshold prefix: a handful, ranked by the full digest
+    ties = _attach(df, thr).where(F.col("_h") == F.col("_thr"))
+    ties = ties.withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_md5")))
+    return _attach(thr.select("_thr"), ties.where(F.col("_rn") == F.col("_k") - F.col("_lt")).select(F.col("_md5").alias("_cut")), how="left")
+
+
+def _attach(df: DataFrame, row: DataFrame, how: str = "inner") -> DataFrame:
+    """Put the columns of a one-row table beside every row."""
     return (df.withColumn("_g", F.lit(0))
-            .join(F.broadcast(small.withColumn("_g", F.lit(0))), "_g", how).drop("_g"))
+            .join(F.broadcast(row.withColumn("_g", F.lit(0))), "_g", how).drop("_g"))
 
 
 def _allocate(counts: dict, n_test: int) -> dict:
@@ -75,40 +70,51 @@ def _allocate(counts: dict, n_test: int) -> dict:
     return base
 
 
+def _allocation(counts: DataFrame, n: int, n_test: int) -> DataFrame:
+    """``_allocate`` over a class table (``_c``, ``_n``) of any length: (``_c``, ``_k``)."""
+    part = F.col("_n").cast("decimal(19,0)") * F.lit(n_test).cast("decimal(19,0)")
+    a = cut_lineage(counts.withColumn("_w", part).select(
+        "_c", F.expr(f"_w div {n}BD").alias("_base"), F.expr(f"-(_w % {n}BD)").alias("_rem"), F.col("_c").cast("string").alias("_text")))
+    rest = n_test - int(a.agg(F.sum("_base")).first()[0])
+    return row_index(a, ["_rem", "_text"], "_rr").select("_c", (F.col("_base") + (F.col("_rr") < rest).cast("long")).alias("_k"))
+
+
 def split_flags(df: DataFrame, key_cols: list[str], test: float = 0.2, seed: int = 42,
                 stratify: str | None = None) -> DataFrame:
-    """``df`` with a boolean ``is_test`` column (exact sizes)."""
+    """``df`` with a boolean ``is_test`` column (exact sizes).
+
+    Up to ``LITERAL_CLASSES`` classes the cuts are literals found by selection. With more, rows are
+    ranked within their class in ranges of (class, digest); the number of classes has no limit.
+    """
     spark = df.sparkSession
     h = df.withColumn("_md5", seeded_hash(key_cols, seed)).withColumn("_h", hash_unit(key_cols, seed))
-    by = [stratify] if stratify else []
     if stratify:
-        counts = class_counts(df, stratify)
-        if not counts or min(counts.values()) < 2:
-            return split_flags(df, key_cols, test, seed, None)
-        n = sum(counts.values())
-        alloc = _allocate(counts, math.ceil(n * test))
-        k_df = spark.createDataFrame([(c, int(k)) for c, k in alloc.items()],
-                                     f"{q(stratify)} {df.schema[stratify].dataType.simpleString()}, _k long")
-        # one sketch and one bracket per class (the class table is collected above, so bounded)
-        picks = [(c, k) for c, k in sorted(alloc.items(), key=lambda kv: str(kv[0])) if k >= 1]
         cls = F.col(q(stratify))
-        fast = kth_many(h, "_h", [(cls.eqNullSafe(F.lit(c)), k - 1, k / counts[c]) for c, k in picks]) \
-            if picks else []
-        if fast is not None and all(k - lt == eq for (_, k), (_, lt, eq) in zip(picks, fast)):
-            is_test = F.lit(False)
-            for (c, _), (thr, _, _) in zip(picks, fast):
-                is_test = F.when(cls.eqNullSafe(F.lit(c)), F.col("_h") <= F.lit(thr)).otherwise(is_test)
-            return h.withColumn("is_test", is_test).drop("_h", "_md5")
-    else:
-        n = df.count()
-        k = int(math.ceil(n * test))
-        k_df = spark.createDataFrame([(k,)], "_k long")
-        fast = global_kth(h, "_h", k - 1, k / n) if 0 < k <= n else None
-        if fast is not None and k - fast[1] == fast[2]:
-            # the k-th hash prefix is not shared across the cut: every row up to it is test
-            return h.withColumn("is_test", F.col("_h") <= F.lit(fast[0])).drop("_h", "_md5")
-    cut = _cut(h, by, k_df)
-    j = _attach(h, cut, by, how="left")
+        table = df.groupBy(cls.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+        size = table.agg(F.count(F.lit(1)).alias("classes"), F.min("_n").alias("least"), F.sum("_n").alias("n")).first()
+        if not size["classes"] or size["least"] < 2:
+            return split_flags(df, key_cols, test, seed, None)
+        n_test = math.ceil(size["n"] * test)
+        if size["classes"] <= LITERAL_CLASSES:
+            counts = {r["_c"]: int(r["_n"]) for r in table.collect()}
+            picks = [(c, k) for c, k in sorted(_allocate(counts, n_test).items(), key=lambda kv: str(kv[0])) if k >= 1]
+            fast = kth_many(h, "_h", [(cls.eqNullSafe(F.lit(c)), k - 1, k / counts[c]) for c, k in picks]) \
+                if picks else []
+            if fast is not None and all(k - lt == eq for (_, k), (_, lt, eq) in zip(picks, fast)):
+                is_test = F.lit(False)
+                for (c, _), (thr, _, _) in zip(picks, fast):
+                    is_test = F.when(cls.eqNullSafe(F.lit(c)), F.col("_h") <= F.lit(thr)).otherwise(is_test)
+                return h.withColumn("is_test", is_test).drop("_h", "_md5")
+        ranked = segment_index(h, stratify, ["_md5"], "_i")
+        j = ranked.join(_allocation(table, int(size["n"]), n_test), cls.eqNullSafe(F.col("_c")), "left")
+        return j.withColumn("is_test", F.col("_i") < F.col("_k")).drop("_h", "_md5", "_i", "_c", "_k")
+    n = df.count()
+    k = int(math.ceil(n * test))
+    fast = global_kth(h, "_h", k - 1, k / n) if 0 < k <= n else None
+    if fast is not None and k - fast[1] == fast[2]:
+        # the k-th hash prefix is not shared across the cut: every row up to it is test
+        return h.withColumn("is_test", F.col("_h") <= F.lit(fast[0])).drop("_h", "_md5")
+    j = _attach(h, _cut(h, spark.createDataFrame([(k,)], "_k long")), how="left")
     is_test = (F.col("_h") < F.col("_thr")) | ((F.col("_h") == F.col("_thr")) &
                                               (F.col("_cut").isNull() | (F.col("_md5") <= F.col("_cut"))))
     return j.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_h", "_md5", "_thr", "_cut")
@@ -140,26 +146,10 @@ def fold_count(df: DataFrame, k: int, target: str | None = None) -> int:
 def assign_folds(df: DataFrame, k: int, key_cols: list[str], stratify: str | None = None,
                  seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """fold = (rank within class in hash order) mod k, so every fold gets a share of
-    every class. Ranks come from the distributed row index (no single-task window)."""
-    from kiln.functions.ordering import row_index
-    by = [stratify] if stratify else []
-    h = df.withColumn("_h", hash_unit(key_cols, seed)).withColumn("_md5", seeded_hash(key_cols, seed))
-    if by:
-        # order by (class code, hash): class codes from the small class table
-        classes = sorted(class_counts(df, stratify), key=lambda c: (c is not None, c))
-        code = F.lit(None).cast("double")
-        for i, c in enumerate(classes):
-            code = F.when(F.col(q(stratify)).eqNullSafe(F.lit(c)), F.lit(float(i))).otherwise(code)
-        h = h.withColumn("_o", code * 2.0 + F.col("_h"))
-        idx = row_index(h, ["_o", "_md5"], "_i")
-        start = idx.groupBy(F.col(q(stratify)).alias("_k")).agg(F.min("_i").alias("_s"))
-        idx = idx.join(F.broadcast(start), F.col(q(stratify)).eqNullSafe(F.col("_k")), "left")
-        rank = F.col("_i") - F.col("_s")
-    else:
-        idx = row_index(h.withColumn("_o", F.col("_h")), ["_o", "_md5"], "_i")
-        rank = F.col("_i")
-    out = idx.withColumn(fold_col, (rank % k).cast("int"))
-    return cut_lineage(out.drop("_h", "_md5", "_o", "_i", "_s", "_k"))
+    every class. Ranks come from distributed positions (no window per class, no class limit)."""
+    h = df.withColumn("_md5", seeded_hash(key_cols, seed))
+    idx = segment_index(h, stratify, ["_md5"], "_i") if stratify else row_index(h, ["_md5"], "_i")
+    return cut_lineage(idx.withColumn(fold_col, (F.col("_i") % k).cast("int")).drop("_md5", "_i"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

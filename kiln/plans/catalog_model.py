@@ -52,6 +52,29 @@ def q_split_stratified(spark, sf):
     return split.split_flags(o, ["o_orderkey"], 0.2, 42, stratify="o_orderstatus")
 
 
+LINE_ORDER = "md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+
+
+@register("split_stratified_parts", f"""WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey),
+tot AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(ceil(sum(n) * 0.2::DOUBLE) AS BIGINT) AS t FROM c),
+a AS (SELECT c.l_partkey, (c.n * tot.t) // tot.n AS base, (c.n * tot.t) % tot.n AS rem, tot.t FROM c, tot),
+r AS (SELECT *, row_number() OVER (ORDER BY rem DESC, CAST(l_partkey AS VARCHAR)) AS rr, t - sum(base) OVER () AS extra FROM a),
+k AS (SELECT l_partkey, base + CASE WHEN rr <= extra THEN 1 ELSE 0 END AS k FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY {LINE_ORDER}) <= k.k AS is_test
+FROM lineitem JOIN k USING (l_partkey)""")
+def q_split_stratified_parts(spark, sf):
+    """I2 with as many classes as there are parts (200,000 x scale factor)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return split.split_flags(li, ["l_orderkey", "l_linenumber"], 0.2, 42, stratify="l_partkey")
+
+
+@register("assign_folds_parts", f"""SELECT l_orderkey, l_linenumber, l_partkey,
+  CAST((row_number() OVER (PARTITION BY l_partkey ORDER BY {LINE_ORDER}) - 1) % 5 AS INTEGER) AS fold FROM lineitem""")
+def q_assign_folds_parts(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return split.assign_folds(li, 5, ["l_orderkey", "l_linenumber"], stratify="l_partkey")
+
+
 @register("assign_folds", f"""SELECT doc_id, quality,
   CAST((row_number() OVER (PARTITION BY quality ORDER BY {MD5_ORDER.format(k='doc_id')}) - 1) % 5 AS INTEGER) AS fold
 FROM labels""")
