@@ -113,7 +113,7 @@ def fit_one_hot_levels(df: DataFrame, col: str, limit: int | None = None) -> lis
     vals = df.select(_text(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     n = vals.count()
     if n > bound:
-        raise ValueError(f"{col} has {n} levels, more than {bound}")
+        raise ValueError(f"{col} has {n} levels, more than {bound}: use sparse.one_hot_sparse")
     return sorted(r["_v"] for r in vals.collect())
 
 

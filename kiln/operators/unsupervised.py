@@ -43,7 +43,7 @@ def _text_modes_and_levels(df: DataFrame, texts: list[str]) -> dict[str, tuple]:
         F.min(F.struct(F.negative(F.col("n")).alias("nn"), F.col("value").alias("v"))).alias("m")).collect()}
     for c, r in stats.items():
         if r["nu"] > MAX_ONE_HOT_LEVELS:
-            raise ValueError(f"{c} has {r['nu']} levels, more than {MAX_ONE_HOT_LEVELS}")
+            raise ValueError(f"{c} has {r['nu']} levels, more than {MAX_ONE_HOT_LEVELS}: use sparse.sparse_matrix")
     levels: dict[str, list[str]] = {c: [] for c in texts}
     for r in ft.select("column_name", "value").collect():
         levels[r["column_name"]].append(r["value"])

@@ -9,7 +9,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, models, selection_run, split, unsupervised
+from kiln.operators import clean, models, selection_run, sparse, split, unsupervised
 from kiln.operators.extras import select_by_importance
 from kiln.plans.catalog_model import MD5_ORDER
 from kiln.plans.catalog_prep import _round_doubles
@@ -258,6 +258,32 @@ def q_unsupervised_matrix(spark, sf):
     return _round_doubles(unsupervised.unsupervised_matrix(table(spark, sf, "orders"), id_col="o_orderkey"))
 
 
+@register("one_hot_sparse", """WITH r AS (SELECT l_orderkey, l_linenumber,
+  dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS order_slot, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS f FROM lineitem),
+n AS (SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_returnflag) AS flags FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(order_slot AS INT) AS order_slot, CAST(orders + f AS INT) AS flag_slot,
+  CAST(orders + flags AS INT) AS size, 2 AS n_ones FROM r, n""")
+def q_one_hot_sparse(spark, sf):
+    """G18 with a level per order (1,500,000 x scale factor): the two slots of every line."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("order"), "l_returnflag")
+    x = F.col("features")
+    return sparse.one_hot_sparse(li, ["order", "l_returnflag"], drop_first=False).select(
+        "l_orderkey", "l_linenumber", x["indices"][0].alias("order_slot"), x["indices"][1].alias("flag_slot"), x["size"].alias("size"),
+        F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("int").alias("n_ones"))
+
+
+@register("sparse_matrix", """WITH r AS (SELECT *, dense_rank() OVER (ORDER BY c_name) - 1 AS a, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS b FROM customer),
+n AS (SELECT count(DISTINCT c_name) - 1 AS names, count(DISTINCT c_mktsegment) - 1 AS segments FROM customer)
+SELECT c_custkey, CAST(2 + names + segments AS INT) AS size, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal,
+  concat_ws(',', CASE WHEN a > 0 THEN CAST(1 + a AS VARCHAR) END, CASE WHEN b > 0 THEN CAST(1 + names + b AS VARCHAR) END) AS hot FROM r, n""")
+def q_sparse_matrix(spark, sf):
+    """M1 with a level per customer name: the two numbers and the hot slots of every row."""
+    x = F.col("features")
+    return sparse.sparse_matrix(table(spark, sf, "customer"), "c_custkey").select(
+        "c_custkey", x["size"].alias("size"), x["values"][0].alias("c_nationkey"), x["values"][1].alias("c_acctbal"),
+        F.array_join(F.slice(x["indices"], 3, 2).cast("array<string>"), ",").alias("hot"))
+
+
 def _cluster_input(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"),
                                             F.col("c_nationkey").cast("double").alias("c_nationkey"))

@@ -12,6 +12,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -61,13 +62,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back. For loops: a
-    checkpoint is computed twice, and it hands the plan's constraints on, which grow with every join."""
+def saved(df: DataFrame, name: str = "step", schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back (under ``schema``, if given).
+    For loops: a checkpoint is computed twice, and it hands the plan's constraints on, which grow with every join."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
