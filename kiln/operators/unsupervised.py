@@ -7,9 +7,12 @@ silhouettes are exact (``neighbours.silhouette_exact``).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +23,12 @@ from kiln.operators.density import dbscan
 from kiln.operators.neighbours import silhouette_exact
 from kiln.operators.scale import STANDARD, fit_scaler
 from kiln.operators.select import zero_variance_columns
+from kiln.session import saved
 
 MIN_ROWS = 10
 MIN_FEATURES = 2
 PCA_VARIANCE = 0.95
+FITS_AT_ONCE = 4
 
 
 def _text_modes_and_levels(df: DataFrame, texts: list[str]) -> dict[str, tuple]:
@@ -116,26 +121,98 @@ def pca_2d_view(df: DataFrame, features: list[str], id_col: str, labels: DataFra
     return out if n is None else sample_rows(out, [id_col], n, seed)
 
 
+@dataclass
+class Components:
+    """One fitted projection: the variance report, the chosen number of components, and the rows
+    (id, ``features`` = chosen components, ``pc1``, ``pc2``)."""
+    report: DataFrame
+    chosen: int
+    rows: DataFrame
+
+
+def component_space(df: DataFrame, features: list[str], id_col: str, max_components: int = 10) -> Components:
+    """M2 fitted once for everything after it: standardise, at most ``max_components`` components, as many
+    chosen as first reach 0.95 of the variance (2 at least). Signs are fixed: largest loading positive."""
+    vec = standardised_vectors(df, features, id_col)
+    m = min(max_components, len(features), vec.limit(max_components + 1).count() - 1)
+    if m < MIN_FEATURES:
+        raise ValueError("components need two features and three rows")
+    fitted = PCA(k=m, inputCol="features", outputCol="pcs").fit(vec)
+    shares = fitted.explainedVariance.toArray()
+    total = shares.cumsum()
+    chosen = max(MIN_FEATURES, next((i + 1 for i, c in enumerate(total) if c >= PCA_VARIANCE), m))
+    report = df.sparkSession.createDataFrame([(i + 1, float(x), float(c)) for i, (x, c) in enumerate(zip(shares, total))],
+                                             "component int, explained double, cumulative double")
+    pc = fitted.pc.toArray()
+    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(m)]
+    x = vector_to_array("pcs")
+    rows = fitted.transform(vec).select(q(id_col), array_to_vector(F.array(*[x[j] * signs[j] for j in range(chosen)])).alias("features"),
+                                        (x[0] * signs[0]).alias("pc1"), (x[1] * signs[1]).alias("pc2"))
+    return Components(report, chosen, saved(rows, "components"))
+
+
+SWEEP_SCHEMA = "Model string, k int, inertia double, silhouette double, n_clusters int"
+
+
+def kmeans_models(vec: DataFrame, id_col: str, k_min: int = 2, k_max: int = 8, n_init: int = 10, seed: int = 42):
+    """For each k, the best of ``n_init`` seeded runs (least cost) on the vectors ``features``:
+    ``[(k, model, cost, exact silhouette)]``. The runs of one k share the cached vectors and overlap."""
+    vec = vec.select(id_col, "features").cache()
+    k_max = min(k_max, max(2, vec.count() - 1))
+
+    def fit(k: int, s: int):
+        model = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300).fit(vec)
+        return model.summary.trainingCost, s, model
+
+    found = []
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        for k in range(k_min, k_max + 1):
+            cost, _, model = min(pool.map(lambda s: fit(k, s), range(n_init)), key=lambda r: r[:2])
+            lab = model.transform(vec).select(id_col, vector_to_array("features").alias("_v"), "prediction")
+            score = silhouette_exact(lab, id_col, "_v", "prediction").first()
+            found.append((k, model, float(cost), float(score["silhouette"]) if score["n_clusters"] > 1 else None))
+    vec.unpersist()
+    return found
+
+
 def kmeans_sweep(df: DataFrame, features: list[str], id_col: str, k_min: int = 2, k_max: int = 8,
                  n_init: int = 10, seed: int = 42) -> DataFrame:
     """For each k, the best of ``n_init`` seeded runs (least cost), its exact silhouette
-    and inertia (elbow)."""
+    and inertia (elbow), on the standardised features."""
+    found = kmeans_models(standardised_vectors(df, features, id_col), id_col, k_min, k_max, n_init, seed)
+    return df.sparkSession.createDataFrame([("KMeans", k, cost, sil, k) for k, _, cost, sil in found], SWEEP_SCHEMA)
+
+
+@dataclass
+class Clustering:
+    components: Components
+    leaderboard: DataFrame
+    best: str | None       # "KMeans (k=3)" or "DBSCAN"; None when nothing has two clusters
+    silhouette: float | None
+    view: DataFrame        # (id, pc1, pc2, cluster): cluster missing without a best model
+
+
+def cluster_components(df: DataFrame, features: list[str], id_col: str, k_max: int = 8, eps: float = 0.8,
+                       min_samples: int = 5, n_init: int = 10) -> Clustering:
+    """M2 -> M3, M4, M5, M6, M7: the k-means sweep, the density clusters and their silhouettes all lie in
+    the chosen components of one projection; the best model's clusters go to the two-component view."""
     spark = df.sparkSession
-    vec = standardised_vectors(df, features, id_col).cache()
-    n = vec.count()
-    k_max = min(k_max, max(2, n - 1))
-    rows = []
-    for k in range(k_min, k_max + 1):
-        best = None
-        for s in range(n_init):
-            m = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300).fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
-        lab = best[0].transform(vec).select(id_col, vector_to_array("features").alias("_v"), "prediction")
-        sil = silhouette_exact(lab, id_col, "_v", "prediction").first()["silhouette"]
-        rows.append(("KMeans", k, float(best[1]), None if sil is None else float(sil), k))
-    return spark.createDataFrame(rows, "Model string, k int, inertia double, silhouette double, n_clusters int")
+    space = component_space(df, features, id_col)
+    found = kmeans_models(space.rows, id_col, 2, k_max, n_init)
+    points = space.rows.select(id_col, vector_to_array("features").alias("_v"))
+    density = saved(dbscan(points, id_col, "_v", eps, min_samples), "density")
+    n_clusters, sil = _density_score(points, density, id_col)
+    board = [("KMeans", k, cost, s, k) for k, _, cost, s in found] + [("DBSCAN", None, None, sil, n_clusters)]
+    best, score, labels = None, None, None
+    for k, model, _, s in found:
+        if s is not None and (score is None or s > score):
+            best, score = f"KMeans (k={k})", s
+            labels = model.transform(space.rows).select(id_col, F.col("prediction").alias("cluster"))
+    if sil is not None and (score is None or sil > score):
+        best, score, labels = "DBSCAN", sil, density
+    view = space.rows.select(id_col, "pc1", "pc2")
+    view = view.withColumn("cluster", F.lit(None).cast("int")) if labels is None else view.join(labels, id_col, "left")
+    return Clustering(space, cluster_leaderboard(spark.createDataFrame(board, SWEEP_SCHEMA)), best, score, view)
 
 
 def bisecting_kmeans(df: DataFrame, features: list[str], id_col: str, k: int = 4, seed: int = 42) -> DataFrame:
@@ -153,11 +230,14 @@ def dbscan_run(df: DataFrame, features: list[str], id_col: str, eps: float = 0.8
 
 def dbscan_summary(labels: DataFrame, df: DataFrame, features: list[str], id_col: str) -> tuple[int, float | None]:
     vec = standardised_vectors(df, features, id_col).select(id_col, vector_to_array("features").alias("_v"))
-    j = vec.join(labels, id_col)
+    return _density_score(vec, labels, id_col)
+
+
+def _density_score(points: DataFrame, labels: DataFrame, id_col: str) -> tuple[int, float | None]:
     n_clusters = labels.where(F.col("cluster") >= 0).select("cluster").distinct().count()
     if n_clusters < 2:  # one cluster beside noise is no separation to score
         return n_clusters, None
-    return n_clusters, silhouette_exact(j, id_col, "_v", "cluster").first()["silhouette"]
+    return n_clusters, float(silhouette_exact(points.join(labels, id_col), id_col, "_v", "cluster").first()["silhouette"])
 
 
 def cluster_leaderboard(rows: DataFrame) -> DataFrame:

@@ -306,6 +306,35 @@ def q_pca_report(spark, sf):
 Q["pca_report"] = q_pca_report
 
 
+@register("pca_pair", """WITH r AS (SELECT abs(corr(c_acctbal, c_nationkey)) AS r FROM customer)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS explained, round((1 + r) / 2, 6) AS cumulative FROM r
+UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0 FROM r""")
+def q_pca_pair(spark, sf):
+    """M2 on two features, where the variance shares have a closed form."""
+    c = table(spark, sf, "customer")
+    return _round_doubles(unsupervised.component_space(c, ["c_acctbal", "c_nationkey"], "c_custkey").report)
+
+
+def q_unsupervised_flow(spark, sf):
+    """M1 to M7 as one run: k-means 2..8 and DBSCAN on the chosen components; every customer in the
+    two-component view with its cluster in the best model, its name and silhouette."""
+    from kiln.plans.prepare import run_unsupervised
+    run = run_unsupervised(_cluster_input(spark, sf), "c_custkey")
+    return _round_doubles(run["view"].withColumns({"model": F.lit(run["best"]), "silhouette": F.lit(run["silhouette"]).cast("double"),
+                                                   "components": F.lit(run["components"])}))
+
+
+Q["unsupervised_flow"] = q_unsupervised_flow
+
+
+@register("cluster_profiles", """SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS c_acctbal_mean,
+  round(stddev_samp(c_acctbal), 6) AS c_acctbal_std, round(avg(c_nationkey), 6) AS c_nationkey_mean,
+  round(stddev_samp(c_nationkey), 6) AS c_nationkey_std FROM customer GROUP BY c_mktsegment""")
+def q_cluster_profiles(spark, sf):
+    """O6 with the market segments as clusters."""
+    return _round_doubles(unsupervised.cluster_profiles(table(spark, sf, "customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"]))
+
+
 def q_kmeans_sweep(spark, sf):
     """M3 + O5 + M6: k = 2..8, best of 10 seeds each, inertia (elbow) and exact silhouette, ranked."""
     rows = unsupervised.kmeans_sweep(_cluster_input(spark, sf), CLU_FEATURES, "c_custkey", 2, 8, n_init=10)
@@ -316,8 +345,10 @@ Q["kmeans_sweep"] = q_kmeans_sweep
 
 
 def q_pca_2d_view(spark, sf):
-    """M7: first two components of a seeded 1,000-row sample."""
-    return _round_doubles(unsupervised.pca_2d_view(_cluster_input(spark, sf), CLU_FEATURES, "c_custkey"))
+    """M7: first two components of every customer, with the clusters of a divisive run as labels."""
+    df = _cluster_input(spark, sf)
+    labels = unsupervised.bisecting_kmeans(df, CLU_FEATURES, "c_custkey", k=4)
+    return _round_doubles(unsupervised.pca_2d_view(df, CLU_FEATURES, "c_custkey", labels))
 
 
 Q["pca_2d_view"] = q_pca_2d_view

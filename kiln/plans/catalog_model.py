@@ -468,6 +468,13 @@ def q_type_repair(spark, sf):
     return extras.type_repair_report(o)
 
 
+@register("vif_pair", """WITH r AS (SELECT corr(o_totalprice, o_custkey) AS r FROM orders)
+SELECT unnest(['o_totalprice', 'o_custkey']) AS column_name, round(1 / (1 - r * r), 6) AS vif FROM r""")
+def q_vif_pair(spark, sf):
+    """O7 on two columns, where the factor has a closed form."""
+    return _round_doubles(extras.vif(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"]))
+
+
 @register("anomaly_flags", """WITH s AS (SELECT avg(value) AS mv, stddev_samp(value) AS sv, avg(user_id) AS mu,
   stddev_samp(user_id) AS su FROM events)
 SELECT event_id, round(greatest(abs((value - mv) / sv), abs((user_id - mu) / su)), 6) AS anomaly_score,

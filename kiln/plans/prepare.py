@@ -147,18 +147,13 @@ def run_supervised(df: DataFrame, target: str, key_cols: list[str], features: li
 
 
 def run_unsupervised(df: DataFrame, id_col: str, k_max: int = 8):
-    """Step 13 (no target): feature matrix, PCA, k-means sweep, DBSCAN, cluster leaderboard."""
+    """Step 13 (no target): feature matrix, components, k-means sweep and DBSCAN on them, leaderboard, view
+    of the best clusters. None for a table too small to cluster."""
     from kiln.operators import unsupervised as U
     mat = U.unsupervised_matrix(df, id_col)
     feats = [c for c in mat.columns if c != id_col]
     if not U.enough_for_clustering(mat, feats):
         return None
-    mat = cut_lineage(mat)
-    rep, chosen, _ = U.pca_report(mat, feats)
-    sweep = U.kmeans_sweep(mat, feats, id_col, 2, k_max)
-    lab = U.dbscan_run(mat, feats, id_col)
-    n_cl, sil = U.dbscan_summary(lab, mat, feats, id_col)
-    spark = df.sparkSession
-    db = spark.createDataFrame([("DBSCAN", None, None, None if sil is None else float(sil), n_cl)],
-                               "Model string, k int, inertia double, silhouette double, n_clusters int")
-    return {"pca": rep, "components": chosen, "leaderboard": U.cluster_leaderboard(sweep.unionByName(db))}
+    run = U.cluster_components(cut_lineage(mat), feats, id_col, k_max)
+    return {"pca": run.components.report, "components": run.components.chosen, "leaderboard": run.leaderboard,
+            "best": run.best, "silhouette": run.silhouette, "view": run.view}
