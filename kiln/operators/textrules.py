@@ -2,8 +2,10 @@
 
 B11 is pure column expressions (``contains`` chains) and runs over any text
 column at scale. B12 needs Ratcliff-Obershelp similarity (``difflib``),
-which Spark lacks: it is a vectorised pandas UDF over whole texts, with the
-short column-name list captured as a constant.
+which Spark lacks: every distinct word is compared once with the names of the
+columns and their parts (``mapInPandas`` over the vocabulary), and the words of a
+text look their matches up by a join. Names, parts and scores of the texts are
+column expressions. B13 is built on both.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kiln.functions.exprs import is_bool, is_numeric, is_string, q
 from kiln.session import ship_package
@@ -71,105 +72,110 @@ def _counts(word: str) -> np.ndarray:
 
 
 class _Words:
-    """Distinct words of one text with character counts, for vectorised difflib pre-filters."""
+    """Words with character counts, for vectorised difflib pre-filters."""
 
     def __init__(self, words: list[str]):
         self.words = words
         self.lens = np.array([len(w) for w in words], dtype=np.float64)
         self.counts = np.stack([_counts(w) for w in words]) if words else np.zeros((0, len(ALPHABET)), np.int32)
 
-    def close(self, target: str, cutoff: float) -> bool:
-        """True when some word has a difflib ratio >= cutoff against ``target`` (get_close_matches' test).
+    def near(self, target: str, cutoff: float) -> list[int]:
+        """Places of the words whose difflib ratio against ``target`` is at least ``cutoff``.
 
         The real-quick (length) and quick (character multiset) upper bounds of the ratio are
-        evaluated for all words at once; SequenceMatcher runs only on the survivors.
+        evaluated for all words at once; SequenceMatcher runs only on the survivors. What is in
+        ``target`` besides the alphabet of words matches nothing.
         """
         if not self.words:
-            return False
+            return []
         lt = float(len(target))
         tot = self.lens + lt
-        ok = 2.0 * np.minimum(self.lens, lt) / tot >= cutoff
-        if not ok.any():
-            return False
-        inter = np.minimum(self.counts[ok], _counts(target)[None, :]).sum(axis=1)
-        idx = np.flatnonzero(ok)[2.0 * inter / tot[ok] >= cutoff]
-        for i in idx:
-            if difflib.SequenceMatcher(None, self.words[i], target).ratio() >= cutoff:
-                return True
-        return False
-
-
-def score_columns_in_text(text: str, columns: list[str]) -> tuple[str | None, float]:
-    """B12 for one text: best column and its score (ties keep column order)."""
-    raw = (text or "").lower()
-    word_set = set(re.findall(WORD_PATTERN, raw))
-    words = _Words(sorted(word_set))
-    best, best_s = None, 0.0
-    for col in columns:
-        cl = col.lower()
-        toks = re.findall(WORD_PATTERN, cl)
-        s = 0.0
-        if cl in raw:
-            s += 6.0
-        s += 2.0 * sum(1 for t in toks if t in word_set and len(t) >= 3)
-        if all(ch in _CODE for ch in cl) and words.close(cl, 0.75):
-            s += 3.0
-        elif not all(ch in _CODE for ch in cl) and any(
-                difflib.SequenceMatcher(None, w, cl).ratio() >= 0.75 for w in words.words):
-            s += 3.0
-        for t in toks:
-            if len(t) >= 4 and words.close(t, 0.8):
-                s += 1.5
-        if s > best_s:
-            best, best_s = col, s
-    return best, best_s
-
-
-def score_target_columns(text_df: DataFrame, text_col: str, id_col: str, columns: list[str]) -> DataFrame:
-    """Per text, the column name it points at (``target``) and the score (NULL / 0 when none)."""
+        idx = np.flatnonzero(2.0 * np.minimum(self.lens, lt) / tot >= cutoff)
+        letters = _counts("".join(ch for ch in target if ch in _CODE))
+        inter = np.minimum(self.counts[idx], letters[None, :]).sum(axis=1)
+        idx = idx[2.0 * inter / tot[idx] >= cutoff]
+        return [int(i) for i in idx if difflib.SequenceMatcher(None, self.words[i], target).ratio() >= cutoff]
+
+
+SAME, LIKE_NAME, LIKE_PART = "same", "like name", "like part"
+
+
+def _clues(columns: list[str]) -> list[tuple[str, str]]:
+    """What a word can be to the columns: equal to a part (3 letters or more), like a whole name, like
+    a part (4 letters or more)."""
+    found = dict.fromkeys((LIKE_NAME, c.lower()) for c in columns)
+    for part in (t for c in columns for t in re.findall(WORD_PATTERN, c.lower())):
+        if len(part) >= 3:
+            found[(SAME, part)] = None
+        if len(part) >= 4:
+            found[(LIKE_PART, part)] = None
+    return list(found)
+
+
+def _matches(clues: list[tuple[str, str]]):
+    """From batches of distinct words to (word, c): the clues that a word is."""
+    def work(batches):
+        for batch in batches:
+            texts = batch["word"].tolist()
+            words, place, pairs = _Words(texts), {w: i for i, w in enumerate(texts)}, []
+            for n, (kind, target) in enumerate(clues):
+                if kind == SAME:
+                    hits = [place[target]] if target in place else []
+                else:
+                    hits = words.near(target, 0.75 if kind == LIKE_NAME else 0.8)
+                pairs += [(texts[i], n) for i in hits]
+            yield pd.DataFrame(pairs, columns=["word", "c"])
+    return work
+
+
+def score_target_columns(text_df: DataFrame, text_col: str, id_col: str, columns: list[str],
+                         carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per row of ``text_df`` the column its text points at (``target``; missing when none), its
+    ``score``, the other columns with a score (``alternatives``, best first) and ``confidence``: the
+    score's share of the two best scores (0 to 1, 0 when none).
+
+    A column scores 6 when its name is in the text, 2 for each part that is a word of it, 3 when a word is
+    like the name, 1.5 for each part that a word is like; equal scores keep column order. Ids may be
+    missing or repeat. ``carry`` adds columns computed from the text (``_t``: lower case, missing as empty).
+    """
+    names = [c.lower() for c in columns]
+    base = text_df.select(q(id_col), F.lower(F.coalesce(F.col(q(text_col)), F.lit(""))).alias("_t"))
+    flat = base.select(q(id_col), F.md5("_t").alias("_key"), *[c.alias(n) for n, c in (carry or {}).items()],
+                       F.array(*[F.contains("_t", F.lit(c)) for c in names]).alias("_in"))
+    kept = [F.col(q(id_col)), *[F.col(n) for n in (carry or {})]]
+    if not names:
+        return flat.select(*kept, F.lit(None).cast("string").alias("target"), F.lit(0.0).alias("score"),
+                           F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("alternatives"))
     ship_package(text_df.sparkSession)
-    cols = list(columns)
-    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def _score(texts: pd.Series) -> pd.DataFrame:
-        res = [score_columns_in_text(t, cols) for t in texts]
-        return pd.DataFrame({"target": [r[0] for r in res], "score": [float(r[1]) for r in res]})
-
-    return text_df.select(id_col, _score(F.col(q(text_col))).alias("s")).select(id_col, "s.target", "s.score")
+    clues = _clues(columns)
+    number = {c: i for i, c in enumerate(clues)}
+    words = base.select(F.md5("_t").alias("_k"), F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"({WORD_PATTERN})")))).alias("word"))
+    known = words.select("word").distinct().mapInPandas(_matches(clues), "word string, c int")
+    seen = words.join(known, "word").groupBy("_k").agg(F.collect_set("c").alias("_seen"))
+    rows = flat.join(seen, F.col("_key") == F.col("_k"), "left").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<int>")))
+
+    def points(clue: tuple[str, str], worth: float) -> Column:
+        return F.when(F.array_contains("_seen", number[clue]), worth).otherwise(0.0) if clue in number else F.lit(0.0)
+
+    ranked = []
+    for i, name in enumerate(names):
+        score = F.when(F.col("_in")[i], 6.0).otherwise(0.0) + points((LIKE_NAME, name), 3.0)
+        for part in re.findall(WORD_PATTERN, name):
+            score = score + points((SAME, part), 2.0) + points((LIKE_PART, part), 1.5)
+        ranked.append(F.struct((-score).alias("s"), F.lit(i).alias("i"), F.lit(columns[i]).alias("name")))
+    rows = rows.withColumn("_best", F.array_sort(F.filter(F.array(*ranked), lambda r: r["s"] < 0)))
+    best, second = (F.negative(F.coalesce(F.get("_best", F.lit(i))["s"], F.lit(0.0))) for i in (0, 1))
+    return rows.select(*kept, F.get("_best", F.lit(0))["name"].alias("target"), F.abs(best).alias("score"),
+                       F.coalesce(F.try_divide(best, best + second), F.lit(0.0)).alias("confidence"),
+                       F.transform(F.slice("_best", 2, max(1, len(names))), lambda r: r["name"]).alias("alternatives"))
 
 
 def resolve_target(df: DataFrame, text: str = "", hint: str | None = None) -> dict:
-    """Learning type, task type and target for a table and a problem text.
-
-    Precedence: a valid ``hint`` -> the best-scoring column in the text -> a column named as a
-    whole word in the text -> the first candidate (text/bool, then numeric with <= 20 values).
-    Strong supervised words force supervised learning.
-    """
-    from kiln.operators.profile import candidate_targets, infer_problem_type
-    low = (text or "").lower()
-    scored, _ = score_columns_in_text(text, df.columns) if df.columns else (None, 0.0)
-    strong = scored is not None or any(k in low for k in STRONG_SUPERVISED_WORDS)
-    sup = any(k in low for k in SUPERVISED_WORDS)
-    uns = any(k in low for k in UNSUPERVISED_WORDS)
-    learning = "supervised" if strong or sup else "unsupervised" if uns else "unsupervised"
-    target = hint if hint in df.columns else None
-    if target is None and learning == "supervised":
-        target = scored
-    if target is None and learning == "supervised":
-        for c in df.columns:
-            if re.search(rf"\b{re.escape(c.lower())}\b", low):
-                target = c
-                break
-    if target is None and learning == "supervised":
-        cands = candidate_targets(df, variant="auto")
-        target = cands[0] if cands else None
-    if learning == "unsupervised":
-        return {"learning_type": "unsupervised", "task_type": "unsupervised", "target": None}
-    task = infer_problem_type(df, target) if target else (
-        "regression" if any(k in low for k in REGRESSION_WORDS) and not any(k in low for k in CLASSIFICATION_WORDS)
-        else "classification")
-    return {"learning_type": learning, "task_type": task, "target": target}
+    """B13 for a table and one problem text: the row of ``resolve_target_texts``."""
+    one = df.sparkSession.createDataFrame([(0, text or "")], "id int, text string")
+    found = resolve_target_texts(one, "text", "id", df, hint).first().asDict()
+    found.pop("id")
+    return found
 
 
 def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -215,37 +221,35 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def resolve_target_texts(text_df: DataFrame, text_col: str, id_col: str, table: DataFrame,
                          hint: str | None = None) -> DataFrame:
-    """B13 for every text of ``text_df`` against the columns of ``table`` (one Spark job over whole
-    texts): learning type, task type and target, with the same precedence as ``resolve_target``."""
+    """B13 for every text of ``text_df`` against the columns of ``table``: learning type, task type, target,
+    confidence and alternatives.
+
+    A target is the valid ``hint``, else the best-scoring column, else a column named as a whole word, else
+    the first candidate (text / bool, then numeric with few values). Strong supervised words or a scored column
+    make the task supervised; an unsupervised one has no target and no alternatives. Confidence is 1 for a hint,
+    that of the score for a scored column, 0 else.
+    """
     from kiln.operators.profile import candidate_targets, unique_counts
     cols = table.columns
-    scored = score_target_columns(text_df, text_col, id_col, cols)
-    base = text_df.select(id_col, F.lower(F.coalesce(F.col(q(text_col)), F.lit(""))).alias("_t")).join(
-        scored, id_col)
     t = F.col("_t")
-    strong = F.col("target").isNotNull() | _any_contains(t, STRONG_SUPERVISED_WORDS)
-    sup = _any_contains(t, SUPERVISED_WORDS)
-    learning = F.when(strong | sup, "supervised").otherwise("unsupervised")
     whole = F.lit(None).cast("string")
     for c in reversed(cols):
         whole = F.when(t.rlike(r"\b" + re.escape(c.lower()) + r"\b"), F.lit(c)).otherwise(whole)
-    cands = candidate_targets(table, variant="auto")
-    fallback = F.lit(cands[0] if cands else None).cast("string")
-    chosen = F.coalesce(F.lit(hint if hint in cols else None).cast("string"), F.col("target"), whole, fallback)
+    rows = score_target_columns(text_df, text_col, id_col, cols, {
+        "_said": _any_contains(t, STRONG_SUPERVISED_WORDS) | _any_contains(t, SUPERVISED_WORDS), "_task": task_type_expr(t), "_whole": whole})
+    cands = candidate_targets(table, variant="auto") if cols else []
+    given = F.lit(hint if hint in cols else None).cast("string")
+    chosen = F.coalesce(given, F.col("target"), F.col("_whole"), F.lit(cands[0] if cands else None).cast("string"))
     # problem type of every column the target can be (one aggregate over the table)
     n = table.count()
-    u = unique_counts(table, cols)
-    ptype = {}
-    for c in cols:
-        dt = table.schema[c].dataType
-        numeric = is_numeric(dt)
-        ptype[c] = "regression" if numeric and u.get(c, 0) > max(15, int(0.05 * n)) else "classification"
-    keys = F.array(*[F.lit(c) for c in cols])
-    vals = F.array(*[F.lit(ptype[c]) for c in cols])
-    tmap = F.map_from_arrays(keys, vals)
-    out = base.select(id_col, learning.alias("learning_type"), chosen.alias("_target"), t)
-    task = (F.when(F.col("learning_type") == "unsupervised", F.lit("unsupervised"))
-            .when(F.col("_target").isNotNull(), F.try_element_at(tmap, F.col("_target")))
-            .otherwise(task_type_expr(t)))
-    return out.select(id_col, "learning_type", task.alias("task_type"),
-                      F.when(F.col("learning_type") == "supervised", F.col("_target")).alias("target"))
+    u = unique_counts(table, cols) if cols else {}
+    wide = [c for c in cols if is_numeric(table.schema[c].dataType) and u.get(c, 0) > max(15, int(0.05 * n))]
+    supervised = F.col("target").isNotNull() | F.col("_said")
+    task = (F.when(~supervised, "unsupervised").when(chosen.isNull(), F.col("_task"))
+            .when(chosen.isin(*wide) if wide else F.lit(False), "regression").otherwise("classification"))
+    none = F.array().cast("array<string>")
+    return rows.select(q(id_col), F.when(supervised, "supervised").otherwise("unsupervised").alias("learning_type"),
+                       task.alias("task_type"), F.when(supervised, chosen).alias("target"),
+                       F.when(~supervised, 0.0).when(given.isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"),
+                       F.when(supervised, F.filter(F.concat(F.when(F.col("target").isNull(), none).otherwise(F.array("target")), "alternatives"),
+                                                   lambda c: c != F.coalesce(chosen, F.lit("")))).otherwise(none).alias("alternatives"))
