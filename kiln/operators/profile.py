@@ -295,7 +295,7 @@ def candidate_targets(df: DataFrame, variant: str = "ui") -> list[str]:
         return [c for c in df.columns
                 if is_string(df.schema[c].dataType) or (c in u and u[c] <= limit)]
     cats = [c for c in df.columns if is_string(df.schema[c].dataType) or is_bool(df.schema[c].dataType)]
-    return cats + [c for c in nums if u[c] <= limit]
+    return cats + [c for c in nums if u.get(c, 0) <= limit]
 
 
 def categorise_columns(df: DataFrame, discrete_limit: int = 20) -> DataFrame:

@@ -80,3 +80,9 @@ def test_plan_has_no_python_over_texts(spark, capsys):
     assert "EvalPython" not in plan
     assert len(re.findall(r"\) MapInPandas[^\n]*\nInput", plan)) == 1
     assert re.search(r"\) MapInPandas[^\n]*\nInput \[1\]: \[word#", plan)
+
+
+def test_numeric_column_without_values_is_a_candidate(spark):
+    from kiln.operators.profile import candidate_targets
+    df = spark.createDataFrame([(None, i * 1.0) for i in range(40)], "empty int, price double")
+    assert candidate_targets(df, variant="auto") == ["empty"]
