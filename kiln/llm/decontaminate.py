@@ -163,5 +163,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents are told by doc_id; rows with a null doc_id go if any of them is contaminated.
     """
-    found = save(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    fresh = "leaked"
+    while fresh in {c.lower() for c in docs.columns}:
+        fresh += "_"
+    found = save(contaminated_windows(docs, benchmark).select(F.col("doc_id").alias(fresh)).distinct(), "leaked")
+    return docs.join(small(found), F.col("doc_id").eqNullSafe(F.col(fresh)), "left_anti")
