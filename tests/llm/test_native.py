@@ -170,6 +170,14 @@ def test_leaks_of_nothing(spark):
     assert D.contaminated_windows(d.where(F.lit(False)), b.unionByName(spark.createDataFrame([(1, "a b c")], b.schema))).collect() == []
 
 
+def test_removal_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    d = spark.createDataFrame([(1, f"before {passage} after", 7, "x"), (2, "nothing of the kind", 8, "y")],
+                              "doc_id bigint, text string, Leaked int, leaked_ string")
+    b = spark.createDataFrame([(5, passage)], "item_id bigint, text string")
+    assert [tuple(r) for r in D.remove_contaminated(d, b).collect()] == [(2, "nothing of the kind", 8, "y")]
+
+
 # ---- pseudonyms
 
 def luhn(d):
