@@ -33,6 +33,13 @@ QUERY_ROWS = 32_768
 SLACK = 1e-6
 
 
+def vec_col(df: DataFrame, vec: str | list[str]):
+    """An array column, or several numeric columns, as one array of doubles."""
+    if isinstance(vec, str):
+        return F.col(vec).cast("array<double>")
+    return F.array(*[F.col(c).cast("double") for c in vec])
+
+
 def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of one width as a matrix."""
     if isinstance(column, pa.ChunkedArray):

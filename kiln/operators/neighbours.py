@@ -1,74 +1,28 @@
-"""Nearest-neighbour operators.
+"""Nearest-neighbour operators.
 
 Neighbours are exact and come from ``functions.nearest`` (pivot cells with triangle-inequality
 bounds): a query meets only the blocks that can hold a nearer row, no pair rows are emitted, and
-only pivots and one row per block pass through the driver. The silhouette still meets all blocks: both sides are cut
-by id hash into blocks of at most BLOCK_BYTES, and every pair of blocks is one co-grouped task.
+only pivots and one row per block pass through the driver.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import hash_unit
-from kiln.functions.nearest import nearest_rows
+from kiln.functions.nearest import nearest_rows, vec_col
 from kiln.operators.split import class_counts
-from kiln.session import cut_lineage, ship_package
-
-BLOCK_BYTES = 16 * 1024 * 1024
-QUERY_BATCH = 1024
-
-
-def _vec_col(df: DataFrame, vec: str | list[str]):
-    if isinstance(vec, str):
-        return F.col(vec).cast("array<double>")
-    return F.array(*[F.col(c).cast("double") for c in vec])
-
-
-def _block_count(n: int, dim: int) -> int:
-    per = max(1, BLOCK_BYTES // max(1, dim * 8 + 16))
-    return max(1, math.ceil(n / per))
-
-
-class _Held:
-    """A reference block, as the kernels take it."""
-
-    def __init__(self, block: pd.DataFrame, extra: list[str] | None):
-        self.value = (block["_tid"].to_numpy(), np.stack(block["_tv"].to_numpy()).astype(np.float64), block["_tlabel"].to_numpy(),
-                      {c: block[c].to_numpy() for c in (extra or [])} or None)
-
-
-def _blockwise(query: DataFrame, ref: DataFrame, kernel, schema: str, extra: list[str] | None = None) -> DataFrame:
-    """The kernel's rows of every query block with every reference block."""
-    ship_package(query.sparkSession)
-    sizes = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("d")).first() for d, v in ((query, "_qv"), (ref, "_tv"))]
-    nq, nr = (_block_count(int(x["n"]), int(x["d"] or 0)) for x in sizes)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = query.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(nq)).cast("int")).withColumn("_rb", each(nr))
-    r = ref.withColumn("_rb", F.pmod(F.xxhash64("_tid"), F.lit(nr)).cast("int")).withColumn("_qb", each(nq))
-    names = [f.split()[0] for f in schema.split(",")]
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        parts = [p for p in kernel(_Held(right, extra))(iter([left])) if len(p)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
-
-    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(pair, schema)
+from kiln.session import cut_lineage
 
 
 def knn_candidates(query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, vec, label: str | None = None,
                    exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
     """The k nearest reference rows of every query row: ``(_qid, _tid, _dist, _tlabel, _rank)``; metric
     euclidean or manhattan."""
-    q = query.select(F.col(q_id).alias("_qid"), _vec_col(query, vec).alias("_qv"))
+    q = query.select(F.col(q_id).alias("_qid"), vec_col(query, vec).alias("_qv"))
     lab = F.col(label).cast("double") if label else F.lit(0.0)
-    r = ref.select(F.col(r_id).alias("_tid"), _vec_col(ref, vec).alias("_tv"), lab.alias("_tlabel"))
+    r = ref.select(F.col(r_id).alias("_tid"), vec_col(ref, vec).alias("_tv"), lab.alias("_tlabel"))
     return nearest_rows(q, r, k, exclude_self, metric)
 
 
@@ -151,45 +105,3 @@ def smote_enn(df: DataFrame, target: str, features: list[str], id_col: str, k: i
     res = res.withColumn(id_col, F.monotonically_increasing_id())
     res = cut_lineage(res)
     return edited_nearest(res, target, features, id_col).drop(id_col)
-
-
-def _cluster_sum_factory(bc):
-    def fn(it):
-        ids_t, mat, lab, _ = bc.value
-        tn = (mat * mat).sum(axis=1)
-        clusters = np.unique(lab)
-        onehot = (lab[:, None] == clusters[None, :]).astype(np.float64)
-        for pdf in it:
-            for s in range(0, len(pdf), QUERY_BATCH):
-                part = pdf.iloc[s:s + QUERY_BATCH]
-                q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
-                d2 = (q * q).sum(axis=1)[:, None] + tn[None, :] - 2.0 * q @ mat.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                sums = d @ onehot
-                qid = part["_qid"].to_numpy()
-                yield pd.DataFrame({
-                    "_qid": np.repeat(qid, len(clusters)),
-                    "_to": np.tile(clusters, len(qid)).astype(np.float64),
-                    "_sum": sums.reshape(-1)})
-    return fn
-
-
-def silhouette_exact(df: DataFrame, id_col: str, vec, cluster: str) -> DataFrame:
-    """M5: exact mean silhouette (Euclidean) without pair rows: for every point, the sum of
-    distances to each cluster comes from a blocked scan (rows out = points x clusters).
-    Noise (-1) counts as a cluster; a point alone in its cluster scores 0."""
-    pts = df.select(F.col(id_col).alias("_qid"), _vec_col(df, vec).alias("_qv"),
-                    F.col(cluster).cast("double").alias("_c"))
-    ref = pts.select(F.col("_qid").alias("_tid"), F.col("_qv").alias("_tv"), F.col("_c").alias("_tlabel"))
-    qt = df.schema[id_col].dataType.simpleString()
-    sums = _blockwise(pts.select("_qid", "_qv"), ref, _cluster_sum_factory, f"_qid {qt}, _to double, _sum double")
-    sums = sums.groupBy("_qid", "_to").agg(F.sum("_sum").alias("_sum"))
-    sizes = pts.groupBy(F.col("_c").alias("_to")).agg(F.count(F.lit(1)).alias("_n"))
-    j = sums.join(sizes, "_to").join(pts.select("_qid", "_c"), "_qid")
-    own = F.when(F.col("_to") == F.col("_c"), F.col("_sum") / (F.col("_n") - 1))
-    other = F.when(F.col("_to") != F.col("_c"), F.col("_sum") / F.col("_n"))
-    per = j.groupBy("_qid", "_c").agg(F.max(own).alias("a"), F.min(other).alias("b"),
-                                      F.max(F.when(F.col("_to") == F.col("_c"), F.col("_n"))).alias("nc"))
-    s = F.when((F.col("nc") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    return per.agg(F.avg(s).alias("silhouette"), F.countDistinct("_c").alias("n_clusters"))

@@ -2,7 +2,7 @@
 
 PCA reduces the data to a k x k covariance on the driver (k = number of
 features, small); k-means is the distributed ``pyspark.ml`` implementation;
-silhouettes are exact (``neighbours.silhouette_exact``).
+silhouettes are exact (``silhouette.silhouette_exact``).
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from kiln.functions.exprs import finite, is_numeric, is_string, is_temporal, q
 from kiln.operators.clean import all_null_columns, column_medians
 from kiln.operators.encode import MAX_ONE_HOT_LEVELS, epoch_seconds, one_hot_exprs
 from kiln.operators.density import dbscan
-from kiln.operators.neighbours import silhouette_exact
 from kiln.operators.scale import STANDARD, fit_scaler
 from kiln.operators.select import zero_variance_columns
+from kiln.operators.silhouette import silhouette_exact
 from kiln.session import saved
 
 MIN_ROWS = 10

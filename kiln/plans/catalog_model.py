@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kiln.operators import evaluate, extras, neighbours, scale, split, textrules
+from kiln.operators import evaluate, extras, neighbours, scale, silhouette, split, textrules
 from kiln.plans.catalog_prep import _round_doubles
 from kiln.plans.fixtures import table
 
@@ -276,7 +276,22 @@ SELECT round(avg(CASE WHEN nc <= 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a
        count(DISTINCT own) AS n_clusters FROM p""")
 def q_silhouette(spark, sf):
     emb = table(spark, sf, "embeddings")
-    return _round_doubles(neighbours.silhouette_exact(emb, "vec_id", "embedding", "label"))
+    return _round_doubles(silhouette.silhouette_exact(emb, "vec_id", "embedding", "label"))
+
+
+@register("silhouette_squared", """WITH e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x,
+             generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, count(*) AS n, avg(x) AS mu, var_pop(x) AS v FROM e GROUP BY label, i),
+d AS (SELECT e.vec_id, e.label AS own, m.label AS other, any_value(m.n) AS n, sum((e.x - m.mu) * (e.x - m.mu) + m.v) AS msd
+      FROM e JOIN m ON m.i = e.i GROUP BY e.vec_id, e.label, m.label),
+p AS (SELECT vec_id, max(CASE WHEN own = other AND n > 1 THEN msd * n / (n - 1) END) AS a,
+             min(CASE WHEN own <> other THEN msd END) AS b FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+       (SELECT count(DISTINCT label) FROM embeddings) AS n_clusters FROM p""")
+def q_silhouette_squared(spark, sf):
+    """M5 with squared distances: from the clusters' moments alone, no row meets another."""
+    emb = table(spark, sf, "embeddings")
+    return _round_doubles(silhouette.silhouette(emb, "vec_id", "embedding", "label", metric="squared"))
 
 
 def q_smote(spark, sf):

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, density, encode, neighbours, outliers, select
+from kiln.functions import nearest
+from kiln.operators import clean, density, encode, neighbours, outliers, select, silhouette
 
 
 def test_fill_leaves_no_null(spark):
@@ -59,7 +60,7 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_knn_multiple_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 2000)  # forces several broadcast blocks
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 2000)  # forces several blocks
     rng = np.random.default_rng(9)
     pts = rng.normal(size=(80, 3))
     df = spark.createDataFrame([(i, pts[i].tolist(), i % 2) for i in range(80)], "id long, v array<double>, y int")
@@ -76,7 +77,7 @@ def test_silhouette_matches_brute_force(spark):
     pts = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(6, 1, (30, 2))])
     lab = np.array([0] * 30 + [1] * 30)
     df = spark.createDataFrame([(i, pts[i].tolist(), int(lab[i])) for i in range(60)], "id long, v array<double>, c int")
-    got = neighbours.silhouette_exact(df, "id", "v", "c").first()["silhouette"]
+    got = silhouette.silhouette_exact(df, "id", "v", "c").first()["silhouette"]
     s = []
     for i in range(60):
         d = np.sqrt(((pts - pts[i]) ** 2).sum(axis=1))
