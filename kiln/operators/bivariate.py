@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.functions.distinct import at_most
 from kiln.functions.exprs import pair_corr, q, seeded_hash
 from kiln.operators.univariate import box_stats, kde
 
@@ -137,10 +138,9 @@ def crosstab_share(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def category_pairs(df: DataFrame, max_unique: int = 12, first: int = 4, pairs: int = 3) -> list[tuple[str, str]]:
     """Columns with 1 < n_unique <= 12 (first 4), their first 3 pairs."""
-    from kiln.operators.profile import unique_counts
     cols = [c for c in df.columns if df.schema[c].dataType.simpleString() in ("string", "boolean")]
-    u = unique_counts(df, cols) if cols else {}
-    picked = [c for c in cols if 1 < u.get(c, 0) <= max_unique][:first]
+    u = at_most(df, dict.fromkeys(cols, max_unique))
+    picked = [c for c in cols if (u[c] or 0) > 1][:first]
     out = [(picked[i], picked[j]) for i in range(len(picked)) for j in range(i + 1, len(picked))]
     return out[:pairs]
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions.distinct import at_most
 from kiln.functions.exprs import (finite, is_bool, is_numeric, is_string, is_temporal, q, signed_log,
                                   skew_sample)
 from kiln.functions.lookup import MAP_LITERAL_MAX, Lookup
@@ -347,25 +348,24 @@ def fit_encode_table(df: DataFrame, method: str = "auto", max_onehot: int = MAX_
     p = EncodeParams()
     cols = [c for c in df.columns if c not in protect]
     texts = [c for c in cols if is_string(df.schema[c].dataType)]
-    from kiln.operators.profile import unique_counts
-    u = unique_counts(df, texts) if texts else {}
+    u = at_most(df, dict.fromkeys(texts, max(2, max_onehot)))
     order = order_by or df.columns[0]
     for c in cols:
         dt = df.schema[c].dataType
         if is_bool(dt):
             p.steps.append((c, "Boolean -> 0/1", None))
         elif is_string(dt):
-            n = u.get(c, 0)
+            n = u[c]  # None: too many for one-hot
             if method == "label":
                 p.steps.append((c, "Label Encoding", fit_label_first(df, c, order)))
             elif method == "onehot":
-                if n <= max_onehot:
+                if n is not None and n <= max_onehot:
                     p.steps.append((c, "One-Hot Encoding", fit_one_hot_levels(df, c, max_onehot)))
                 else:
                     p.steps.append((c, "Frequency Encoding (High Cardinality fallback)", fit_frequency(df, c)))
             elif n == 2:
                 p.steps.append((c, "Label Encoding (Binary)", fit_label_first(df, c, order)))
-            elif n <= max_onehot:
+            elif n is not None and n <= max_onehot:
                 p.steps.append((c, "One-Hot Encoding (Low Cardinality)", fit_one_hot_levels(df, c, max_onehot)))
             else:
                 p.steps.append((c, "Frequency Encoding (High Cardinality)", fit_frequency(df, c)))
@@ -381,11 +381,10 @@ def fit_encode_table(df: DataFrame, method: str = "auto", max_onehot: int = MAX_
 
 def encode_both(df: DataFrame, col: str, order_by: str, max_onehot: int = MAX_ONEHOT) -> DataFrame:
     """n_unique == 2 -> first-appearance code; <= max_onehot -> one-hot; else frequency."""
-    from kiln.operators.profile import unique_counts
-    n = unique_counts(df, [col])[col]
+    n = at_most(df, {col: max(2, max_onehot)})[col]
     if n == 2:
         return label_encode(df, col, order_by)
-    if n <= max_onehot:
+    if n is not None and n <= max_onehot:
         return one_hot(df, col)
     return frequency_encode(df, col)
 

@@ -3,7 +3,8 @@
 The long frequency table ``(column_name, value, n)`` is the shared substrate:
 one unpivot + ``groupBy(column_name, value)`` (partial aggregation map-side,
 so a value holding a third of the rows collapses before the shuffle) answers
-n_unique, mode, top/freq, rare-category counts and the encoders' fits.
+mode, top/freq, rare-category counts and the encoders' fits. Distinct values
+are counted on typed keys instead (``functions.distinct``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions.distinct import at_most, distinct_counts
 from kiln.functions.exprs import (is_bool, is_integral, is_numeric, is_string, is_temporal,
                                   q, skew_sample)
 from kiln.functions.ordering import lag_pairs
@@ -54,7 +56,7 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """``(column_name, n_rows, n_non_null, n_missing, n_unique)`` from the frequency table.
+    """``(column_name, n_rows, n_non_null, n_missing, n_unique)``, counted on typed keys (``functions.distinct``).
 
     ``exact=False``: one aggregate with HyperLogLog distinct counts (2 % error) and no shuffle of
     values, for very wide or very high-cardinality tables where an estimate suffices.
@@ -66,12 +68,7 @@ def cardinality(df: DataFrame, cols: list[str] | None = None, exact: bool = True
                           F.count_if(F.col(q(c)).isNull()).alias("n_missing"),
                           F.approx_count_distinct(F.col(q(c)), 0.02).alias("n_unique")) for c in cols]
         return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
-    ft = frequency_table(df, cols)
-    return ft.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_non_null"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
-        F.count("value").alias("n_unique"))
+    return distinct_counts(df, cols)
 
 
 def unique_counts(df: DataFrame, cols: list[str] | None = None) -> dict[str, int]:
@@ -290,24 +287,23 @@ def candidate_targets(df: DataFrame, variant: str = "ui") -> list[str]:
     """Text columns plus numeric columns with few distinct values."""
     limit = 15 if variant == "ui" else 20
     nums = [c for c in numeric_columns(df)]
-    u = unique_counts(df, nums) if nums else {}
+    few = {c for c, u in at_most(df, dict.fromkeys(nums, limit)).items() if u is not None}
     if variant == "ui":
-        return [c for c in df.columns
-                if is_string(df.schema[c].dataType) or (c in u and u[c] <= limit)]
+        return [c for c in df.columns if is_string(df.schema[c].dataType) or c in few]
     cats = [c for c in df.columns if is_string(df.schema[c].dataType) or is_bool(df.schema[c].dataType)]
-    return cats + [c for c in nums if u.get(c, 0) <= limit]
+    return cats + [c for c in nums if c in few]
 
 
 def categorise_columns(df: DataFrame, discrete_limit: int = 20) -> DataFrame:
     """Numeric -> discrete (n_unique < 20) / continuous; text -> categorical; temporal -> datetime."""
     spark = df.sparkSession
     nums = numeric_columns(df)
-    u = unique_counts(df, nums) if nums else {}
+    u = at_most(df, dict.fromkeys(nums, discrete_limit - 1))
     data = []
     for c in df.columns:
         dt = df.schema[c].dataType
         if c in u:
-            role = "discrete" if u[c] < discrete_limit else "continuous"
+            role = "continuous" if u[c] is None else "discrete"
         elif is_string(dt):
             role = "categorical"
         elif is_temporal(dt):

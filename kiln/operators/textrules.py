@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions.distinct import at_most
 from kiln.functions.exprs import is_bool, is_numeric, is_string, q
 from kiln.session import ship_package
 
@@ -190,7 +191,6 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
 
     from kiln.functions.exprs import skew_sample
     from kiln.operators.outliers import count_outliers, iqr_bounds
-    from kiln.operators.profile import unique_counts
     nums = [c for c in df.columns if is_numeric(df.schema[c].dataType) and c != target]
     texts = [c for c in df.columns if (is_string(df.schema[c].dataType) or is_bool(df.schema[c].dataType))
              and c != target]
@@ -201,7 +201,7 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
     b = iqr_bounds(df, nums)
     outs = count_outliers(df, b)
     out_share = (max(outs.values()) / n) if outs and n else 0.0
-    u = unique_counts(df, texts) if texts else {}
+    few_levels = None not in at_most(df, dict.fromkeys(texts, 9)).values()
     ratio = None
     if target:
         # smallest / largest class count in one row (a continuous target has one group per value)
@@ -211,7 +211,7 @@ def recommend_config(df: DataFrame, target: str | None = None) -> DataFrame:
         "Fill — mean" if med_skew < 0.5 else "Fill — median",
         "IQR" if n < 1000 else "Z-score",
         "Cap (clip)" if out_share < 0.05 else "Remove rows",
-        "One-Hot Encoding" if all(v < 10 for v in u.values()) else "Label Encoding",
+        "One-Hot Encoding" if few_levels else "Label Encoding",
         0.2 if ratio is None or ratio >= 0.6 else 0.3,
         float(med_skew), float(out_share))]
     return df.sparkSession.createDataFrame(
@@ -229,7 +229,7 @@ def resolve_target_texts(text_df: DataFrame, text_col: str, id_col: str, table:
     make the task supervised; an unsupervised one has no target and no alternatives. Confidence is 1 for a hint,
     that of the score for a scored column, 0 else.
     """
-    from kiln.operators.profile import candidate_targets, unique_counts
+    from kiln.operators.profile import candidate_targets
     cols = table.columns
     t = F.col("_t")
     whole = F.lit(None).cast("string")
@@ -240,10 +240,10 @@ def resolve_target_texts(text_df: DataFrame, text_col: str, id_col: str, table:
     cands = candidate_targets(table, variant="auto") if cols else []
     given = F.lit(hint if hint in cols else None).cast("string")
     chosen = F.coalesce(given, F.col("target"), F.col("_whole"), F.lit(cands[0] if cands else None).cast("string"))
-    # problem type of every column the target can be (one aggregate over the table)
+    # problem type of every column the target can be
     n = table.count()
-    u = unique_counts(table, cols) if cols else {}
-    wide = [c for c in cols if is_numeric(table.schema[c].dataType) and u.get(c, 0) > max(15, int(0.05 * n))]
+    nums = [c for c in cols if is_numeric(table.schema[c].dataType)]
+    wide = [c for c, u in at_most(table, dict.fromkeys(nums, max(15, int(0.05 * n)))).items() if u is None]
     supervised = F.col("target").isNotNull() | F.col("_said")
     task = (F.when(~supervised, "unsupervised").when(chosen.isNull(), F.col("_task"))
             .when(chosen.isin(*wide) if wide else F.lit(False), "regression").otherwise("classification"))
