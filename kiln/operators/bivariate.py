@@ -88,9 +88,10 @@ def sample_rows(df: DataFrame, key_cols: list[str], n: int = 1000, seed: int = 4
     return df.withColumn("_h", seeded_hash(key_cols, seed)).orderBy("_h").limit(n).drop("_h")
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, key_cols: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """The E6 sample projected to the two plotted columns."""
-    return sample_rows(df.select(*key_cols, x, y), key_cols, n, seed).select(*key_cols, x, y)
+def scatter_sample(df: DataFrame, x: str, y: str, key_cols: list[str], n: int | None = None, seed: int = 42) -> DataFrame:
+    """The two plotted columns of all rows, or of the E6 sample of ``n``."""
+    points = df.select(*key_cols, x, y)
+    return points if n is None else sample_rows(points, key_cols, n, seed)
 
 
 def top_values(df: DataFrame, cat: str, k: int) -> DataFrame:
@@ -99,8 +100,8 @@ def top_values(df: DataFrame, cat: str, k: int) -> DataFrame:
 
 
 def restrict_top(df: DataFrame, cat: str, k: int) -> DataFrame:
-    """Rows whose category is among the k most frequent (k-row broadcast semi join)."""
-    return df.join(F.broadcast(top_values(df, cat, k)), cat, "left_semi")
+    """Rows whose category is among the k most frequent; the k names are found once, however often the rows are read."""
+    return df.where(F.col(q(cat)).isin([r[0] for r in top_values(df, cat, k).collect()]))
 
 
 def mean_by_category(df: DataFrame, cat: str, num: str, top: int = 12) -> DataFrame:

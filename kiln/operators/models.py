@@ -74,7 +74,7 @@ def model_registry(problem_type: str, n_train: int, n_classes: int = 2) -> list[
             ModelSpec("Decision Tree", lambda maxDepth=MAX_DEPTH_NONE, minInstancesPerNode=1:
                       DecisionTreeClassifier(maxDepth=maxDepth, minInstancesPerNode=minInstancesPerNode, seed=42),
                       False, GRIDS["tree"]),
-            ModelSpec("Random Forest", lambda numTrees=100, maxDepth=10, minInstancesPerNode=1:
+            ModelSpec("Random Forest", lambda numTrees=100, maxDepth=MAX_DEPTH_NONE, minInstancesPerNode=1:
                       RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth,
                                              minInstancesPerNode=minInstancesPerNode, seed=42),
                       False, GRIDS["forest"]),
@@ -95,7 +95,7 @@ def model_registry(problem_type: str, n_train: int, n_classes: int = 2) -> list[
         ModelSpec("Elastic Net", lambda alpha=1.0, l1_ratio=0.5: LinearRegression(
             regParam=alpha, elasticNetParam=l1_ratio, standardization=False, maxIter=1000),
                   True, {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]}),
-        ModelSpec("Random Forest", lambda numTrees=100, maxDepth=10, minInstancesPerNode=1:
+        ModelSpec("Random Forest", lambda numTrees=100, maxDepth=MAX_DEPTH_NONE, minInstancesPerNode=1:
                   RandomForestRegressor(numTrees=numTrees, maxDepth=maxDepth,
                                         minInstancesPerNode=minInstancesPerNode, seed=42),
                   False, GRIDS["forest"]),

@@ -91,6 +91,11 @@ def q_scatter_sample(spark, sf):
                                     ["l_orderkey", "l_linenumber"], 1000, 42)
 
 
+@register("scatter_points", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
+def q_scatter_points(spark, sf):
+    return bivariate.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
+
+
 TOP12_BRANDS = """(SELECT p_brand FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand
                   ORDER BY count(*) DESC, p_brand ASC LIMIT 12)"""
 
@@ -385,6 +390,22 @@ def q_yeo_johnson(spark, sf):
 
 Q["yeo_johnson"] = q_yeo_johnson
 
+YJ_GIVEN = {"half": 0.5, "zero": 0.0, "two": 2.0, "minus": -1.0}
+
+
+def _yj_sql(lam):
+    pos = "ln(1 + c_acctbal)" if lam == 0 else f"(power(c_acctbal + 1, {lam}) - 1) / ({lam})"
+    neg = "-ln(1 - c_acctbal)" if lam == 2 else f"-(power(1 - c_acctbal, {2 - lam}) - 1) / ({2 - lam})"
+    return f"round(CASE WHEN c_acctbal >= 0 THEN {pos} ELSE {neg} END / 1000, 6)"
+
+
+@register("yeo_johnson_given", "SELECT c_custkey, " + ", ".join(f"{_yj_sql(lam)} AS {c}" for c, lam in YJ_GIVEN.items()) + " FROM customer")
+def q_yeo_johnson_given(spark, sf):
+    """G16's transform at given exponents, the logarithms among them."""
+    c = table(spark, sf, "customer").select("c_custkey", *[F.col("c_acctbal").alias(n) for n in YJ_GIVEN])
+    p = encode.YeoJohnsonParams(YJ_GIVEN, dict.fromkeys(YJ_GIVEN, 0.0), dict.fromkeys(YJ_GIVEN, 1000.0))
+    return _round_doubles(p.transform(c))
+
 
 def q_column_transformer(spark, sf):
     """Ordinal + one-hot + Yeo-Johnson + standard scaling into one vector (rows-only check)."""

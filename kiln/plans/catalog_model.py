@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kiln.operators import evaluate, extras, neighbours, scale, silhouette, split, textrules
+from kiln.operators import evaluate, extras, models, neighbours, scale, silhouette, split, textrules
 from kiln.plans.catalog_prep import _round_doubles
 from kiln.plans.fixtures import table
 
@@ -474,13 +474,31 @@ def q_vif(spark, sf):
 Q["vif"] = q_vif
 
 
-@register("type_repair", """SELECT 'o_orderstatus' AS column_name, count(TRY_CAST(o_orderstatus AS DOUBLE)) / count(o_orderstatus)
-  AS numeric_share, 0.0::DOUBLE AS timestamp_share, 'string' AS suggested FROM orders
-UNION ALL SELECT 'o_orderpriority', count(TRY_CAST(o_orderpriority AS DOUBLE)) / count(o_orderpriority), 0.0::DOUBLE,
-  'string' FROM orders""")
+# every third price is not a number any more, so that the share lies between none and all
+REPAIR_COLS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "price": "CAST(o_totalprice AS STRING)",
+               "day": "CAST(o_orderdate AS STRING)", "mixed": "CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END"}
+
+
+@register("type_repair", "WITH t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in REPAIR_COLS.items()) + " FROM orders)," + """
+s AS (""" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS column_name, count(TRY_CAST({c} AS DOUBLE)) / count({c}) AS numeric_share,
+  count(TRY_CAST({c} AS TIMESTAMP)) / count({c}) AS timestamp_share FROM t""" for c in REPAIR_COLS) + """)
+SELECT column_name, round(numeric_share, 6) AS numeric_share, round(timestamp_share, 6) AS timestamp_share,
+       CASE WHEN numeric_share >= 0.95 THEN 'double' WHEN timestamp_share >= 0.95 THEN 'timestamp' ELSE 'string' END AS suggested FROM s""")
 def q_type_repair(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
-    return extras.type_repair_report(o)
+    o = table(spark, sf, "orders").selectExpr(*[f"{e} AS {c}" for c, e in REPAIR_COLS.items()])
+    return _round_doubles(extras.type_repair_report(o))
+
+
+@register("linear_regression_line", """SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""")
+def q_linear_regression_line(spark, sf):
+    """K6 with one feature, where the fit has a closed form."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows.where("l_quantity IS NOT NULL AND label IS NOT NULL"))
+    spec = next(s for s in models.model_registry("regression", 1) if s.name == "Linear Regression")
+    fit = spec.make().fit(rows)
+    return spark.createDataFrame([(round(float(fit.coefficients[0]), 3), round(float(fit.intercept), 3))], "slope double, intercept double")
 
 
 @register("vif_pair", """WITH r AS (SELECT corr(o_totalprice, o_custkey) AS r FROM orders)

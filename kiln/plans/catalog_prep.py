@@ -69,10 +69,25 @@ GROUP BY c.event_type""")(profile_and_clean_events)
 
 # ---- A: sources -------------------------------------------------------------
 
-@register("read_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+ORDERS_DATE_AS_TEXT = "CAST(o_orderdate AS VARCHAR) AS o_orderdate"
+
+
+def _date_as_text(orders):
+    return orders.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@register("read_table", f"SELECT * REPLACE ({ORDERS_DATE_AS_TEXT}) FROM orders")
 def q_read_table(spark, sf):
-    return io.read_table(spark, f"{sf}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return _date_as_text(io.read_table(spark, f"{sf}/orders.parquet"))
+
+
+@register("row_order", "SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_same FROM orders")
+def q_row_order(spark, sf):
+    """A3 with a generated id: one per row, and the same when the rows are read again."""
+    rows = io.with_row_order(table(spark, sf, "orders"))
+    again = rows.select("_row_id", F.col("o_orderkey").alias("_key"))
+    return rows.join(again, "_row_id").agg(F.count("*").alias("n_rows"), F.countDistinct("_row_id").alias("n_ids"),
+                                           F.count_if(F.col("o_orderkey") == F.col("_key")).alias("n_same"))
 
 
 @register("normalise_missing", """
@@ -142,7 +157,7 @@ register("table_info", with_views("lineitem_nulls") + "\nUNION ALL\n".join(
 
 def _describe_sql():
     nums = ["o_orderkey", "o_custkey", "o_totalprice"]
-    cats = ["o_orderstatus", "o_orderpriority"]
+    cats = ["o_orderstatus", "o_orderpriority", "CAST(o_orderdate AS VARCHAR)"]
     parts = []
     for c in nums:
         parts.append(f"""SELECT '{c}' AS column_name, count({c}) AS count, CAST(NULL AS BIGINT) AS unique,
@@ -151,7 +166,8 @@ def _describe_sql():
           round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
           round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c})::DOUBLE, 6) AS max FROM orders""")
     for c in cats:
-        parts.append(f"""SELECT '{c}' AS column_name, (SELECT count({c}) FROM orders) AS count,
+        name = "o_orderdate" if "o_orderdate" in c else c
+        parts.append(f"""SELECT '{name}' AS column_name, (SELECT count({c}) FROM orders) AS count,
           (SELECT count(DISTINCT {c}) FROM orders) AS unique, v AS top, n AS freq,
           CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min,
           CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p75,
@@ -163,8 +179,7 @@ def _describe_sql():
 
 @register("describe_all", _describe_sql())
 def q_describe_all(spark, sf):
-    o = table(spark, sf, "orders").drop("o_orderdate")
-    return _round_doubles(profile.describe_all(o))
+    return _round_doubles(profile.describe_all(table(spark, sf, "orders")))
 
 
 @register("missing_report", with_views("lineitem_nulls") + """
@@ -295,12 +310,11 @@ def q_fill_mean(spark, sf):
 
 
 @register("fill_auto_drop", with_views("orders_mostly_null") + """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+SELECT * REPLACE (""" + ORDERS_DATE_AS_TEXT + """)
 FROM orders_mostly_null WHERE o_totalprice IS NOT NULL""")
 def q_fill_auto_drop(spark, sf):
-    df = orders_mostly_null(spark, sf).drop("o_orderdate")
-    _, out = clean.fit_fill_auto(df)
-    return out
+    _, out = clean.fit_fill_auto(orders_mostly_null(spark, sf))
+    return _date_as_text(out)
 
 
 @register("fill_auto", with_views("lineitem_nulls") + """,
