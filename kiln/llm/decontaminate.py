@@ -7,8 +7,10 @@ of the smaller counts by the sum of the larger counts.
 1. Only windows that share shingles with the item can pass. The shingles of the items are matched
    against every shingle of every document; a (document, item) pair goes on only if the shared
    shingles weigh enough for 80 % (an exact bound), and with it the windows that reach the bound.
-2. Such windows get a 64-bit SimHash of their words. Word hashes vote in 16 sums of four 16-bit
-   lanes each, so a window's votes are plain sums.
+   Each shared shingle opens and closes a run of window starts; running sums over these events count
+   them, so the work grows with the hits, not with hits times item length.
+2. Such windows get a 64-bit SimHash of their words. Word hashes vote in 32 sums of two 32-bit
+   lanes each, so a window's votes are plain sums, whatever its length.
 3. Multi-index search: fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits agree
    in some block up to ``RADIUS // BLOCKS`` bits. The items' blocks are expanded by all such
    differences, and windows join on the exact block. This misses no fingerprint within the radius.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.common import save, small
@@ -31,8 +33,8 @@ PERCENT = 80
 BLOCKS = 4
 RADIUS = 15
 _BITS = 64 // BLOCKS
-#: One bit of each of the four lanes of a vote sum.
-_LANES = 0x0001000100010001
+#: One bit of each of the two lanes of a vote sum.
+_LANES = 0x0000000100000001
 
 
 def _words(text: Column) -> Column:
@@ -48,18 +50,18 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 def _votes(word: Column) -> list[Column]:
-    """16 longs; lane l of number j is bit j + 16 l of the word's hash."""
+    """32 longs; lane l of number j is bit j + 32 l of the word's hash."""
     h = F.xxhash64(word)
-    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"v{j}") for j in range(16)]
+    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"v{j}") for j in range(32)]
 
 
 def _fingerprint(n: Column) -> Column:
     """A bit is set if more than half of the n words vote for it."""
     out = None
-    for j in range(16):
-        for lane in range(4):
-            votes = F.shiftrightunsigned(F.col(f"v{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = F.when(2 * votes > n, F.shiftleft(F.lit(1).cast("bigint"), j + 16 * lane)).otherwise(F.lit(0).cast("bigint"))
+    for j in range(32):
+        for lane in range(2):
+            votes = F.shiftrightunsigned(F.col(f"v{j}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            bit = F.when(2 * votes > n, F.shiftleft(F.lit(1).cast("bigint"), j + 32 * lane)).otherwise(F.lit(0).cast("bigint"))
             out = bit if out is None else out.bitwiseOR(bit)
     return out
 
@@ -114,12 +116,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             .join(small(grams), ["item", "size", "h"]))
     hits = save(hits.distinct().select("doc_id", "text_key", "item", "n", "all", "m", "at", "size", "h", "weight"), "hits")
     # windows start where the item would, had each shared shingle the item's length behind or ahead
-    starts = hits.select("doc_id", "text_key", "item", "n", "all", "m", "size", "at", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.least(F.col("at") + F.col("size") - F.col("n"), F.col("m") - F.col("n"))),
-        F.greatest(F.lit(0), F.least(F.col("at"), F.col("m") - F.col("n"))))).alias("start"))
-    windows = (starts.groupBy("doc_id", "text_key", "item", "n", "all", "m", "start").agg(F.count("*").alias("hits"))
-               .where(f"100 * hits >= {PERCENT} * all"))
-    windows = save(windows.withColumn("len", F.least("n", "m")), "windows")
+    pair = ["doc_id", "text_key", "item", "n", "all", "m"]
+    first = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size") - F.col("n"), F.col("m") - F.col("n")))
+    last = F.greatest(F.lit(0), F.least(F.col("at"), F.col("m") - F.col("n")))
+    event = lambda at, by: F.struct(at.alias("start"), F.lit(by).alias("by"))
+    events = hits.select(*pair, F.inline(F.array(event(first, 1), event(last + 1, -1)))).groupBy(*pair, "start").agg(F.sum("by").alias("by"))
+    along = Window.partitionBy("doc_id", "text_key", "item").orderBy("start")  # one document's events
+    runs = events.select(*pair, "start", F.sum("by").over(along).alias("hits"), F.lead("start").over(along).alias("until"))
+    # shared <= hits, and total = own + all - shared, so a window at PERCENT has at least this many hits
+    runs = (runs.withColumn("len", F.least("n", "m")).withColumn("own", F.greatest(F.col("len") - F.least("n", F.lit(SHINGLE)) + 1, F.lit(1)))
+            .where(f"{100 + PERCENT} * hits >= {PERCENT} * (own + all)"))
+    windows = save(runs.select(*pair, "len", "hits", F.explode(F.sequence("start", F.col("until") - 1)).alias("start")), "windows")
     texts_of = texts.join(small(windows.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()),
                           F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     w, t = windows.alias("w"), texts_of.alias("t")

@@ -152,6 +152,26 @@ def test_leaks_match_brute_force(spark):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in {k[0] for k in want})
 
 
+def test_long_items_and_dense_copies(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    long = [word() for _ in range(400)]
+    edited = [w if i % 60 else word() for i, w in enumerate(long)]
+    half = long[:200] + [word() for _ in range(200)]
+    items = [(1, " ".join(long)), (2, "la le " * 60)]
+    docs = [(1, " ".join(long + edited + [word() for _ in range(30)] + long)), (2, " ".join(half)), (3, " ".join(long[15:])),
+            (4, "la le " * 150), (5, "la le " * 55), (6, " ".join(long[100:] + long[:100]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.shared, r.total) for r in D.contaminated_windows(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == brute_leaks(docs, items) and {(1, 1), (4, 2), (5, 2)} <= set(got) and (2, 1) not in got
+
+
+def test_votes_of_very_long_windows(spark):
+    votes = spark.range(140_000).select(F.lit("word").alias("w")).agg(*D._votes(F.col("w")), F.count("*").alias("len"))
+    got, want = votes.select(D._fingerprint(F.col("len")), F.xxhash64(F.lit("word"))).first()
+    assert got == want
+
+
 def test_block_search_finds_every_print_within_the_radius():
     rng = random.Random(0)
     for _ in range(300):
