@@ -103,3 +103,54 @@ def test_components_of_paths_stars_and_lone_nodes(spark):
     assert len({got[k] for k in range(201)}) == 1 and len({got[500 + k] for k in range(80)}) == 1
     assert got[300] == 300 and got[900] == 900 and len(set(got.values())) == 4 and len(got) == len(nodes)
     assert np.isin(list(got.values()), nodes).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("dim", [2, 20])
+def test_nearest_rows_of_equal_vectors_and_of_ids_that_repeat(spark, monkeypatch, metric, dim):
+    """Few distinct vectors with many rows each: searched once per vector, and no copy meets all others."""
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 16 * (dim * 8 + 16))
+    r = random.Random(dim)
+    kinds = [[float(r.randrange(-3, 4)) for _ in range(dim)] for _ in range(30)]
+    rows = [(i // 2 if i < 20 else i, kinds[r.randrange(30)], float(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "_tid bigint, _tv array<double>, _tlabel double")
+    searched = []
+    search = nearest._search
+    monkeypatch.setattr(nearest, "_search", lambda q, t, *rest: (searched.append((q.count(), t.count())), search(q, t, *rest))[1])
+    got = {}
+    for x in nearest.nearest_rows(df.select(F.col("_tid").alias("_qid"), F.col("_tv").alias("_qv")), df, 3, True, metric).collect():
+        got.setdefault(x["_qid"], []).append((round(x["_dist"], 9), x["_tid"]))
+    dist = (lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True))) if metric == "manhattan" else math.dist
+    want = {}
+    for i, v, _ in rows:
+        want.setdefault(i, []).extend(sorted((round(dist(v, w), 9), j) for j, w, _ in rows if j != i)[:3])
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x)[:3] for i, x in want.items()}
+    assert searched[0][0] <= 30 + 20 and searched[0][1] <= 30 * 8
+
+
+def test_nearest_rows_of_few_dimensions_use_small_blocks(spark, monkeypatch):
+    """A row meets about the root of the rows, not all those that fit into one task's memory."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 8)
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, [r.random() * 1000], 0.0) for i in range(2000)], "_tid bigint, _tv array<double>, _tlabel double")
+    met = []
+    meet = nearest._meet
+    monkeypatch.setattr(nearest, "_meet", lambda v, b, *rest: (met.append((v.select(F.sum(F.size("_blocks"))).first()[0], b.select("_block").distinct().count())), meet(v, b, *rest))[1])
+    nearest.nearest_rows(df.select(F.col("_tid").alias("_qid"), F.col("_tv").alias("_qv")), df, 3, True).count()
+    assert met[0][1] >= 15 and sum(v for v, _ in met) <= 4 * 2000
+
+
+def test_package_is_shipped_once_by_threads(spark, monkeypatch):
+    import threading
+    import time
+
+    from kiln import session
+    calls, gate = [], threading.Barrier(6)
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: (time.sleep(0.3), calls.append(path)))
+    threads = [threading.Thread(target=lambda: (gate.wait(), session.ship_package(spark))) for _ in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(calls) == 1
