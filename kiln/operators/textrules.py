@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.distinct import at_most
 from kiln.functions.exprs import is_bool, is_numeric, is_string, q
-from kiln.session import ship_package
+from kiln.session import saved, ship_package
 
 # Keyword lists that decide the learning and task type.
 UNSUPERVISED_WORDS = ["cluster", "segmentation", "segment", "anomaly", "grouping", "pattern"]
@@ -32,6 +32,8 @@ CLASSIFICATION_WORDS = ["class", "label", "churn", "fraud", "default", "approve"
 STRONG_SUPERVISED_WORDS = ["predict", "forecast", "estimate", "classify", "classification", "regression", "target",
                            "label", "outcome"]
 WORD_PATTERN = r"[a-zA-Z_]+"
+#: So many words that are like a column's name are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _any_contains(text: Column, words: list[str]) -> Column:
@@ -151,7 +153,9 @@ def score_target_columns(text_df: DataFrame, text_col: str, id_col: str, columns
     clues = _clues(columns)
     number = {c: i for i, c in enumerate(clues)}
     words = base.select(F.md5("_t").alias("_k"), F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(f"({WORD_PATTERN})")))).alias("word"))
-    known = words.select("word").distinct().mapInPandas(_matches(clues), "word string, c int")
+    known = saved(words.select("word").distinct(), "vocabulary").mapInPandas(_matches(clues), "word string, c int")
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then no word of a text is shuffled
+        known = F.broadcast(known)
     seen = words.join(known, "word").groupBy("_k").agg(F.collect_set("c").alias("_seen"))
     rows = flat.join(seen, F.col("_key") == F.col("_k"), "left").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<int>")))
 

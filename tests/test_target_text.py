@@ -86,3 +86,15 @@ def test_numeric_column_without_values_is_a_candidate(spark):
     from kiln.operators.profile import candidate_targets
     df = spark.createDataFrame([(None, i * 1.0) for i in range(40)], "empty int, price double")
     assert candidate_targets(df, variant="auto") == ["empty"]
+
+
+def test_words_of_the_texts_are_not_shuffled_for_their_clues(spark, monkeypatch):
+    """The words that point at a column are few: they go to the texts, by any of both joins with the same result."""
+    from kiln.operators import textrules
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["the price of it", "order status pric", "nothing", None, "o_status o_status"] * 4)], "id int, text string")
+    found = textrules.score_target_columns(df, "text", "id", ["o_status", "price"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    few = sorted(map(str, found.collect()))
+    monkeypatch.setattr(textrules, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, textrules.score_target_columns(df, "text", "id", ["o_status", "price"]).collect())) == few
