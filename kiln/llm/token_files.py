@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm.common import ROW_GROUP_BYTES, ready, save, small
-from kiln.llm.tokens import encoder, text_slices
+from kiln.llm.tokens import encoder, forget_encoders, text_slices
 
 #: The dictionary is trained on so many documents (those of the smallest id hashes), on this many bytes of each.
 SAMPLE = 512
@@ -102,6 +102,7 @@ def _to_blocks(dict_hash: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_encoders()
         shard, block, place = TaskContext.get().partitionId(), 0, 0
         ids, frames, counts = [], [], []
 
@@ -164,6 +165,7 @@ def _decoded(dictionary: bytes, kind: str, code: int, digest: bool, wanted: Sequ
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        forget_encoders()
         press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
             for first, used, index, data in zip(*(batch.column(k).to_pylist() for k in ("before", "dict_hash", "index", "data")), strict=True):

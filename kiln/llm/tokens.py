@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer surely starts anew, so that ids of the parts are the ids of
 the whole: into the pre-tokens of a byte-level pre-tokenizer, where a text has only ASCII and Latin
 letters; else before a run of ASCII white space that follows something else; or at the white space
-itself (pre-tokenizers that drop it). Single pre-tokens go straight to the library's model. Each
+itself (pre-tokenizers that drop it). Single pre-tokens, and the pre-tokens of a new word of common
+letters, go straight to the library's model. Each
 worker keeps the ids of the stretches that it has met. Texts with rarer white space, and other
 tokenizers, go whole.
 """
@@ -30,6 +31,10 @@ LONGEST = 64
 #: The byte-level pre-tokens of texts without other characters than ASCII and the letters U+00C0 to U+023F.
 _PRETOKEN = re.compile(rb"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9\x80-\xff]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 _FOREIGN = re.compile(rb"[\xc2\xc9-\xff]|\xc3[\x97\xb7]")
+#: The pre-tokens of a word-level pattern, for lower-cased words of visible ASCII and the letters U+00C0 to U+00FF.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_IN_WORDS = re.compile(rb"\n|'(?:s|t|re|ve|m|ll|d)|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+")
 _STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space of Unicode beyond ASCII, and separators on which definitions differ.
 _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
@@ -42,6 +47,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+def _gather(which: np.ndarray, ids: array, ends: array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the kept parts ``which`` end to end, and how many each has. (The arrays cannot grow while they
+    are looked at: the views end here.)"""
+    last = np.frombuffer(ends, dtype=np.int64)
+    pool = np.frombuffer(ids, dtype=np.uint32) if len(ids) else np.zeros(0, np.uint32)
+    sizes = last[which + 1] - last[which]
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return pool[np.repeat(last[which] - (upto - sizes), sizes) + np.arange(total)], sizes
+
+
 class Encoder:
     """Encodes texts with the tokenizer file at ``path``; no special tokens are added."""
 
@@ -50,6 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.token_at: dict[bytes, int] = {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
@@ -58,7 +76,8 @@ class Encoder:
         parts = pre.get("pretokenizers", [pre])
         self.special = [t["content"].encode() for t in kind["added_tokens"]]
         self.letters = {b: c for b, c in byte_letters().items()}
-        self.cut = None
+        self.cut, self.words = None, False
+        self.unsafe = re.compile(b"|".join(map(re.escape, self.special)) or rb"(?!)")
         if not loose and kind["model"]["type"] == "BPE":
             if kind["normalizer"] is None and [p.get("type") for p in parts] == ["ByteLevel"] and parts[0]["use_regex"] and not parts[0]["add_prefix_space"]:
                 self.cut = "before"
@@ -66,6 +85,7 @@ class Encoder:
                   and [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
                   and r"\s" not in parts[0]["pattern"]["Regex"].replace(r"[^\s", "")):
                 self.cut = "drop"
+                self.words = parts[0]["pattern"]["Regex"] == _WORDS and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"] and all(b"<" in t for t in self.special)
         self._clear()
 
     def _clear(self) -> None:
@@ -77,6 +97,25 @@ class Encoder:
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
 
+    def _compose(self, words: list[bytes]) -> None:
+        """Keep the ids of words without white space, as those of their pre-tokens one after another."""
+        if len(self.token_at) > KEEP or not self.token_at:  # a line break stands between words and has no ids
+            self.token_at, self.token_ids, self.token_ends = {b"\n": 0}, array("I"), array("q", [0, 0])
+        parts = _IN_WORDS.findall(b"\n".join(words).decode("utf-8").lower().encode())
+        which = np.fromiter(map(self.token_at.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        missing, token_id = np.flatnonzero(which < 0).tolist(), attrgetter("id")
+        for t in dict.fromkeys(map(parts.__getitem__, missing)):
+            letters = t.decode("ascii") if t.isascii() else t.decode("latin-1").translate(self.letters)
+            self.token_ids.extend(map(token_id, self.model.tokenize(letters)))
+            self.token_at[t] = len(self.token_ends) - 1
+            self.token_ends.append(len(self.token_ids))
+        which[missing] = [self.token_at[parts[i]] for i in missing]
+        ids, sizes = _gather(which, self.token_ids, self.token_ends)
+        ends = np.append(np.cumsum(sizes)[which == 0], len(ids)) + len(self.ids)
+        self.at.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
+        self.ids.frombytes(ids.tobytes())
+        self.ends.frombytes(ends[:len(words)].astype(np.int64).tobytes())
+
     def _parts(self, text: bytes) -> list[bytes]:
         if self.cut == "drop":
             return text.split()
@@ -113,12 +152,16 @@ class Encoder:
         missing = np.flatnonzero(which < 0).tolist()
         new = list(dict.fromkeys(map(flat.__getitem__, missing)))
         if self.cut == "before":
-            whole, model, token_id = [], self.tokenizer.model, attrgetter("id")
+            whole, model, token_id = [], self.model, attrgetter("id")
             for p in new:
                 if _PRETOKEN.fullmatch(p) and not _FOREIGN.search(p):
                     self._keep(p, list(map(token_id, model.tokenize(p.decode("latin-1").translate(self.letters)))))
                 else:
                     whole.append(p)
+        elif self.words:
+            known = [p for p in new if _PLAIN.fullmatch(p) and not (b"<" in p and self.unsafe.search(p))]
+            whole = [] if len(known) == len(new) else list(set(new).difference(known))
+            self._compose(known)
         else:
             whole = new
         for i in range(0, len(whole), 4096):
@@ -126,15 +169,9 @@ class Encoder:
             for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False), strict=True):
                 self._keep(p, e.ids)
         which[missing] = [self.at[flat[i]] for i in missing]
-        ends = np.frombuffer(self.ends, dtype=np.int64)
-        pool = np.frombuffer(self.ids, dtype=np.uint32) if len(self.ids) else np.zeros(0, np.uint32)
-        sizes = ends[which + 1] - ends[which]
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = pool[np.repeat(ends[which] - (upto - sizes), sizes) + np.arange(total)]
+        ids, sizes = _gather(which, self.ids, self.ends)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.array([0, *sizes_of], dtype=np.int64)
-        upto = np.concatenate([[0], upto])
-        del ends, pool  # the arrays cannot grow while they are looked at
         for p in [p for p in new if len(p) > LONGEST]:
             del self.at[p]
         return ids, np.diff(upto[bounds])
@@ -150,6 +187,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Free this process's tokenizers and what they keep: a worker that is used again for other work
+    would hold them beside it."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def text_slices(column: pa.Array, limit: int = 1 << 20):
     """(first row, texts as UTF-8) of runs of rows of about ``limit`` bytes; a null is empty."""
     if column.null_count:

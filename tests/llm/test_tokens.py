@@ -137,3 +137,28 @@ def test_local_search_empties_a_bin():
     # best-fit decreasing takes 3 bins for what fits 2
     lengths = [6, 6, 5, 4, 4, 5]
     assert len(packing.pack(lengths, 15)) == 2
+
+
+def test_new_words_do_not_go_through_the_whole_library_pipeline():
+    """Words of common letters go to the model by their pre-tokens; the rest, as special strings, to the library."""
+    enc = Encoder(WORD)
+    texts = ["Don't STOP'S ''re a'll,x'D 12a3 ÀÉÿß## O'REILLY zzyqk,%%", "<|endoftext|>a œuf ×2 \x1cb", "<|ENDOFTEXT|>"]
+    asked = []
+    library = enc.tokenizer
+
+    class Asked:
+        def encode_batch_fast(self, some, **how):
+            asked.extend(some)
+            return library.encode_batch_fast(some, **how)
+    enc.tokenizer = Asked()
+    ids, counts = enc.encode([t.encode() for t in texts], 0)
+    want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert set(asked) == {"<|endoftext|>a", "œuf", "×2", "\x1cb"}
+
+
+def test_workers_of_the_block_stage_hold_no_tokenizer(monkeypatch):
+    from kiln.llm import tokens
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    tokens.encoder(BYTE)
+    assert list(token_files._decoded(b"", "<u2", 0, True)(iter([]))) == [] and tokens._ENCODERS == {}
