@@ -153,9 +153,15 @@ class Encoder:
         new = list(dict.fromkeys(map(flat.__getitem__, missing)))
         if self.cut == "before":
             whole, model, token_id = [], self.model, attrgetter("id")
+            at, flat_ids, ends = self.at, self.ids, self.ends
             for p in new:
-                if _PRETOKEN.fullmatch(p) and not _FOREIGN.search(p):
-                    self._keep(p, list(map(token_id, model.tokenize(p.decode("latin-1").translate(self.letters)))))
+                ascii = p.isascii()
+                if _PRETOKEN.fullmatch(p) and (ascii or not _FOREIGN.search(p)):
+                    letters = p.decode("latin-1")
+                    letters = letters.replace(" ", self.letters[32]) if ascii and letters.isprintable() else letters.translate(self.letters)
+                    at[p] = len(ends) - 1
+                    flat_ids.extend(map(token_id, model.tokenize(letters)))
+                    ends.append(len(flat_ids))
                 else:
                     whole.append(p)
         elif self.words:

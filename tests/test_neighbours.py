@@ -154,3 +154,12 @@ def test_package_is_shipped_once_by_threads(spark, monkeypatch):
     for t in threads:
         t.join()
     assert len(calls) == 1
+
+
+def test_nearest_rows_without_a_label_or_a_number(spark):
+    ref = spark.createDataFrame([(1, [0.0], None), (2, [1.0], 3.0), (3, [5.0], 4.0)], "_tid bigint, _tv array<double>, _tlabel double")
+    q = spark.createDataFrame([(9, [0.1])], "_qid bigint, _qv array<double>")
+    got = nearest.nearest_rows(q, ref, 2).orderBy("_rank").collect()
+    assert [x["_tid"] for x in got] == [1, 2] and math.isnan(got[0]["_tlabel"]) and got[1]["_tlabel"] == 3.0
+    more = ref.unionByName(spark.createDataFrame([(4, [None], 1.0)], ref.schema))
+    assert nearest.nearest_rows(q, more, 2).collect() == []  # as ever: no bounds in a block with a row that is no point
