@@ -24,9 +24,12 @@ METRICS = ("euclidean", "squared")
 PIVOTS = 64
 #: Cells whose means are broadcast at once; more are met in several passes.
 CELL_BYTES = 8 << 20
-#: Rows of a cluster that one task scans, and points that meet them there.
+#: Rows of a cluster that one group scans, and points that meet them there, at most; groups a core to aim at.
 BLOCK_BYTES = 16 << 20
-POINT_ROWS = 16_384
+POINT_ROWS = 65_536
+GROUPS_PER_CORE = 8
+#: Points and rows whose distances are held at once: they stay in a core's cache.
+TILE = (128, 1024)
 #: Share by which bounds are widened against rounding.
 SLACK = 1e-9
 
@@ -114,18 +117,32 @@ def _targets(held):
     return work
 
 
+def _distance_sums(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For every row of ``x`` the sum of its distances to the rows of ``m``. One product gives
+    |x|^2 - 2 x m + |m|^2 of a tile, and all further steps meet it in the cache."""
+    ones = np.ones((max(len(x), len(m)), 1))
+    left = np.hstack([-2.0 * x, (x * x).sum(axis=1)[:, None], ones[:len(x)]])
+    right = np.hstack([m, ones[:len(m)], (m * m).sum(axis=1)[:, None]])
+    out = np.zeros(len(x))
+    for j in range(0, len(m), TILE[1]):
+        part = np.ascontiguousarray(right[j:j + TILE[1]].T)
+        tile = np.empty((min(TILE[0], len(x)), part.shape[1]))
+        for s in range(0, len(x), TILE[0]):
+            q = left[s:s + TILE[0]]
+            d = np.matmul(q, part, out=tile[:len(q)])
+            np.maximum(d, 0.0, out=d)
+            np.sqrt(d, out=d)
+            out[s:s + TILE[0]] += d.sum(axis=1)
+    return out
+
+
 def _sums(points: pa.Table, rows: pa.Table) -> pa.Table:
     """For every point of a chunk the sum of its distances to the rows of one block."""
     if not points.num_rows or not rows.num_rows:
         return pa.table([points.column("_id").slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["_id", "_to", "_sum"])
     x, m = vectors(points.column("_v")), vectors(rows.column("_v"))
     centre = m.mean(axis=0)  # products near the rows' own mean lose fewer digits
-    x, m = x - centre, m - centre
-    out = np.empty(len(x))
-    step = max(1, (4 << 20) // len(m))
-    for s in range(0, len(x), step):
-        out[s:s + step] = distances(x[s:s + step], m, "euclidean").sum(axis=1)
-    return pa.table([points.column("_id"), points.column("_to"), pa.array(out)], names=["_id", "_to", "_sum"])
+    return pa.table([points.column("_id"), points.column("_to"), pa.array(_distance_sums(x - centre, m - centre))], names=["_id", "_to", "_sum"])
 
 
 def _cell_rows(points: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
@@ -192,18 +209,24 @@ def silhouette(df: DataFrame, id_col: str, vec: str | list[str], cluster: str, m
         wanted = part if wanted is None else wanted.unionByName(part)
     wanted = saved(wanted.select("_id", "_v", F.explode("_to").alias("_to")), "wanted")
 
-    per_block = max(1, BLOCK_BYTES // (dim * 8 + 16))
-    asked = wanted.groupBy("_to").agg(F.ceil(F.count("*") / POINT_ROWS).cast("int").alias("_chunks"))
-    plan = saved(sizes.withColumnRenamed("_c", "_to").join(asked, "_to")
-                 .withColumn("_blocks", F.ceil(F.col("_n") / per_block).cast("int")), "plan")  # a row per cluster
+    asked = saved(sizes.withColumnRenamed("_c", "_to").join(wanted.groupBy("_to").agg(F.count("*").alias("_asked")), "_to"), "asked")
+    # square groups, several a core, whatever the rows' bytes: Spark would join small partitions to one task
+    cores = spark.sparkContext.defaultParallelism
+    pairs = asked.agg(F.sum(F.col("_asked").cast("double") * F.col("_n"))).first()[0]
+    side = max(256, math.ceil(math.sqrt(pairs / (GROUPS_PER_CORE * cores))))
+    per_block = max(1, min(side, BLOCK_BYTES // (dim * 8 + 16)))
+    per_chunk = max(1, min(side, POINT_ROWS))
+    plan = saved(asked.select("_to", F.ceil(F.col("_asked") / per_chunk).cast("int").alias("_chunks"),
+                              F.ceil(F.col("_n") / per_block).cast("int").alias("_blocks")), "plan")  # a row per cluster
+    groups = plan.agg(F.sum(F.col("_chunks").cast("bigint") * F.col("_blocks"))).first()[0]
+    tasks = max(1, min(groups, 10_000, max(4 * cores, groups // 8)))
     keys = ["_to", "_block", "_chunk"]
     place = lambda by: F.pmod(F.xxhash64("_id"), F.col(by)).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
     left = wanted.join(plan, "_to").withColumn("_chunk", place("_chunks")).withColumn("_block", each("_blocks"))
     right = points.withColumnRenamed("_c", "_to").join(plan, "_to").withColumn("_block", place("_blocks")).withColumn("_chunk", each("_chunks"))
-    found = (left.select(*keys, "_id", "_v").groupBy(*keys)
-             .cogroup(right.select(*keys, "_id", "_v").groupBy(*keys))
-             .applyInArrow(_sums, f"_id {id_type}, _to double, _sum double"))
+    deal = lambda d: d.select(*keys, "_id", "_v").repartition(tasks, *keys).groupBy(*keys)
+    found = deal(left).cogroup(deal(right)).applyInArrow(_sums, f"_id {id_type}, _to double, _sum double")
     sums = found.groupBy("_id", "_to").agg(F.sum("_sum").alias("_sum"))
     own = F.col("_to") == F.col("_c")
     per = (sums.join(sizes.withColumnRenamed("_c", "_to"), "_to").join(points.select("_id", "_c"), "_id")

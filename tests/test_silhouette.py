@@ -83,3 +83,11 @@ def test_edge_cases(spark):
     assert same["silhouette"] == pytest.approx(0.0)
     with pytest.raises(ValueError, match="metric"):
         sil.silhouette(frame(spark, np.eye(2), [0, 1]), "id", "v", "c", "cosine")
+
+
+def test_distance_sums_are_dealt_by_work_not_bytes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, p.tolist(), int(i % 3)) for i, p in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "id int, v array<double>, c int")
+    plan = sil.silhouette(df, "id", "v", "c")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan  # Spark would join the small partitions to one task
