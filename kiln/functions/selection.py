@@ -256,7 +256,8 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     Job 1 is one aggregate: the non-null count and a ladder of ``percentile_approx`` probes
     around every p. Job 2 is one grouped count over the values inside each bracket (rows below a
     bracket collapse to one flagged group per target), collected only when its size bound
-    ``2 * (d + 1/ACCURACY) * n + 3`` rows per target is below ``COLLECT_CAP``. The pick itself
+    ``2 * (d + 1/ACCURACY) * n + 3`` rows per target is below ``COLLECT_CAP``; targets that pass it only
+    together are collected in several rounds. The pick itself
     uses the counts, so a bracket that misses its ranks is detected and the caller falls back
     to the distributed selector.
     """
@@ -272,7 +273,7 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         F.count(x[c]).alias(f"n{i}"), F.percentile_approx(x[c], ladder, ACCURACY).alias(f"q{i}"))]).first()
     at = {q: j for j, q in enumerate(ladder)}
 
-    targets, total = [], 0  # (column index, p, lo or None, hi or None, n)
+    targets, total, rounds = [], 0, 0  # (column index, p, lo or None, hi or None, n, round)
     for i, c in enumerate(cols):
         n = int(r[f"n{i}"])
         if n == 0:
@@ -289,16 +290,18 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 lo = grid[at[lo_q]] if lo_q > 0.0 else None
                 hi = grid[at[hi_q]] if hi_q < 1.0 else None
                 bound = 2 * (d + 1) * n / ACCURACY + 3
-            total += bound  # what all targets bring to the driver together
-            if bound > cap or total > COLLECT_CAP:
+            if bound > min(cap, COLLECT_CAP):
                 return None
-            targets.append((i, p, lo, hi, n))
+            total += bound  # what a round's targets bring to the driver together
+            if total > COLLECT_CAP:
+                total, rounds = bound, rounds + 1
+            targets.append((i, p, lo, hi, n, rounds))
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
     if not targets:
         return out
 
-    elems = []
-    for t, (i, p, lo, hi, n) in enumerate(targets):
+    elems: list[list] = [[] for _ in range(rounds + 1)]
+    for t, (i, _, lo, hi, _, _) in enumerate(targets):
         v = x[cols[i]]
         inside = v.isNotNull()
         if lo is not None:
@@ -309,34 +312,36 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         if lo is not None:
             e = F.when(v < F.lit(lo), F.struct(F.lit(t).alias("t"), F.lit(True).alias("b"),
                                                F.lit(None).cast("double").alias("v"))).otherwise(e)
-        elems.append(e)
-    # explode then a plain filter: both stay in whole-stage codegen (a lambda filter would not)
-    counts = (df.select(F.explode(F.array(*elems)).alias("e")).where(F.col("e").isNotNull())
-              .select("e.t", "e.b", "e.v")
-              .groupBy("t", "b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
-
-    below = [0] * len(targets)
-    vals: list[list[tuple[float, int]]] = [[] for _ in targets]
-    for row in counts:
-        if row["b"]:
-            below[row["t"]] += row["c"]
-        else:
-            vals[row["t"]].append((row["v"], row["c"]))
-    for t, (i, p, lo, hi, n) in enumerate(targets):
-        k0, k1, frac = _pos(p, n)
-        ordered = sorted(vals[t], key=lambda vc: (vc[0] != vc[0], vc[0]))  # NaN sorts last, as in Spark
-        inside_n = sum(c for _, c in ordered)
-        if not (below[t] <= k0 and k1 < below[t] + inside_n):
-            return None
+        elems[targets[t][5]].append(e)
+    for turn, some in enumerate(elems):
+        # explode then a plain filter: both stay in whole-stage codegen (a lambda filter would not)
+        counts = (df.select(F.explode(F.array(*some)).alias("e")).where(F.col("e").isNotNull())
+                  .select("e.t", "e.b", "e.v")
+                  .groupBy("t", "b", "v").agg(F.count(F.lit(1)).alias("c")).collect())
+        below = [0] * len(targets)
+        vals: list[list[tuple[float, int]]] = [[] for _ in targets]
+        for row in counts:
+            if row["b"]:
+                below[row["t"]] += row["c"]
+            else:
+                vals[row["t"]].append((row["v"], row["c"]))
+        for t, (i, p, _, _, n, at_turn) in enumerate(targets):
+            if at_turn != turn:
+                continue
+            k0, k1, frac = _pos(p, n)
+            ordered = sorted(vals[t], key=lambda vc: (vc[0] != vc[0], vc[0]))  # NaN sorts last, as in Spark
+            inside_n = sum(c for _, c in ordered)
+            if not (below[t] <= k0 and k1 < below[t] + inside_n):
+                return None
 
-        def kth(k, ordered=ordered, base=below[t]):
-            cum = base
-            for v, c in ordered:
-                cum += c
-                if k < cum:
-                    return v
-        v0, v1 = kth(k0), kth(k1)
-        out[cols[i]][round(p, 12)] = v0 if frac == 0 else v0 + frac * (v1 - v0)
+            def kth(k, ordered=ordered, base=below[t]):
+                cum = base
+                for v, c in ordered:
+                    cum += c
+                    if k < cum:
+                        return v
+            v0, v1 = kth(k0), kth(k1)
+            out[cols[i]][round(p, 12)] = v0 if frac == 0 else v0 + frac * (v1 - v0)
     return out
 
 

@@ -15,16 +15,20 @@ from kiln.operators.univariate import box_stats, kde
 
 
 WIDE_CORR = 60
+FEW_CORR = 6
 
 
 def corr_long(df: DataFrame, cols: list[str], include_diagonal: bool = True, mirror: bool = True) -> DataFrame:
     """Pearson r per column pair, pairwise-complete; NULL when a side is constant.
 
-    Long form ``(col_a, col_b, pos_a, pos_b, r)``. Up to WIDE_CORR columns: guarded expressions
-    in one aggregate; wider: per-partition Gram sums (``corr_long_gram``).
+    Long form ``(col_a, col_b, pos_a, pos_b, r)``. Up to FEW_CORR columns: guarded expressions
+    in one aggregate; up to WIDE_CORR: products of the complete columns (``corr_long_complete``); wider:
+    per-partition Gram sums (``corr_long_gram``).
     """
     if len(cols) > WIDE_CORR:
         return corr_long_gram(df, cols, include_diagonal, mirror)
+    if len(cols) > FEW_CORR:
+        return corr_long_complete(df, cols, include_diagonal, mirror)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     parts = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
                       F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
@@ -152,6 +156,49 @@ def group_mean_top(df: DataFrame, cat: str, num: str, k: int = 10) -> DataFrame:
     return g.orderBy(F.desc("mean_value"), F.asc(cat)).limit(k)
 
 
+def corr_long_complete(df: DataFrame, cols: list[str], include_diagonal: bool = True, mirror: bool = True) -> DataFrame:
+    """E1 for some columns: pairs of complete, finite columns come from one sum of centred products per partition
+    (k x k numbers each); only pairs with another column need the guarded expressions, which grow with the pairs."""
+    import numpy as np
+    import pyarrow as pa
+    k = len(cols)
+    x = [F.col(q(c)).cast("double") for c in cols]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(x) for e in (
+        F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
+    whole = [i for i in range(k) if r["n"] and r[f"n{i}"] == r["n"] and np.isfinite([r[f"lo{i}"], r[f"hi{i}"], r[f"m{i}"]]).all()]
+    shift = np.array([r[f"m{i}"] for i in whole])
+
+    def products(batches):
+        total = np.zeros((len(shift), len(shift)))
+        for batch in batches:
+            if batch.num_rows:
+                a = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+                total += a.T @ a
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(shift), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "p"])
+
+    g = np.zeros((k, k))
+    if whole:
+        part = df.select(*[x[i].alias(f"c{i}") for i in whole]).mapInArrow(products, "i int, p array<double>")
+        for row in part.groupBy("i").agg(F.array(*[F.sum(F.col("p")[j]) for j in range(len(whole))]).alias("p")).collect():
+            g[whole[row["i"]], whole] = row["p"]
+    pairs = [(i, j) for i in range(k) for j in range(i + (not include_diagonal), k)]
+    found = {}
+    for i, j in pairs:
+        if i in whole and j in whole:
+            flat = r[f"lo{i}"] == r[f"hi{i}"] or r[f"lo{j}"] == r[f"hi{j}"] or not g[i, i] * g[j, j] > 0
+            found[i, j] = None if flat else 1.0 if i == j else float(g[i, j] / (np.sqrt(g[i, i]) * np.sqrt(g[j, j])))
+    left = [p for p in pairs if p not in found]
+    if left:
+        # r(x, x) is 1 unless x is constant or has fewer than two values
+        row = df.agg(*[(F.when(F.stddev_samp(x[i]) > 0, F.lit(1.0)) if i == j else pair_corr(x[i], x[j])).alias(str(t))
+                       for t, (i, j) in enumerate(left)]).first()
+        found |= {p: row[t] for t, p in enumerate(left)}
+    rows = [(cols[i], cols[j], i, j, found[i, j]) for i, j in pairs]
+    if mirror:
+        rows += [(b, a, j, i, v) for a, b, i, j, v in rows if i != j]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, r double")
+
+
 def corr_long_gram(df: DataFrame, cols: list[str], include_diagonal: bool = True, mirror: bool = True) -> DataFrame:
     """E1 for wide inputs: each partition emits pairwise-complete sums (n, Sx, Sxx, Sxy per ordered
     pair, columns shifted by their means for stability); one groupBy sums them; the k x k result

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.exprs import is_numeric
 from kiln.operators import clean, encode, outliers, profile, select, split
-from kiln.session import cut_lineage
+from kiln.session import cut_lineage, saved
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def prepare(df: DataFrame, config: PrepConfig = PrepConfig(), target: str | None
             out.fill = p
         elif step == "duplicates":
             n0 = cur.count()
-            cur = cut_lineage(clean.drop_duplicates(cur))
+            cur = saved(clean.drop_duplicates(cur), "distinct")  # a checkpoint is computed twice
             out.duplicates_removed = n0 - cur.count()
         elif step == "outliers":
             nums = [c for c in cur.columns if is_numeric(cur.schema[c].dataType) and c not in protect]
