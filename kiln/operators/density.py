@@ -2,7 +2,9 @@
 
 Two grids. Points of one fine cell (side eps / sqrt(dimensions), all dimensions) are within eps of each
 other: a fine cell with ``min_samples`` points is all core, and the core points of a fine cell are
-one node of the cluster graph, so a dense spot costs one node and no pairs. The coarse grid (up to
+one node of the cluster graph, so a dense spot costs one node and no pairs. Fine cells are linked by
+their outermost core points first (two a dimension); all core points meet only for pairs of cells whose boxes
+are within eps and that are still in different components, so dense data is not met pair by pair. The coarse grid (up to
 ``GRID_DIMS`` widest dimensions, side at least eps) is the index: a point meets the cells that its
 eps-box touches, nothing else. Co-grouped tasks hold one chunk of a coarse cell and one chunk of the
 points that meet it, so a hot cell is many tasks; they give out counts, a spanning forest of fine
@@ -76,6 +78,61 @@ def _forest(eps: float):
     return work
 
 
+def _near_boxes(eps: float):
+    """Pairs of fine cells of different components whose core points' boxes are within eps."""
+    def work(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        if queries.num_rows and rows.num_rows:
+            (qlo, qhi, qroot, qid), (lo, hi, root, ids) = [
+                (vectors(t.column("lo")), vectors(t.column("hi")), t.column("root").to_numpy(), t.column("pid").to_numpy()) for t in (queries, rows)]
+            for s in range(0, len(qid), _BATCH):
+                part = slice(s, s + _BATCH)
+                d2 = np.zeros((len(qid[part]), len(ids)))
+                for j in range(lo.shape[1]):
+                    gap = np.maximum(qlo[part, j, None] - hi[None, :, j], lo[None, :, j] - qhi[part, j, None])
+                    d2 += np.maximum(gap, 0.0) ** 2
+                i, j = np.nonzero((d2 <= eps * eps * (1 + 1e-9)) & (qroot[part, None] != root[None, :]))
+                found.append(np.stack([qid[s + i], ids[j]], axis=1))
+        a, b = np.concatenate(found).T
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return work
+
+
+def _roots(cores: DataFrame, grid: "_Grid", dim: int, eps: float) -> DataFrame:
+    """(node: fine cell, root): the components of the fine cells with core points within eps of each other."""
+    outer = [f(F.struct("pid", "v", "cell"), F.col("v")[i]) for i in range(dim) for f in (F.min_by, F.max_by)]
+    side = lambda f: F.array(*[f(F.col("v")[i]) for i in range(dim)])
+    cells = saved(cores.groupBy("fine").agg(F.count("*").alias("n"), side(F.min).alias("lo"), side(F.max).alias("hi"),
+                                            F.array_distinct(F.array(*outer)).alias("outer")), "fine")
+    outermost = cells.select("fine", F.explode("outer").alias("o")).select("o.pid", "o.v", "fine", "o.cell")
+    # a fine cell is linked from the side of each of its points; both directions are met, one is enough
+    links = saved(_meet(grid.touched(outermost.select("pid", "v", "fine")), outermost, _forest(eps), "a bigint, b bigint"), "links")
+    nodes = cells.select(F.col("fine").alias("node"))
+    roots = connected_components(nodes, links)
+    # two cells with outermost points only are settled by them
+    boxes = saved(cells.join(roots, cells["fine"] == roots["node"]).select(
+        F.col("fine").alias("pid"), F.zip_with("lo", "hi", lambda a, b: (a + b) / 2).alias("v"), "lo", "hi", "root", (F.col("n") > F.size("outer")).alias("more")), "boxes")
+    if not boxes.where("more").limit(1).count() or roots.select("root").distinct().limit(2).count() < 2:
+        return roots
+    coarse = _Grid(boxes, boxes.count(), dim, 2 * eps)  # a centre is less than eps / 2 off its cell's points in a dimension
+    box = boxes.drop("more")
+    pairs = _meet(coarse.touched(box.join(boxes.where("more").select("pid"), "pid")), box.withColumn("cell", coarse.own()), _near_boxes(eps), "a bigint, b bigint")
+    pairs = saved(pairs.distinct().withColumn("cell", F.monotonically_increasing_id()), "pairs")
+    if not pairs.limit(1).count():
+        return roots
+
+    def facing(own: str, other: str) -> DataFrame:
+        """Core points of one cell of each pair that can be within eps of the other."""
+        ahead = pairs.select(F.col(own).alias("fine"), F.col(other).alias("_o"), "cell")
+        held = ahead.join(boxes.select(F.col("pid").alias("_o"), "lo", "hi"), "_o")
+        met = cores.drop("cell").join(held, "fine")
+        gap = sum((F.greatest(F.col("lo")[i] - F.col("v")[i], F.col("v")[i] - F.col("hi")[i], F.lit(0.0)) ** 2 for i in range(dim)), F.lit(0.0))
+        return met.where(gap <= eps * eps * (1 + 1e-9)).select("pid", "v", "fine", "cell")
+
+    more = _meet(facing("a", "b"), facing("b", "a"), _forest(eps), "a bigint, b bigint")
+    return connected_components(nodes, saved(links.unionByName(more), "links"))
+
+
 def _least(eps: float):
     def work(queries: pa.Table, rows: pa.Table) -> pa.Table:
         ids, least = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -161,9 +218,7 @@ def dbscan(df: DataFrame, id_col: str, features: str | list[str], eps: float = 0
     found = _meet(loose, rows, _counts(eps, min_samples), "pid bigint, n bigint").groupBy("pid").agg(F.sum("n").alias("n"))
     core = saved(dense.unionByName(found.where(F.col("n") >= min_samples).select("pid")))
     cores = saved(points.join(core, "pid").select("pid", "v", "fine", "cell"))
-    # a fine cell is linked from the side of each of its points; both directions are met, one is enough
-    links = _meet(grid.touched(cores.select("pid", "v", "fine")), cores, _forest(eps), "a bigint, b bigint")
-    roots = connected_components(cores.select(F.col("fine").alias("node")), links)
+    roots = _roots(cores, grid, dim, eps)
     cores = cores.join(roots.withColumnRenamed("node", "fine"), "fine")
     first = cores.join(every.select("pid", "id"), "pid").groupBy("root").agg(F.min("id").alias("first"))
     numbers = row_index(first, ["first", "root"], "cluster").select("root", F.col("cluster").cast("bigint").alias("cluster"))
