@@ -91,3 +91,36 @@ def test_distance_sums_are_dealt_by_work_not_bytes(spark):
     df = spark.createDataFrame(rows, "id int, v array<double>, c int")
     plan = sil.silhouette(df, "id", "v", "c")._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan  # Spark would join the small partitions to one task
+
+
+def test_several_labellings_share_one_scan(spark, blobs, monkeypatch):
+    monkeypatch.setattr(sil, "PAIR_ROWS", 64)
+    monkeypatch.setattr(sil, "PAIR_TILE", 16)
+    points, labels = blobs
+    points = np.vstack([points, points[:30]])  # equal rows
+    labels = np.concatenate([labels, labels[:30]])
+    rng = np.random.default_rng(2)
+    several = [labels, labels % 3, rng.integers(0, 9, len(labels)), np.zeros(len(labels), int), (np.arange(len(labels)) == 5).astype(int)]
+    rows = [(f"p{i}", p.tolist(), *[int(c[i]) for c in several]) for i, p in enumerate(points)]
+    rows += [(None, [0.0] * 3, 0, 0, 0, 0, 0), ("x", None, 0, 0, 0, 0, 0), ("y", [0.0] * 3, 0, 0, 0, 0, None)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, a int, b int, c int, d int, e int").repartition(4)
+    met = []
+    meet = sil._shared_sums
+    monkeypatch.setattr(sil, "_shared_sums", lambda *a: met.append(1) or meet(*a))
+    got = sil.silhouettes(df, "id", "v", list("abcde"))
+    assert met == [1]
+    assert [n for _, n in got] == [15, 3, 9, 1, 2] and got[3][0] == 0.0
+    for i in (0, 1, 2, 4):
+        assert got[i][0] == pytest.approx(all_pairs(points, several[i]), abs=1e-9)
+    assert sil.silhouettes(df.limit(0), "id", "v", ["a", "b"]) == [(None, 0), (None, 0)]
+
+
+def test_a_pair_of_rows_meets_once(blobs):
+    points, labels = blobs
+    order = np.argsort(labels, kind="stable")
+    points, labels = points[order], labels[order]
+    x, m = points[:200], points[200:]
+    d = np.sqrt(((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))
+    of_x, of_m = sil._meet(x, m, labels[:200], labels[200:], np.eye(15), True)
+    assert of_x == pytest.approx(d @ np.eye(15)[labels[200:]], abs=1e-6)
+    assert of_m == pytest.approx(d.T @ np.eye(15)[labels[:200]], abs=1e-6)
