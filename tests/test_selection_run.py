@@ -118,3 +118,14 @@ def test_boosting_is_one_stage_without_join(spark):
             votes[c] = votes.get(c, 0.0) + w
         assert r["prediction"] == max(sorted(votes), key=lambda c: votes[c])
     assert out.where("prediction = label").count() > 0.9 * df.count()
+
+
+def test_prepared_rows_are_spread_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(selection_run, "FIT_ROWS", 50)
+    df = table(spark).coalesce(1)
+    part = selection_run.Part(df, df, ["x", "y"], "StandardScaler", "label", False, 42)
+    rows = part.prepared(True)[1]
+    assert rows.rdd.getNumPartitions() >= min(4, spark.sparkContext.defaultParallelism) and rows.count() == 240
+    monkeypatch.setattr(selection_run, "FIT_ROWS", 1000)
+    small = selection_run.Part(df, df, ["x", "y"], "StandardScaler", "label", False, 42).prepared(False)[1]
+    assert small.rdd.getNumPartitions() == 1  # too few rows
