@@ -41,6 +41,8 @@ LEAST_ROWS = (256, 4096)
 TASKS = 64
 #: Distances of a task held at once.
 HELD = 1 << 21
+#: Elements up to which sums of wide vectors are counted in steps: more leave too few steps to an element.
+STEPPED = 256
 #: Share of the vectors' norms by which the blocks' bounds are widened.
 SLACK = 1e-6
 
@@ -178,7 +180,8 @@ def _visits(held, need: int, rest: bool):
 
 class _Rough:
     """Keys of the distances from queries to a block's rows (squares without the query's own share, or sums)
-    with a bound of their error: single precision for wide vectors, scaled so that nothing overflows."""
+    with a bound of their error: single precision for wide vectors, scaled so that nothing overflows. Sums of wide finite
+    vectors are counted in steps of the block's widest element, so small that a sum fits 16 bits."""
 
     def __init__(self, m: np.ndarray, metric: str):
         dim = m.shape[1]
@@ -193,6 +196,14 @@ class _Rough:
         self.largest = norms.max()  # a row without a norm leaves its block without bounds: nothing is found there
         if metric == "manhattan":  # |a - b| = a + b - 2 min(a, b)
             self.m, self.own = np.ascontiguousarray(m.T, dtype=self.type), m.sum(axis=1).astype(self.type)
+            self.step = 0.0
+            if self.type == np.float32 and dim <= STEPPED and np.isfinite(m).all():
+                self.low = m.min(axis=0)
+                self.span = float((m.max(axis=0) - self.low).max())
+                self.step = self.span / (np.iinfo(np.uint16).max // dim - 1)
+            if self.step > 0:
+                codes = np.rint((m - self.low) / self.step)
+                self.codes, self.code_sums = np.ascontiguousarray(codes.T, dtype=np.uint16), codes.sum(axis=1).astype(np.float32)
         else:
             self.m = np.ascontiguousarray(np.column_stack([-2.0 * m, (m * m).sum(axis=1)]).T, dtype=self.type)
 
@@ -201,12 +212,36 @@ class _Rough:
         q, tau = q / self.scale, tau / self.scale
         norms = _norms(q, self.metric)
         if self.metric == "manhattan":
+            if self.step > 0 and np.isfinite(q).all():
+                return self._steps(q, tau)
             error = self.unit * (norms + self.largest)
             return self._sums(q.astype(self.type)), tau + error + self.unit * tau, error
         error = self.unit * (norms + self.largest) ** 2
         keys = np.column_stack([q, np.ones(len(q))]).astype(self.type) @ self.m
         return keys, tau * tau * (1 + self.unit) - norms * norms + error, error
 
+    def _steps(self, q: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``keys`` in steps. The block's rows lie within its span, so what a query has outside of it is part of each
+        of its distances; within, two rounded elements are off by a step together at most."""
+        inside = np.clip(q - self.low, 0.0, self.span)
+        outside = np.abs(q - self.low - inside).sum(axis=1)
+        codes = np.rint(inside / self.step).astype(np.uint16)
+        own, dim = codes.sum(axis=1, dtype=np.float32), q.shape[1]
+        out = np.empty((len(q), self.codes.shape[1]), dtype=np.float32)
+        for i in range(0, len(q), 64):  # tiles that stay in a core's cache
+            some = np.ascontiguousarray(codes[i:i + 64].T)
+            for j in range(0, out.shape[1], 1024):
+                part = self.codes[:, j:j + 1024]
+                both = np.zeros((some.shape[1], part.shape[1]), dtype=np.uint16)
+                least = np.empty_like(both)
+                for a, b in zip(some, part, strict=True):  # |a - b| = a + b - 2 min(a, b)
+                    np.minimum(a[:, None], b[None, :], out=least)
+                    both += least
+                out[i:i + 64, j:j + 1024] = own[i:i + 64, None] + self.code_sums[None, j:j + 1024] - 2 * both.astype(np.float32)
+        rounding = 16 * (dim + 8) * float(np.finfo(np.float64).eps) * (np.abs(q).sum(axis=1) + self.largest + outside)
+        error = dim * 1.000001 + 1 + rounding / self.step
+        return out, (tau - outside) / self.step + error, error
+
     def _sums(self, q: np.ndarray) -> np.ndarray:
         out = np.empty((len(q), self.m.shape[1]), dtype=self.type)
         own = q.sum(axis=1)

@@ -163,3 +163,33 @@ def test_nearest_rows_without_a_label_or_a_number(spark):
     assert [x["_tid"] for x in got] == [1, 2] and math.isnan(got[0]["_tlabel"]) and got[1]["_tlabel"] == 3.0
     more = ref.unionByName(spark.createDataFrame([(4, [None], 1.0)], ref.schema))
     assert nearest.nearest_rows(q, more, 2).collect() == []  # as ever: no bounds in a block with a row that is no point
+
+
+@pytest.mark.parametrize("shift, spread", [(0.0, 0.2), (50.0, 0.2), (1e9, 1.0), (0.0, 30.0)])
+def test_steps_of_wide_sums_keep_every_near_row(shift, spread):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(3000, 64)) * 0.2 + shift
+    q = np.vstack([rng.normal(size=(90, 64)) * spread + shift, m[:10]])  # within the block, outside of it, equal rows
+    rough = nearest._Rough(m, "manhattan")
+    assert rough.step > 0  # sums of 16 bits
+    exact = np.abs(q[:, None, :] - m[None, :, :]).sum(axis=2)
+    tau = np.partition(exact, 5, axis=1)[:, 5]
+    keys, edge, error = rough.keys(q, tau)
+    assert (keys[exact <= tau[:, None]] <= np.repeat(edge, (exact <= tau[:, None]).sum(axis=1))).all()
+    apart = exact / rough.scale / rough.step - keys  # per query the same, but for the error
+    assert (apart.max(axis=1) - apart.min(axis=1) <= 2 * error).all()
+    if shift < 1e9 and spread < 1:
+        assert ((keys <= edge[:, None]).sum(axis=1) < 60).all()  # few rows are left for exact distances
+
+
+def test_wide_sums_find_the_nearest_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 90 * (24 * 8 + 16))
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist(), 0.0) for i, v in enumerate(np.vstack([rng.normal(size=(280, 24)), np.full((20, 24), 3.0)]))]
+    df = spark.createDataFrame(rows, "_tid bigint, _tv array<double>, _tlabel double")
+    got = {}
+    for r in nearest.nearest_rows(df.select(F.col("_tid").alias("_qid"), F.col("_tv").alias("_qv")), df, 5, True, "manhattan").collect():
+        got.setdefault(r["_qid"], []).append((r["_rank"], r["_tid"]))
+    for i, v, _ in rows:
+        want = sorted((round(sum(abs(x - y) for x, y in zip(v, w, strict=True)), 9), j) for j, w, _ in rows if j != i)[:5]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
