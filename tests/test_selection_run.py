@@ -129,3 +129,24 @@ def test_prepared_rows_are_spread_over_the_cores(spark, monkeypatch):
     monkeypatch.setattr(selection_run, "FIT_ROWS", 1000)
     small = selection_run.Part(df, df, ["x", "y"], "StandardScaler", "label", False, 42).prepared(False)[1]
     assert small.rdd.getNumPartitions() == 1  # too few rows
+
+
+def test_select_model_runs_all_models_and_the_curve(monkeypatch):
+    import inspect
+
+    from kiln.plans import catalog_learn as L
+    seen = {}
+    signature = inspect.signature(selection_run.select_model)
+
+    def select(*args, **kw):
+        bound = signature.bind(*args, **kw)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise StopIteration
+
+    monkeypatch.setattr(selection_run, "select_model", select)
+    monkeypatch.setattr(L, "_cls_split", lambda *a: (None, None))
+    monkeypatch.setattr(L, "_scratch", lambda *a: None)
+    with pytest.raises(StopIteration):
+        L.q_select_model(None, None)
+    assert seen["specs"] is None and seen["curve"] and (seen["top"], seen["k"], seen["n_iter"]) == (3, 5, 12)
